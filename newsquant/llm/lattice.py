@@ -62,9 +62,9 @@ def e8_decode(x: np.ndarray) -> np.ndarray:
 class LatticeHash:
     """Cells of unit vectors; the same vector gets the same cells in any batch."""
 
-    tables: int = 8
-    probes: int = 8
-    scale: float = 1.3
+    tables: int = 6
+    probes: int = 6
+    scale: float = 1.5
     seed: int = 5
 
     def cells(self, unit: np.ndarray) -> np.ndarray:
