@@ -67,39 +67,44 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measures(text: str) -> dict[str, Column]:
-    """Column expressions of the counts of one text column, by name; ``_words`` comes first."""
+    """Column expressions of the counts of one text column, by name; ``_flat`` comes first, the others may use it."""
     own = F.coalesce(F.col(text), F.lit(""))
     flat = F.trim(F.regexp_replace(own, SPACE, " "))
-    words = F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    words = F.when(F.col("_flat") == "", F.array().cast("array<string>")).otherwise(F.split("_flat", " "))
     lines = F.filter(F.split(own, "\n"), lambda x: F.trim(F.regexp_replace(x, SPACE, " ")) != "")
     return {
         "_flat": flat,
         "_words": words,
-        "n_symbols": F.length(F.regexp_replace(own, r"[^#*$%&|<>]+", "")),
+        "n_symbols": F.length(F.regexp_replace(own, r"[^#*$%&|<>]+", "")).cast("long"),
         "_pipes": F.length(F.regexp_replace(own, r"[^|]+", "")),
-        "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
+        "n_dup_lines": _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
         "_lines": F.size(lines),
         "_letters": F.length(F.regexp_replace(own, r"[^\p{L}]+", "")),
         "_upper": F.length(F.regexp_replace(own, r"[^\p{Lu}]+", "")),
     }
 
 
+def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add ``columns`` by a generator of one row, which the optimizer neither merges nor repeats."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the counts and ratios that rules name."""
     first = measures(text)
-    # the projection that cuts the text stands apart, so that words are cut once
-    cut = df.withColumns({k: v for k, v in first.items() if k == "_flat"}).withColumns({k: v for k, v in first.items() if k != "_flat"})
+    # each step stands apart, so that texts are cut once, whatever filters come later
+    cut = _settled(_settled(df, {"_flat": first.pop("_flat")}), first)
     stop = F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))])
-    n = F.when(F.col("_flat") == "", F.lit(0)).otherwise(F.size("_words"))
-    cut = cut.withColumns(
+    n = F.size("_words")
+    cut = _settled(
+        cut,
         {
             "n_words": n.cast("long"),
             "word_chars": (F.length("_flat") - F.greatest(n - 1, F.lit(0))).cast("long"),
-            "n_symbols": F.col("n_symbols").cast("long"),
-            "n_dup_lines": F.col("n_dup_lines").cast("long"),
             "n_repeat_words": _repeat_words(F.col("_words")).cast("long"),
             "_stops": F.size(F.filter("_words", lambda w: F.array_contains(stop, w))),
-        }
+        },
     )
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     cut = cut.withColumns(
