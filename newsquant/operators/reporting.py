@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import steps
 from . import indicators, scores
 
 
@@ -50,18 +51,38 @@ def search_companies(companies: DataFrame, report: DataFrame, text: str, top: in
     return first.unionByName(more).withColumn("place", place).orderBy("place", "ticker").limit(top)
 
 
+#: Words of a rating text and their colour, tried in this order.
+SIGNALS = (("STRONG BUY", "emerald"), ("BUY", "green"), ("BULLISH", "blue"), ("UPTREND", "blue"), ("HOLD", "amber"), ("CONSOLIDATING", "amber"), ("SELL", "red"), ("AVOID", "red"), ("DOWNTREND", "red"), ("CAUTION", "orange"), ("MIXED", "orange"))
+
+
 def signal_class(rating: Column) -> Column:
-    """Colour class of a rating text; longer labels are tried before those they contain."""
-    up = F.upper(rating)
-    tests = [("STRONG BUY", "strong-buy"), ("STRONG UPTREND", "strong-buy"), ("HOT MOMENTUM", "strong-buy"), ("EXCELLENT", "strong-buy"), ("BUY", "buy"), ("BULLISH", "buy"), ("TRENDING", "buy"), ("GOOD", "buy"), ("HOLD", "hold"), ("CONSOLIDATING", "hold"), ("FAIR", "hold"), ("VOLATILE", "volatile"), ("CHOPPY", "volatile"), ("CAUTION", "caution"), ("MIXED", "caution"), ("BELOW", "caution")]
-    out = None
-    for word, name in tests:
-        out = F.when(F.contains(up, F.lit(word)), name) if out is None else out.when(F.contains(up, F.lit(word)), name)
-    return out.when(rating.isNull(), "unknown").otherwise("sell")
+    """Colour class of a rating text; texts without a known word are slate."""
+    return steps([(F.contains(F.upper(rating), F.lit(word)), colour) for word, colour in SIGNALS], "slate")
 
 
 def score_band(score: Column) -> Column:
-    return F.when(score >= 0.7, "high").when(score >= 0.5, "medium").when(score >= 0.3, "low").otherwise("poor")
+    """Colour band of a score; zero and unknown are slate."""
+    return steps([(score.isNull() | (score == 0), "slate"), (score >= 0.7, "emerald"), (score >= 0.5, "cyan"), (score >= 0.3, "amber")], "red")
+
+
+def report_catalog(files: DataFrame) -> DataFrame:
+    """``(path, length)`` of report files -> base, depth, timestamp; other names are left out, newest first."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    pattern = r"^(topic.*)_depth-(\d+)_(\d{2}-\d{2}-\d{4}_\d{2})\.csv$"
+    rows = files.withColumn("name", name).where(F.col("name").rlike(pattern))
+    part = lambda i: F.regexp_extract("name", pattern, i)
+    return rows.select("name", part(1).alias("base"), part(2).cast("int").alias("depth"), F.to_timestamp(part(3), "MM-dd-yyyy_HH").alias("made_at"), "length").orderBy(F.desc("made_at"), "name")
+
+
+def resolve_queries(jobs: DataFrame, presets: DataFrame) -> DataFrame:
+    """``(job_id, query)``: a job's own trimmed queries, preset keys replaced by their text."""
+    asked = jobs.select("job_id", F.explode("queries").alias("asked")).select("job_id", F.trim("asked").alias("asked")).where("asked <> ''")
+    out = asked.join(F.broadcast(presets), F.col("asked") == F.col("key"), "left")
+    return out.select("job_id", F.coalesce("query", "asked").alias("query"))
+
+
+def user_jobs(jobs: DataFrame, user: int) -> DataFrame:
+    return jobs.where(F.col("user_id") == user).orderBy(F.desc("created_at"), "job_id")
 
 
 def latest_status(events: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import stocks
+from .plans import articles, stocks
 
-PLANS = (stocks,)
+PLANS = (stocks, articles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
