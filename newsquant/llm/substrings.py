@@ -12,8 +12,10 @@ A path or minimizer that many documents share is reduced inside each batch first
 in a batch are settled there, and one row per batch goes through the shuffle.
 
 Nulls and texts without words have no windows and keep nothing. Of equal texts the smallest id
-is the source. Repeated rows of one id are one document: neither removes from the other. A null
-id never counts as smaller and loses nothing to others. An empty table gives an empty result.
+is the source. Repeated rows of one id are one document: neither removes from the other. Rows
+with a null id are one document that comes after all others; the largest long stands for it
+inside, which makes the key non-null, so that one shuffle of the texts serves all three passes.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 #: Words of a minimizer; ``width - K + 1`` must be a power of two.
 K = 6
+_LAST = 2**63 - 1
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -168,8 +171,9 @@ def removed_spans(docs: DataFrame, width: int = 13) -> DataFrame:
     """
     marks = docs.select("doc", "text").mapInArrow(_minimizer_rows(width), "mark long, doc long, known boolean")
     # settled rows are dealt by document, the others by minimizer
-    group = Window.partitionBy("known", F.when(F.col("known"), F.col("doc")).otherwise(F.col("mark")))
-    marks = marks.withColumn("low", F.min("doc").over(group)).withColumn("high", F.max("doc").over(group))
+    marks = marks.withColumn("group", F.when(F.col("known"), F.col("doc")).otherwise(F.col("mark")))
+    group = Window.partitionBy("known", "group")
+    marks = marks.select("mark", "doc", "known", F.min("doc").over(group).alias("low"), F.max("doc").over(group).alias("high"))
     marks = marks.where("known or low < high").groupBy("doc").agg(F.collect_set("mark").alias("marks"))
 
     paths = docs.join(marks, "doc").select("doc", "text", F.xxhash64("text").alias("text_hash"), "marks")
@@ -219,22 +223,22 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
     ``digest`` replaces the text by its SHA-256 in lowercase hex.
     """
-    base = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    copies = base.where("doc is not null").select("doc", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("same"))
+    base = docs.select(F.coalesce(F.col(key), F.lit(_LAST)).alias("doc"), F.col(text).alias("text"))
+    copies = base.select("doc", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("same"))
     sources = copies.groupBy("same").agg(F.min("doc").alias("doc")).select("doc").distinct()
     spans = removed_spans(base.join(sources, "doc", "left_semi"), width)
     spans = spans.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("text_hash", "spans")).alias("spans"))
     rows = base.join(sources.withColumn("source", F.lit(True)), "doc", "left").join(spans, "doc", "left")
     own = F.filter("spans", lambda s: s["text_hash"] == F.xxhash64(F.col("text")))
-    rows = rows.select("doc", "text", (F.col("source").isNotNull() | F.col("doc").isNull()).alias("source"), F.flatten(F.transform(own, lambda s: s["spans"])).alias("spans"))
+    rows = rows.select("doc", "text", F.col("source").isNotNull().alias("source"), F.flatten(F.transform(own, lambda s: s["spans"])).alias("spans"))
     rows = rows.select("doc", "text", "source", F.col("spans.start").alias("starts"), F.col("spans.size").alias("sizes"))
     cut, schema = _cut(width), "doc long, n_words long, n_removed long, kept string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _digest(cut(batches)) if digest else cut(batches)
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("doc", key)
+    return rows.mapInArrow(run, schema).select(F.nullif(F.col("doc"), F.lit(_LAST)).alias(key), "n_words", "n_removed", "kept")
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
