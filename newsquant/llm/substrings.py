@@ -6,7 +6,7 @@ windows have equal minimizers, so nothing is lost. (2) Consecutive repeatable ed
 minimizer compact into one path; joined on their hashes, a path that an earlier document holds
 whole is removed at once, so each distinct path's edges are looked at once. (3) The edges of
 the remaining paths are joined singly. Spans are document coordinates, checked by two
-independent hashes (128 bits), and the text is cut there.
+independent hashes (96 bits), and the text is cut there.
 
 A path or minimizer that many documents share is reduced inside each batch first: later holders
 in a batch are settled there, and one row per batch goes through the shuffle.
@@ -117,7 +117,7 @@ def _minimizer_rows(width: int):
 
 def _path_rows(width: int):
     """Paths of repeatable windows: hash, coordinates and the hashes of their edges."""
-    schema = pa.schema([("path", pa.int64()), ("check", pa.int64()), ("doc", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("edges", pa.list_(pa.int64())), ("checks", pa.list_(pa.int64())), ("known", pa.bool_())])
+    schema = pa.schema([("path", pa.int64()), ("check", pa.int64()), ("doc", pa.int64()), ("text_hash", pa.int32()), ("start", pa.int32()), ("size", pa.int32()), ("edges", pa.list_(pa.int64())), ("checks", pa.list_(pa.int32())), ("known", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -142,8 +142,8 @@ def _path_rows(width: int):
                 weight = (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * _B1
                 cols["path"].append(np.add.reduceat((edge ^ weight) * _B2, at))
                 cols["check"].append(np.add.reduceat((edge2 + weight) * _B1, at) + size.astype(np.uint64))
-                for name, value in (("doc", doc), ("text_hash", text_hashes[i])):
-                    cols[name].append(np.full(len(at), value, dtype=np.int64))
+                cols["doc"].append(np.full(len(at), doc, dtype=np.int64))
+                cols["text_hash"].append(np.full(len(at), text_hashes[i], dtype=np.int32))
                 cols["start"].append(hit[at].astype(np.int32))
                 cols["size"].append(size)
                 cols["edge"].append(edge)
@@ -157,9 +157,11 @@ def _path_rows(width: int):
             lowest = doc[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
             known = np.zeros(len(order), dtype=bool)
             known[order] = doc[order] != lowest  # an earlier document of the batch holds the path
-            offsets = np.append(0, np.cumsum(size)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(v.view(np.int64))) for v in (edge, edge2)]
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(check.view(np.int64)), pa.array(doc), pa.array(text_hash), pa.array(start), *lists, pa.array(known)], schema=schema)
+            held = np.repeat(~known, size)  # settled paths travel without their edges
+            offsets = np.append(0, np.cumsum(np.where(known, 0, size))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(v)) for v in (edge[held].view(np.int64), (edge2[held] >> np.uint64(32)).astype(np.uint32).view(np.int32))]
+            out = [pa.array(path.view(np.int64)), pa.array(check.view(np.int64)), pa.array(doc), pa.array(text_hash), pa.array(start), pa.array(size.astype(np.int32)), *lists, pa.array(known)]
+            yield pa.RecordBatch.from_arrays(out, schema=schema)
 
     return run
 
@@ -176,11 +178,11 @@ def removed_spans(docs: DataFrame, width: int = 13) -> DataFrame:
     marks = marks.select("mark", "doc", "known", F.min("doc").over(group).alias("low"), F.max("doc").over(group).alias("high"))
     marks = marks.where("known or low < high").groupBy("doc").agg(F.collect_set("mark").alias("marks"))
 
-    paths = docs.join(marks, "doc").select("doc", "text", F.xxhash64("text").alias("text_hash"), "marks")
-    paths = paths.mapInArrow(_path_rows(width), "path long, check long, doc long, text_hash long, start int, edges array<long>, checks array<long>, known boolean")
+    paths = docs.join(marks, "doc").select("doc", "text", F.hash("text").alias("text_hash"), "marks")
+    paths = paths.mapInArrow(_path_rows(width), "path long, check long, doc long, text_hash int, start int, size int, edges array<long>, checks array<int>, known boolean")
     held = Window.partitionBy("known", F.when(F.col("known"), F.col("doc")).otherwise(F.col("path")), F.when(F.col("known"), F.lit(0)).otherwise(F.col("check")))
     paths = paths.withColumn("gone", F.col("known") | (F.min("doc").over(held) < F.col("doc")))
-    whole = F.array(F.struct(F.col("start"), F.size("edges").alias("size"), F.lit(None).cast("long").alias("edge"), F.lit(None).cast("long").alias("check")))
+    whole = F.array(F.struct(F.col("start"), "size", F.lit(None).cast("long").alias("edge"), F.lit(None).cast("int").alias("check")))
     single = F.zip_with(F.sequence(F.lit(0), F.size("edges") - 1), F.arrays_zip("edges", "checks"), lambda i, e: F.struct((F.col("start") + i).alias("start"), F.lit(1).alias("size"), e["edges"].alias("edge"), e["checks"].alias("check")))
     rows = paths.select("doc", "text_hash", F.explode(F.when(F.col("gone"), whole).otherwise(single)).alias("e")).select("doc", "text_hash", "e.*")
     starts = Window.partitionBy(F.coalesce("edge", "doc"), F.col("check"))
@@ -230,7 +232,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     spans = spans.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("text_hash", "spans")).alias("spans"))
     rows = base.join(sources.withColumn("source", F.lit(True)), "doc", "left").join(spans, "doc", "left")
-    own = F.filter("spans", lambda s: s["text_hash"] == F.xxhash64(F.col("text")))
+    own = F.filter("spans", lambda s: s["text_hash"] == F.hash("text"))
     rows = rows.select("doc", "text", F.col("source").isNotNull().alias("source"), F.flatten(F.transform(own, lambda s: s["spans"])).alias("spans"))
     rows = rows.select("doc", "text", "source", F.col("spans.start").alias("starts"), F.col("spans.size").alias("sizes"))
     cut, schema = _cut(width), "doc long, n_words long, n_removed long, kept string"
