@@ -172,21 +172,23 @@ def removed_spans(docs: DataFrame, width: int = 13) -> DataFrame:
     ``docs`` must hold one row per distinct text; ``size`` windows start at words ``start`` on.
     """
     marks = docs.select("doc", "text").mapInArrow(_minimizer_rows(width), "mark long, doc long, known boolean")
-    # settled rows are dealt by document, the others by minimizer
-    marks = marks.withColumn("group", F.when(F.col("known"), F.col("doc")).otherwise(F.col("mark")))
-    group = Window.partitionBy("known", "group")
-    marks = marks.select("mark", "doc", "known", F.min("doc").over(group).alias("low"), F.max("doc").over(group).alias("high"))
-    marks = marks.where("known or low < high").groupBy("doc").agg(F.collect_set("mark").alias("marks"))
+    # settled rows are dealt by document too, the others by minimizer alone
+    marks = marks.select("mark", "doc", F.when(F.col("known"), F.col("doc")).alias("salt"))
+    group = Window.partitionBy("mark", "salt")
+    marks = marks.select("mark", "doc", "salt", F.min("doc").over(group).alias("low"), F.max("doc").over(group).alias("high"))
+    marks = marks.where("salt is not null or low < high").groupBy("doc").agg(F.collect_set("mark").alias("marks"))
 
     paths = docs.join(marks, "doc").select("doc", "text", F.hash("text").alias("text_hash"), "marks")
     paths = paths.mapInArrow(_path_rows(width), "path long, check long, doc long, text_hash int, start int, size int, edges array<long>, checks array<int>, known boolean")
-    held = Window.partitionBy("known", F.when(F.col("known"), F.col("doc")).otherwise(F.col("path")), F.when(F.col("known"), F.lit(0)).otherwise(F.col("check")))
-    paths = paths.withColumn("gone", F.col("known") | (F.min("doc").over(held) < F.col("doc")))
-    whole = F.array(F.struct(F.col("start"), "size", F.lit(None).cast("long").alias("edge"), F.lit(None).cast("int").alias("check")))
-    single = F.zip_with(F.sequence(F.lit(0), F.size("edges") - 1), F.arrays_zip("edges", "checks"), lambda i, e: F.struct((F.col("start") + i).alias("start"), F.lit(1).alias("size"), e["edges"].alias("edge"), e["checks"].alias("check")))
+    paths = paths.withColumn("salt", F.when(F.col("known"), F.col("doc"))).drop("known")
+    held = Window.partitionBy("path", "check", "salt")
+    paths = paths.withColumn("gone", F.col("salt").isNotNull() | (F.min("doc").over(held) < F.col("doc")))
+    whole = F.array(F.struct(F.col("start"), "size", F.col("doc").alias("edge"), F.col("start").alias("check"), F.lit(True).alias("gone")))
+    single = F.zip_with(F.sequence(F.lit(0), F.size("edges") - 1), F.arrays_zip("edges", "checks"), lambda i, e: F.struct((F.col("start") + i).alias("start"), F.lit(1).alias("size"), e["edges"].alias("edge"), e["checks"].alias("check"), F.lit(False).alias("gone")))
     rows = paths.select("doc", "text_hash", F.explode(F.when(F.col("gone"), whole).otherwise(single)).alias("e")).select("doc", "text_hash", "e.*")
-    starts = Window.partitionBy(F.coalesce("edge", "doc"), F.col("check"))
-    rows = rows.withColumn("gone", F.col("edge").isNull() | (F.min("doc").over(starts) < F.col("doc")))
+    # whole paths are settled; they pass through, dealt by their coordinates
+    starts = Window.partitionBy("edge", "check")
+    rows = rows.withColumn("gone", F.col("gone") | (F.min(F.when(~F.col("gone"), F.col("doc"))).over(starts) < F.col("doc")))
     return rows.where("gone").select("doc", "text_hash", "start", "size")
 
 
