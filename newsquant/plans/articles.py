@@ -132,7 +132,6 @@ def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    part = F.round(F.col("sim"), 6).alias("sim")
     return {
         "S1_read_companies": lambda s, d: _companies(s).join(fixtures.table(s, d, "region").agg(F.count("*").alias("regions"))),
         "S3_select_articles": _selected,
@@ -147,9 +146,9 @@ def queries() -> dict[str, Query]:
         "M3_topic_terms": lambda s, d: _terms(s, d),
         "M8_topic_centroids": _vectors_digest,
         "M9_technical_terms": lambda s, d: topics.technical_terms(_terms(s, d)).select("topic_id", F.array_join("technical", "|").alias("technical")),
-        "J1_similarity_join": lambda s, d: matching.similarity_join(_firms(s, d), _centroids(s, d), PROFILE.min_similarity).select("topic_id", "ticker", part),
+        "J1_similarity_join": lambda s, d: matching.similarity_join(_firms(s, d), _centroids(s, d), PROFILE.min_similarity).select("topic_id", "ticker", F.round("sim", 6).alias("sim")),
         "J2_keyword_score": lambda s, d: _candidates(s, d).select("topic_id", "ticker", F.round("kw", 6).alias("kw")),
-        "J3_stage1_gate": lambda s, d: matching.stage1_gate(_candidates(s, d), PROFILE).select("topic_id", "ticker", part),
+        "J3_stage1_gate": lambda s, d: matching.stage1_gate(_candidates(s, d), PROFILE).select("topic_id", "ticker", F.round("sim", 6).alias("sim")),
         "J4_hypotheses": _said,
         "J5_entailment": lambda s, d: _entailed(s, d).select("topic_id", "ticker", F.round("nli", 6).alias("nli")),
         "J10_relevance": lambda s, d: _decided(s, d).select("topic_id", "ticker", F.round("total", 6).alias("total"), "relevant"),

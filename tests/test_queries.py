@@ -34,3 +34,12 @@ def test_query_equals_sql(spark, db, name):
     assert sorted(columns) == sorted(rows.columns)
     key = lambda r: str(r)
     assert sorted(([plain(r[c]) for c in columns] for r in rows.collect()), key=key) == sorted(([plain(v) for v in r] for r in found.fetchall()), key=key)
+
+
+def test_names_need_no_session():
+    """The lists can be read in a process that never starts Spark."""
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), check=True)
