@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import sys
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from zlib import crc32
@@ -27,30 +28,47 @@ from .common import Scratch, ranked
 
 
 class CachedTokenizer:
-    """Ids of texts by a ``tokenizers`` file, remembering those of words.
+    """Ids of texts by a ``tokenizers`` file, remembering those of words and of their pieces.
 
-    The file's normaliser and pre-tokeniser keep nothing across ASCII white space, so each distinct
-    word between such spaces is encoded once; the memory of words is bounded.
+    The file's normaliser and pre-tokeniser keep nothing across ASCII white space, so words between
+    such spaces stand alone; a new word is normalised, cut as the file's pre-tokeniser cuts it, and
+    only new pieces are encoded. Both memories are bounded.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.known = most, {}
+        self.most, self.words, self.pieces = most, {}, {}
+        # fixed values: the pattern by which the vocabulary file splits text
+        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+").findall
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Add ``words`` to the memory."""
+        texts = [w.decode() for w in words]
+        cuts = [self.cut(t.lower() if t.isascii() else self.tokenizer.normalizer.normalize_str(t)) for t in texts]
+        pieces = self.pieces
+        missing = list({p for cut in cuts for p in cut if p not in pieces})
+        if len(pieces) + len(missing) > self.most:
+            pieces.clear()
+            missing = list({p for cut in cuts for p in cut})
+        for piece, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
+            pieces[piece] = array("I", found.ids).tobytes()
+        for word, cut in zip(words, cuts):
+            self.words[word] = pieces[cut[0]] if len(cut) == 1 else b"".join([pieces[p] for p in cut])
 
     def ids(self, text: str) -> np.ndarray:
         words = text.encode().split()
-        known = self.known
+        known = self.words
         missing = list({w for w in words if w not in known})
-        if len(known) + len(missing) > self.most:
+        if len(known) + len(missing) > self.most // 2:
             known.clear()
             missing = list(set(words))
         if missing:
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-            known.update((w, np.array(f.ids, dtype="<u4").tobytes()) for w, f in zip(missing, found))
+            self._learn(missing)
         return np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4")
 
 
