@@ -16,6 +16,7 @@ import sys
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from types import ModuleType
 from zlib import crc32
 
 import numpy as np
@@ -72,9 +73,17 @@ class CachedTokenizer:
         return np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4")
 
 
+def worker_tokenizer(path: str) -> CachedTokenizer:
+    """The tokenizer of this Python worker: its memory serves the worker's later tasks too."""
+    held = sys.modules.setdefault("_packing_memory", ModuleType("_packing_memory")).__dict__
+    if path not in held:
+        held[path] = CachedTokenizer(path)
+    return held[path]
+
+
 def _piece_rows(path: str, room: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = CachedTokenizer(path)
+        tokenizer = worker_tokenizer(path)
         for batch in batches:
             at, start, length, check, blobs, piece = [], [], [], [], [], []
             texts = batch.column("text")
