@@ -105,3 +105,15 @@ def adaptive_top_n(df: DataFrame, top: int = 50, sure: int = 10, drop: float = 0
 def attach_scores(matches: DataFrame, scored: DataFrame) -> DataFrame:
     """Matches with their tickers' scores; tickers without data keep nulls."""
     return matches.join(scored, "ticker", "left")
+
+
+def entity_score(df: DataFrame) -> DataFrame:
+    """Add ``entity``: share of ``entities`` that occur in the company's text or ticker; 0 without any."""
+    hits = F.size(F.filter("entities", lambda e: F.contains("combined_text", e) | F.contains(F.lower("ticker"), e)))
+    return df.withColumn("entity", F.when(F.coalesce(F.size("entities"), F.lit(0)) > 0, hits / F.size("entities")).otherwise(0.0))
+
+
+def corpus_guard(articles: DataFrame, least: int = 10) -> DataFrame:
+    """All articles, or none where there are fewer than ``least``."""
+    enough = articles.limit(least).agg((F.count("*") >= least).alias("_enough"))
+    return articles.join(F.broadcast(enough), F.col("_enough")).drop("_enough")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.words import BOILERPLATE, COMMON_WORDS, SHORT_WORDS, STOP_WORDS, SUFFIXES
+from ..functions.words import BOILERPLATE, COMMON_WORDS, GENERIC_TERMS, SHORT_WORDS, STOP_WORDS, SUFFIXES
 
 
 def clean_tokens(text: Column) -> Column:
@@ -97,3 +97,32 @@ def extract_section(elements: DataFrame, reach: int = 1000) -> DataFrame:
     end = ends.groupBy("filing").agg(F.min("pos").alias("end"))
     bounds = start.join(end, "filing", "left").withColumn("end", F.coalesce("end", F.col("start") + reach))
     return elements.join(bounds, "filing").where("pos >= start and pos < end").select("filing", "pos", "text")
+
+
+def extract_keywords(df: DataFrame, text: str = "fulltext") -> DataFrame:
+    """Add ``keywords``: the cleaned words of a text, repeats included, without generic terms."""
+    keep = F.filter(clean_tokens(F.col(text)), lambda w: ~w.isin(*sorted(GENERIC_TERMS)))
+    return df.withColumn("keywords", F.array_join(keep, " "))
+
+
+def tag_entities(articles: DataFrame, gazetteer: DataFrame, labels: tuple[str, ...] = ("ORG", "GPE", "PRODUCT"), high: int = 3) -> DataFrame:
+    """``(article_id, entities, hits)``: runs of one to ``high`` words that ``gazetteer(surface, label)`` lists under ``labels``."""
+    known = gazetteer.where(F.col("label").isin(*labels)).select("surface").distinct()
+    # runs are counted per article before they shuffle
+    tokens = articles.select("article_id", clean_tokens(F.col("fulltext")).alias("tokens"))
+    runs = tokens.select("article_id", F.explode(ngrams(F.col("tokens"), 1, high)).alias("surface"))
+    hits = runs.groupBy("article_id", "surface").agg(F.count("*").alias("n")).join(known, "surface")
+    return hits.groupBy("article_id").agg(F.array_join(F.sort_array(F.collect_set("surface")), " ").alias("entities"), F.sum("n").alias("hits"))
+
+
+def enrich_descriptions(companies: DataFrame, numbers: DataFrame, sections: DataFrame) -> DataFrame:
+    """``description`` followed by the filing section of the company's number, where there is one."""
+    out = companies.join(numbers, "ticker", "left").join(sections, "cik", "left")
+    return out.withColumn("description", F.when(F.col("section").isNotNull(), F.concat_ws(" ", "description", "section")).otherwise(F.col("description"))).select(*companies.columns)
+
+
+def drop_repeats(articles: DataFrame, text: str = "fulltext") -> DataFrame:
+    """Articles without later ones of the same text, case and white space aside."""
+    key = F.md5(F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "))))
+    first = articles.groupBy(key.alias("_key")).agg(F.min("article_id").alias("article_id"))
+    return articles.join(first.select("article_id"), "article_id", "left_semi")

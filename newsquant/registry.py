@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import articles, stocks
+from .plans import articles, records, stocks
 
-PLANS = (stocks, articles)
+PLANS = (stocks, articles, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
