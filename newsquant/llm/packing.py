@@ -64,13 +64,13 @@ class CachedTokenizer:
     def ids(self, text: str) -> np.ndarray:
         words = text.encode().split()
         known = self.words
-        missing = list({w for w in words if w not in known})
+        missing = list(set(words).difference(known))
         if len(known) + len(missing) > self.most // 2:
             known.clear()
             missing = list(set(words))
         if missing:
             self._learn(missing)
-        return np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4")
+        return np.frombuffer(b"".join(map(known.__getitem__, words)), dtype="<u4")
 
 
 def worker_tokenizer(path: str) -> CachedTokenizer:
