@@ -6,9 +6,11 @@ into ``bands * rows`` bins and a line keeps its smallest shingle hash in each; a
 bins' content, and lines that share a band meet in a bucket. In a bucket every line is verified
 against the bucket's smallest line by exact Jaccard similarity of the shingle sets, and those
 that do not match it once more among themselves: a large group of alike lines takes as many
-comparisons as it has lines. Lines still unmatched are joined exactly on their rarest shingles,
-where alike sets must meet. Verified links feed the distributed union-find; of a component only the line with the smallest (document, position)
-stays.
+comparisons as it has lines. These links only join lines cheaply beforehand. All distinct lines,
+linked or not, are then joined exactly on their rarest shingles, where alike sets must meet, and
+every pair not yet in one component is verified: no link between components is missed, whatever
+the bands. Links feed the distributed union-find; of a component only the line with the smallest
+(document, position) stays.
 
 Null and empty texts have no lines that count. Lines of fewer than ``least_words`` words are
 never removed. A line that occurs twice in one document stays once. Repeated rows of one id are
@@ -53,31 +55,36 @@ def _line_rows(docs: DataFrame, key: str, text: str, least_words: int) -> DataFr
     return own.where(enough).withColumn("id", F.xxhash64("line"))
 
 
-def line_links(lines: DataFrame, scratch: Scratch, threshold: float, chars: int, rounds: int = 2) -> DataFrame:
-    """Verified links ``(a, b)`` among distinct ``lines(id, line, keys)``."""
+def bucket_links(lines: DataFrame, scratch: Scratch, threshold: float, rounds: int = 2) -> DataFrame:
+    """Verified links ``(a, b)`` among distinct ``lines(id, set, keys)`` that share a band: some of all."""
     active = scratch.save(lines.select("id", F.explode("keys").alias("bucket")))
     shared = active.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     pairs = scratch.save(active.join(shared.drop("n"), "bucket").select("bucket", "id", "hub"))
     scratch.free(active)
-    some = pairs.select("id").distinct()
-    sets = scratch.save(lines.join(some, "id").select("id", shingles(F.col("line"), chars).alias("set")))
     found = []
     for _ in range(rounds):
         tried = pairs.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-        links = scratch.save(_alike(tried, sets, threshold))
+        links = scratch.save(_alike(tried, lines, threshold))
         found.append(links)
         left = pairs.where("id <> hub").join(links.toDF("hub", "id"), ["hub", "id"], "left_anti").select("bucket", "id")
         again = left.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
         rest = scratch.save(left.join(again.drop("n"), "bucket").select("bucket", "id", "hub"))
         scratch.free(pairs)
         pairs = rest
-    found.append(_prefix_links(sets.join(pairs.select("id").distinct(), "id", "left_semi"), sets, threshold))
+    scratch.free(pairs)
     out = found[0]
     for links in found[1:]:
         out = out.unionByName(links)
     return out
 
 
+def line_components(lines: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """``(id, component)`` of all distinct ``lines(id, set, keys)`` that link: components of every alike pair."""
+    known = components(bucket_links(lines, scratch, threshold), scratch)
+    more = scratch.save(_prefix_links(lines.select("id", "set"), known, scratch, threshold))
+    return components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets have at least ``threshold`` Jaccard similarity."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("a_set")), "a")
@@ -86,18 +93,23 @@ def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(common >= F.lit(threshold) * (F.size("a_set") + F.size("b_set") - common)).select("a", "b")
 
 
-def _prefix_links(some: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """All links among ``some(id, set)``: alike sets share one of their rarest members.
+def _prefix_links(sets: DataFrame, known: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """All links among ``sets(id, set)`` between different components of ``known(id, component)``.
 
     Sets of ``n`` that are alike share a member among the first ``n - ceil(t * n) + 1`` in any
-    common order; rarest first keeps the meeting groups small.
+    common order; rarest first keeps the meeting groups small. Groups of one component are left out.
     """
-    member = some.select("id", F.size("set").alias("n"), F.explode("set").alias("h"))
+    member = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("h"))
     often = member.groupBy("h").agg(F.count("*").alias("f"))
     place = Window.partitionBy("id").orderBy("f", "h")
     rare = member.join(often, "h").withColumn("at", F.row_number().over(place))
-    rare = rare.where((F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1) & (F.col("f") > 1)).select("h", "id")
-    pairs = rare.select("h", F.col("id").alias("a")).join(rare.select("h", F.col("id").alias("b")), "h").where("a < b")
+    rare = rare.where((F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1) & (F.col("f") > 1)).select("h", "id", "n")
+    rare = scratch.save(rare.join(known, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("own")))
+    mixed = rare.groupBy("h").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("h")
+    rare = rare.join(mixed, "h", "left_semi")
+    left, right = (rare.select("h", F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("own").alias(f"{x}_own")) for x in "ab")
+    size = F.least("a_n", "b_n") >= F.lit(threshold) * F.greatest("a_n", "b_n") - 1e-9
+    pairs = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.col("a_own") != F.col("b_own")) & size)
     return _alike(pairs.select("a", "b").distinct(), sets, threshold)
 
 
@@ -106,8 +118,9 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
     scratch = Scratch(docs.sparkSession, "lines")
     occurrences = _line_rows(docs, key, text, least_words)
     distinct = occurrences.groupBy("id").agg(F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
-    distinct = scratch.save(distinct.withColumn("keys", bands(shingles(F.col("line"), chars), n_bands, rows)))
-    found = components(line_links(distinct, scratch, threshold, chars), scratch)
+    distinct = distinct.withColumn("set", shingles(F.col("line"), chars)).drop("line")
+    distinct = scratch.save(distinct.withColumn("keys", bands(F.col("set"), n_bands, rows)))
+    found = line_components(distinct, scratch, threshold)
     heads = distinct.select("id", "first", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = heads.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
     keep = heads.join(several.select("component", "keep"), "component").select("id", "keep")

@@ -138,6 +138,29 @@ def test_lines_keep_one_of_alike(spark, empty):
     assert lines.removed_lines(empty).count() == 0
 
 
+def test_lines_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    base = [f"word{i:03d}" for i in range(25)]
+    texts = [" ".join(base)]
+    for _ in range(250):  # edited copies of one template, and of its copies: chains and rivals for a bucket's head
+        w = texts[rng.integers(len(texts))].split()
+        for at in rng.integers(0, 25, rng.integers(1, 4)):
+            w[at] = f"edit{rng.integers(1000):03d}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"other{k}x{i}" for i in range(20)) for k in range(30)]
+    cut = lambda t: {t[m.start() : m.start() + 9] for m in re.finditer(r"(?<!\S)\S", t)}
+    sets = [cut(t) for t in texts]
+    label = list(range(len(texts)))
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for how in ({}, {"n_bands": 1, "rows": 40}):  # the bands must not decide the result
+        gone = {r.doc for r in lines.removed_lines(frame, **how).collect()}
+        assert gone == {i for i, low in enumerate(label) if low != i}
+
+
 def test_lattice_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((60, 16))
