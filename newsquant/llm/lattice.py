@@ -62,8 +62,8 @@ def e8_decode(x: np.ndarray) -> np.ndarray:
 class LatticeHash:
     """Cells of unit vectors; the same vector gets the same cells in any batch."""
 
-    tables: int = 6
-    probes: int = 6
+    tables: int = 8
+    probes: int = 8
     scale: float = 1.5
     seed: int = 5
 

@@ -186,6 +186,17 @@ def test_lattice_recall():
     assert ((x[:, :, :1] == y).any(axis=2) | (x == y[:, :, :1]).any(axis=2)).any(axis=1).mean() > 0.97
 
 
+def test_lattice_border_recall():
+    rng = np.random.default_rng(7)
+    a, b = rng.standard_normal((2, 10000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(0.19) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    how = lattice.LatticeHash()
+    x, y = how.cells(a), how.cells(b)
+    assert ((x[:, :, :1] == y).any(axis=2) | (x == y[:, :, :1]).any(axis=2)).any(axis=1).mean() > 0.9995
+
+
 def test_extraction(spark):
     page = "<html><head><title>t</title></head><body><nav><a>menu</a></nav><article><h1>Head</h1><p>One &amp; two<br>three<p>Four<script>x</script></article><div class='comments'><p>bad</p></div><footer>f</footer>"
     bare = lambda t: f"<body><div>Shared top</div><div>{t} and some more words</div><div>Shared end</div>"
