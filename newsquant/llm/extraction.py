@@ -30,15 +30,15 @@ from .common import Scratch
 
 CHROME, ARTICLE, UNKNOWN = 0, 1, 2
 #: Element names and the words of class, id and role that mark page chrome.
-CHROME_TAGS = frozenset("nav header footer aside form head menu dialog button select option label fieldset figcaption".split())
-RAW_TAGS = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "title", "math", "canvas", "audio", "video")
+CHROME_TAGS = frozenset("nav header footer aside form head menu dialog button select option label fieldset".split())
+RAW_TAGS = ("script", "style", "template", "textarea", "svg", "iframe", "title", "audio", "video")
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CHROME_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side widget menu nav navbar navigation breadcrumb breadcrumbs header footer masthead comment comments disqus respond replies reply share sharing social follow newsletter subscribe subscription signup login related recommended pagination pager skip toolbar search complementary contentinfo".split()
 )
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW_TAGS) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
+    r"<!--.*?(?:-->|\Z)|<(?:" + "|".join(RAW_TAGS) + r")(?![\w:-])(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<=/)>|<(?P<raw>" + "|".join(RAW_TAGS) + r")(?![\w:-])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?</(?P=raw)\s*>)?|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
@@ -54,12 +54,33 @@ def _is_chrome(tag: str, attrs: str) -> bool:
     return not words.isdisjoint(CHROME_WORDS) or bool(_HIDDEN.search(attrs))
 
 
+def _wrappers(source: str) -> set[int]:
+    """Places of the start tags of open elements that hold an article or main element of the page."""
+    held: set[int] = set()
+    stack: list[tuple[str, int]] = []
+    for token in _TOKEN.finditer(source):
+        tag = (token["tag"] or "").lower()
+        if not tag or tag in VOID_TAGS or (token["attrs"].rstrip().endswith("/") and not token["end"]):
+            continue
+        if token["end"]:
+            if any(t == tag for t, _ in stack):
+                while stack.pop()[0] != tag:
+                    pass
+            continue
+        if tag in ("article", "main"):
+            held.update(at for _, at in stack)
+            held.add(token.start())
+        stack.append((tag, token.start()))
+    return held
+
+
 def page_blocks(html: str | None) -> list[tuple[str, int]]:
     """Text blocks of a page in order, each with CHROME, ARTICLE or UNKNOWN."""
     source = html or ""
     blocks: list[tuple[str, int]] = []
     stack: list[tuple[str, int]] = []  # open elements that change the verdict, or are blocks
     verdict, parts, at, article = UNKNOWN, [], 0, False
+    wrappers = _wrappers(source)
 
     def flush() -> None:
         text = " ".join(html_names.unescape("".join(parts)).split())
@@ -91,7 +112,8 @@ def page_blocks(html: str | None) -> list[tuple[str, int]]:
                     if open_tag == tag:
                         break
             continue
-        chrome = _is_chrome(tag, attrs)
+        # a word of class, id or role does not make chrome of an article or of what holds one
+        chrome = tag in CHROME_TAGS or (token.start() not in wrappers and _is_chrome(tag, attrs))
         if tag in ("article", "main") and not chrome and not article:
             if verdict == CHROME:  # an unclosed menu cannot hold the article
                 flush()

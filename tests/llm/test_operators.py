@@ -206,6 +206,16 @@ def test_extraction(spark):
     assert extraction.shared_lines(np.array([1, 2, 3, 4]), np.array([1, 3, 9, 4])).tolist() == [0, 2, 3]
 
 
+def test_extraction_keeps_what_the_article_holds():
+    text = lambda page: [t for t, m in extraction.page_blocks(page) if m == extraction.ARTICLE]
+    assert text("<article><p>One</p><figure><figcaption>Caption</figcaption></figure><p>x <math><mi>y</mi></math></p></article>") == ["One", "Caption", "x y"]
+    assert text("<article><p>One</p><noscript>two</noscript><object>three</object><canvas>four</canvas></article>") == ["One", "twothreefour"]
+    assert text("<body><svg/><svg width='1' /><article><p>One</p></article>") == ["One"]
+    assert text("<body><svg><article><p>One</p></article>") == ["One"]
+    assert text("<body><article class='post has-comments'><p>One</p></article>") == ["One"]
+    assert text("<body><div class='content with-sidebar'><div class='sidebar'>no</div><article><p>One</p><div class='ad'>no</div></article></div>") == ["One"]
+
+
 def test_trees_learn_and_empty_texts_score(spark, docs):
     rng = np.random.default_rng(0)
     x = rng.random((600, len(classifier.FEATURES)))
