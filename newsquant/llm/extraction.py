@@ -3,11 +3,12 @@
 Each page becomes text lines (blocks) with what their markup says: chrome, article, or nothing.
 Pages are ordered by host and URL path over the whole table; each is paired with its nearest
 neighbours of the same host, the lines are aligned by longest common subsequence, and shared
-lines are deleted. Markup then settles what differencing alone gets wrong: lines inside an
-article element are never deleted for being shared (copies of an article share all of it), and
-menus or adverts that differ from page to page go by their element, class or id.
+lines are deleted, in articles too. Markup settles what differencing alone gets wrong: menus or
+adverts that differ from page to page go by their element, class or id.
 
-A pair that shares most of its text is a copy and not evidence of a template. Null html gives
+A pair that shares most of its article text (of its text without chrome, where no element says
+article) is a copy and not evidence of a template. A page without other evidence keeps what its
+article element holds, or all but chrome. Null html gives
 an empty text; null urls form a host of their own. Repeated rows are pages of their own. An
 empty table gives an empty result. Unclosed elements end where their parent ends.
 """
@@ -37,8 +38,11 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 CHROME_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side widget menu nav navbar navigation breadcrumb breadcrumbs header footer masthead comment comments disqus respond replies reply share sharing social follow newsletter subscribe subscription signup login related recommended pagination pager skip toolbar search complementary contentinfo".split()
 )
+#: Content of these stands in for what a browser shows elsewhere; it counts inside an article only.
+FALLBACK_TAGS = frozenset("noscript object canvas".split())
+_RAW = "|".join(RAW_TAGS)
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:" + "|".join(RAW_TAGS) + r")(?![\w:-])(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<=/)>|<(?P<raw>" + "|".join(RAW_TAGS) + r")(?![\w:-])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?</(?P=raw)\s*>)?|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
+    r"<!--.*?(?:-->|\Z)|<(?:" + _RAW + r")(?:\s*/|(?![\w:-])(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<=[\s\"']/))>|<(?P<raw>" + _RAW + r")(?![\w:-])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?</(?P=raw)\s*>)?|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
@@ -93,6 +97,9 @@ def page_blocks(html: str | None) -> list[tuple[str, int]]:
         at = token.end()
         tag = token["tag"]
         if tag is None:
+            if (token["raw"] or "").lower() in ("script", "style") and "</" not in token[0]:
+                at = len(source)  # unclosed code runs to the end of the page
+                break
             continue
         tag = tag.lower()
         if tag in BLOCK_TAGS:
@@ -113,7 +120,7 @@ def page_blocks(html: str | None) -> list[tuple[str, int]]:
                         break
             continue
         # a word of class, id or role does not make chrome of an article or of what holds one
-        chrome = tag in CHROME_TAGS or (token.start() not in wrappers and _is_chrome(tag, attrs))
+        chrome = tag in CHROME_TAGS or (tag in FALLBACK_TAGS and verdict != ARTICLE and token.start() not in wrappers) or (token.start() not in wrappers and _is_chrome(tag, attrs))
         if tag in ("article", "main") and not chrome and not article:
             if verdict == CHROME:  # an unclosed menu cannot hold the article
                 flush()
@@ -180,16 +187,22 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _difference(copy_share: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            gone = []
-            for own, size, *others in zip(batch["hashes"], batch["sizes"], batch["before"], batch["after"]):
+            gone, decided = [], []
+            for own, size, mark, *others in zip(batch["hashes"], batch["sizes"], batch["marks"], batch["before"], batch["after"]):
                 lines: set[int] = set()
+                differs = False
+                # copies are judged by the article, or by all that is not chrome where no element says article
+                body = mark == ARTICLE if (mark == ARTICLE).any() else mark == UNKNOWN
                 for other in others:
-                    if other is not None and len(own):
-                        shared = shared_lines(own, other)
-                        if len(shared) and size[shared].sum() <= copy_share * size.sum():
-                            lines.update(shared.tolist())
+                    if other is None or not len(own):
+                        continue
+                    shared = shared_lines(own, other)
+                    if size[shared][body[shared]].sum() <= copy_share * size[body].sum():
+                        lines.update(shared.tolist())
+                        differs = True
                 gone.append(sorted(lines))
-            yield pd.DataFrame({"row": batch["row"], "gone": gone})
+                decided.append(differs)
+            yield pd.DataFrame({"row": batch["row"], "gone": gone, "decided": decided})
 
     return run
 
@@ -203,23 +216,24 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     # neighbours by (host, path, page): sort globally, number the rows from counts per partition
     where = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 1)
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
-    order = parsed.select("row", "page", "hashes", "sizes", F.lower(where).alias("host"), path.alias("path"))
+    order = parsed.select("row", "page", "hashes", "sizes", "marks", F.lower(where).alias("host"), path.alias("path"))
     order = order.repartitionByRange("host", "path", "page", "row").sortWithinPartitions("host", "path", "page", "row")
     order = scratch.save(order.drop("path", "page").withColumn("at", F.monotonically_increasing_id()))
     part = F.shiftright("at", 33)
     counts = order.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # one row per partition
     starts = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     order = order.withColumn("part", part).join(F.broadcast(starts), "part")
-    order = order.select("row", "host", "hashes", "sizes", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
+    order = order.select("row", "host", "hashes", "sizes", "marks", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
     near = lambda step, name: order.select((F.col("rank") + step).alias("rank"), F.col("host").alias(f"{name}_host"), F.col("hashes").alias(name))
     pairs = order.join(near(1, "before"), "rank", "left").join(near(-1, "after"), "rank", "left")
-    pairs = pairs.select("row", "hashes", "sizes", *[F.when(F.col(f"{n}_host") == F.col("host"), F.col(n)).alias(n) for n in ("before", "after")])
-    gone = pairs.mapInPandas(_difference(copy_share), "row long, gone array<int>").where(F.size("gone") > 0)
-    in_article = F.exists("marks", lambda m: m == ARTICLE)
-    settled = parsed.where(in_article).select("page", "url", F.filter("texts", lambda t, i: F.get("marks", i) == ARTICLE).alias("lines"))
-    open_pages = parsed.where(~in_article).join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    lines = F.filter("texts", lambda t, i: (F.get("marks", i) == UNKNOWN) & ~F.array_contains("gone", i))
-    out = settled.unionByName(open_pages.select("page", "url", lines.alias("lines")))
+    pairs = pairs.select("row", "hashes", "sizes", "marks", *[F.when(F.col(f"{n}_host") == F.col("host"), F.col(n)).alias(n) for n in ("before", "after")])
+    gone = pairs.mapInPandas(_difference(copy_share), "row long, gone array<int>, decided boolean").where("decided")
+    pages_gone = parsed.join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    # without evidence from another page, an article element alone says what is text
+    outside = F.coalesce("decided", F.lit(False)) | ~F.exists("marks", lambda m: m == ARTICLE)
+    stays = lambda i: (F.get("marks", i) == ARTICLE) | ((F.get("marks", i) == UNKNOWN) & outside)
+    lines = F.filter("texts", lambda t, i: stays(i) & ~F.array_contains("gone", i))
+    out = pages_gone.select("page", "url", lines.alias("lines"))
     return out.select(F.col("page").alias(key), F.col("url").alias(url), F.array_join("lines", "\n\n").alias("text"))
 
 

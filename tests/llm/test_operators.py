@@ -212,10 +212,21 @@ def test_extraction_keeps_what_the_article_holds():
     assert text("<article><p>One</p><noscript>two</noscript><object>three</object><canvas>four</canvas></article>") == ["One", "twothreefour"]
     assert text("<body><svg/><svg width='1' /><article><p>One</p></article>") == ["One"]
     assert text("<body><svg><article><p>One</p></article>") == ["One"]
+    assert text("<body><article><p>One</p><script>let x = 1;") == ["One"]
     assert text("<body><article class='post has-comments'><p>One</p></article>") == ["One"]
     assert text("<body><div class='content with-sidebar'><div class='sidebar'>no</div><article><p>One</p><div class='ad'>no</div></article></div>") == ["One"]
 
 
+def test_extraction_differences_pages_with_an_article(spark):
+    page = lambda t: f"<body><article><p>Our paper is printed daily</p><p>{t} one two three four five six seven</p></article><div>Rest of {t}</div><div>Shared end</div>"
+    rows = [(1, "http://a/1", page("first")), (2, "http://a/2", page("second")), (3, "http://c/1", page("copy")), (4, "http://c/2", page("copy")), (5, "http://d/1", page("alone"))]
+    got = {r.page_id: r.text.split("\n\n") for r in extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, t in ((1, "first"), (2, "second")):
+        assert got[i] == [f"{t} one two three four five six seven", f"Rest of {t}"]
+    for i, t in ((3, "copy"), (4, "copy"), (5, "alone")):
+        assert got[i] == ["Our paper is printed daily", f"{t} one two three four five six seven"]
+
+
 def test_trees_learn_and_empty_texts_score(spark, docs):
     rng = np.random.default_rng(0)
     x = rng.random((600, len(classifier.FEATURES)))
