@@ -33,7 +33,8 @@ class CachedTokenizer:
 
     The file's normaliser and pre-tokeniser keep nothing across ASCII white space, so words between
     such spaces stand alone; a new word is normalised, cut as the file's pre-tokeniser cuts it, and
-    only new pieces are encoded. Both memories are bounded.
+    only new pieces are encoded. Both memories are bounded. Texts are cut at the file's added tokens
+    first, as the library does, and these give their own ids.
     """
 
     def __init__(self, path: str, most: int = 600_000):
@@ -43,6 +44,9 @@ class CachedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        marks = "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))
+        self.marks = regex.compile(f"({marks})") if marks else None
         self.most, self.words, self.pieces = most, {}, {}
         # fixed values: the pattern by which the vocabulary file splits text
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+").findall
@@ -62,6 +66,12 @@ class CachedTokenizer:
             self.words[word] = pieces[cut[0]] if len(cut) == 1 else b"".join([pieces[p] for p in cut])
 
     def ids(self, text: str) -> np.ndarray:
+        if self.marks is None or not self.marks.search(text):
+            return self._plain(text)
+        parts = self.marks.split(text)  # texts at even places, added tokens at odd ones
+        return np.concatenate([np.array([self.added[p]], dtype="<u4") if i % 2 else self._plain(p) for i, p in enumerate(parts)])
+
+    def _plain(self, text: str) -> np.ndarray:
         words = text.encode().split()
         known = self.words
         missing = list(set(words).difference(known))

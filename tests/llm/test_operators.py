@@ -106,6 +106,19 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_ids_equal_the_tokenizer(spark):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    texts = [*TEXTS, "One <|endoftext|> two", "a<|endoftext|>b<|startoftext|><|endoftext|>", "<|startoftext|>", "A <|ENDOFTEXT|> <|endoftext| b"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc: (r.length, r.ids_crc32) for r in packing.token_pieces(frame, path, room=10**6).collect()}
+    tokenizer = Tokenizer.from_file(path)
+    for i, t in enumerate(texts):
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_plan_is_best_fit():
     slots = packing.plan_slots({5: 3, 3: 4, 2: 1}, 8)
     used = Counter()
