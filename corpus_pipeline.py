@@ -1,6 +1,8 @@
 """Corpus pipeline: quality rules, line dedup, SimHash near-dedup, substring dedup, packing.
 
-Every stage works on all that the one before kept, written as Parquet and read again.
+Every stage works on all that the one before kept, written as Parquet and read again. Each row
+is a document of its own: rows that repeat an id are deduped against each other like others, and
+rows with a null id are kept and cut like others, as documents that come after all with an id.
 """
 
 from __future__ import annotations
@@ -20,6 +22,13 @@ from newsquant.llm.substrings import dedup_substrings
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``, unique and rising with the id (nulls last), then the text; written, so that it stays."""
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last()]
+    docs = docs.select(*COLUMNS).repartitionByRange(*order).sortWithinPartitions(*order)
+    return Scratch(spark, "rows").save(docs.withColumn("row", F.monotonically_increasing_id()))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
     return apply_rules(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
@@ -27,19 +36,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an alike, earlier line stands for."""
-    return _counted(dedup_lines(docs.select(*COLUMNS)))
+    return _counted(dedup_lines(_numbered(spark, docs), "row"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each SimHash component."""
-    heads = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(heads, "doc_id", "left_semi").select(*COLUMNS)
+    """One row, the one of the smallest id, of each SimHash component."""
+    rows = _numbered(spark, docs)
+    heads = simhash_components(rows, "row").where("row = component_id").select("row")
+    return rows.join(heads, "row", "left_semi").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the word windows that an earlier document holds; untouched texts stay as they are."""
-    cut = dedup_substrings(docs).where("n_removed > 0").select(F.col("doc_id").alias("_doc"), F.col("kept").alias("_kept"))
-    out = docs.select(*COLUMNS).join(cut, docs["doc_id"] == cut["_doc"], "left")
+    """Documents without the word windows that an earlier row holds; untouched texts stay as they are."""
+    rows = _numbered(spark, docs)
+    cut = dedup_substrings(rows, "row").where("n_removed > 0").select("row", F.col("kept").alias("_kept"))
+    out = rows.join(cut, "row", "left")
     return _counted(out.withColumn("text", F.coalesce("_kept", "text")).select(*COLUMNS)).where("n_chars > 0")
 
 
