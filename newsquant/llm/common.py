@@ -7,6 +7,7 @@ from per-bucket counts.
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
@@ -52,12 +53,30 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def save_bucketed(self, df: DataFrame, column: str) -> DataFrame:
+        """Like :meth:`save`, dealt by ``column``: later groupings and joins on it need no shuffle."""
+        self.n += 1
+        path, name = f"{self.base}/{self.n}", f"scratch_{uuid.uuid4().hex}"
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, column).saveAsTable(name)
+        out = self.spark.table(name)
+        out._scratch_path, out._scratch_name = path, name
+        self.release()
+        return out
+
     def free(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
         for table in tables:
+            if name := getattr(table, "_scratch_name", None):
+                self.spark.sql(f"drop table if exists {name}")
             path = self.spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def release(self) -> None:
+        """Let shuffle files of finished steps go: Spark deletes them when the driver collects its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of ``edges(a, b)`` -> ``(id, component)``, the smallest id reachable.

@@ -1,29 +1,45 @@
 """Operator 6: fuzzy line dedup by MinHash, DataFrame functions only.
 
-A line's shingles are the ``chars`` characters from each word's start on. Equal lines collapse
-by hash before anything else. Signatures are one-permutation MinHashes: the hash range is cut
-into ``bands * rows`` bins and a line keeps its smallest shingle hash in each; a band is the
-bins' content, and lines that share a band meet in a bucket. In a bucket every line is verified
-against the bucket's smallest line by exact Jaccard similarity of the shingle sets, and those
-that do not match it once more among themselves: a large group of alike lines takes as many
-comparisons as it has lines. These links only join lines cheaply beforehand. All distinct lines,
-linked or not, are then joined exactly on their rarest shingles, where alike sets must meet, and
-every pair not yet in one component is verified: no link between components is missed, whatever
-the bands. Links feed the distributed union-find; of a component only the line with the smallest
-(document, position) stays.
-
-Null and empty texts have no lines that count. Lines of fewer than ``least_words`` words are
-never removed. A line that occurs twice in one document stays once. Repeated rows of one id are
-one document. Null ids take no part. An empty table gives an empty result.
+A line's shingles are its runs of ``chars`` characters, one from every position (a shorter line is
+one shingle). Equal lines collapse by hash before anything else. The signature is a
+one-permutation MinHash: the hash range is cut into ``n_bands * rows`` bins and a line keeps its
+smallest shingle hash in each. As only minima count, hashes that can hardly be one are left out
+before the grouping: ``deep`` hashes per bin stay on average. A band is ``rows`` bins, and lines
+that share a band meet in a bucket.
+
+(1) In each bucket every line is verified against the bucket's most frequent line by exact Jaccard
+similarity of the shingle sets, so a large group of copies takes as many comparisons as it has
+lines; union-find joins what links. (2) Lines of a bucket that are then still in different
+components are compared with each other, linked ones included. Each is held as what it lacks of
+the head's shingles and what it has beyond them, short lists for which bit masks bound the
+similarity from above; pairs that the bound leaves are tested exactly. Both tests are part of the
+join's condition, so only links leave the join. Each pair that shares a band is thus linked, or in
+one component already, or verified not to link.
+Of a component only the line with the smallest (document, position) stays.
+
+What can be missed is a pair that shares no band: 1.5 % of pairs at similarity 0.8 exactly,
+0.03 % at 0.9.
+
+Null and empty texts have no lines; lines of white space alone always stay. A line that occurs
+twice in one document stays once. Repeated rows of one id are one document: each loses the same
+positions. Rows with a null id take no part and keep all. Ties of similarity at the threshold
+link. A very long line costs time in proportion to its length. Two different lines with equal
+64-bit hashes would count as equal. An empty table gives an empty result. Columns named like
+inner ones (``_doc``, ``_removed``) are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
 
+#: Half of the hash range, as hashes are cut to 31 bits.
+_RANGE = 1 << 31
+#: Words of 64 bits in a mask of a list of shingles.
+_WORDS = 4
+
 
 def _let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once."""
@@ -31,117 +47,175 @@ def _let(value: Column, body) -> Column:
 
 
 def shingles(line: Column, chars: int) -> Column:
-    """Sorted distinct hashes of the ``chars`` characters from each word's start on."""
-    cut = F.regexp_extract_all(line, F.lit(rf"(?s)(?<![^\x20\x09-\x0D])(?=([^\x20\x09-\x0D].{{0,{chars - 1}}}))"), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(cut, lambda s: F.xxhash64(s))))
-
+    """Distinct hashes of all runs of ``chars`` characters."""
+    last = lambda raw: F.greatest(F.floor(F.length(raw) / 2).cast("int") - chars, F.lit(0))
+    cut = lambda raw: F.transform(F.sequence(F.lit(0), last(raw)), lambda i: F.xxhash64(F.substring(raw, i * 2 + 1, F.lit(2 * chars))))
+    return F.array_distinct(_let(F.encode(line, "UTF-16BE"), cut))
 
-def bands(hashes: Column, n_bands: int, rows: int) -> Column:
-    """Bucket keys of a sorted array of hashes; bands whose bins are all empty give none."""
-    bins = n_bands * rows
-    at = lambda x: F.floor(F.shiftrightunsigned(x, 32).cast("double") * F.lit(bins / 2.0**32)).cast("int")
 
-    def keys(tagged: Column) -> Column:
-        # signed order puts the upper half of the bins first; within a bin it is ascending
-        low = F.filter(tagged, lambda x, i: (i == 0) | (x["bin"] != F.get(tagged, i - 1)["bin"]))
-        return _let(low, lambda l: F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda b: _let(F.filter(l, lambda x: F.floor(x["bin"] / F.lit(rows)) == b), lambda own: F.when(F.size(own) > 0, F.xxhash64(own, b)))))
+def _common(a: Column, b: Column) -> Column:
+    return F.size(F.array_intersect(a, b))
 
-    return F.array_compact(_let(F.transform(hashes, lambda x: F.struct(at(x).alias("bin"), x.alias("h"))), keys))
 
+def signatures(lines: DataFrame, chars: int, n_bands: int, rows: int, deep: int) -> DataFrame:
+    """``(id, n, keys)`` of ``lines(id, n, line)``: a bucket key for each band that is not empty.
 
-def _line_rows(docs: DataFrame, key: str, text: str, least_words: int) -> DataFrame:
-    own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "line"))
-    enough = F.col("line").rlike(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}[^\x20\x09-\x0D]" % (least_words - 1))
-    return own.where(enough).withColumn("id", F.xxhash64("line"))
-
-
-def bucket_links(lines: DataFrame, scratch: Scratch, threshold: float, rounds: int = 2) -> DataFrame:
-    """Verified links ``(a, b)`` among distinct ``lines(id, set, keys)`` that share a band: some of all."""
-    active = scratch.save(lines.select("id", F.explode("keys").alias("bucket")))
-    shared = active.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    pairs = scratch.save(active.join(shared.drop("n"), "bucket").select("bucket", "id", "hub"))
-    scratch.free(active)
-    found = []
-    for _ in range(rounds):
-        tried = pairs.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-        links = scratch.save(_alike(tried, lines, threshold))
-        found.append(links)
-        left = pairs.where("id <> hub").join(links.toDF("hub", "id"), ["hub", "id"], "left_anti").select("bucket", "id")
-        again = left.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-        rest = scratch.save(left.join(again.drop("n"), "bucket").select("bucket", "id", "hub"))
-        scratch.free(pairs)
-        pairs = rest
-    scratch.free(pairs)
-    out = found[0]
-    for links in found[1:]:
-        out = out.unionByName(links)
-    return out
-
-
-def line_components(lines: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
-    """``(id, component)`` of all distinct ``lines(id, set, keys)`` that link: components of every alike pair."""
-    known = components(bucket_links(lines, scratch, threshold), scratch)
-    more = scratch.save(_prefix_links(lines.select("id", "set"), known, scratch, threshold))
-    return components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets have at least ``threshold`` Jaccard similarity."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("a_set")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("set").alias("b_set")), "b")
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    return both.where(common >= F.lit(threshold) * (F.size("a_set") + F.size("b_set") - common)).select("a", "b")
-
-
-def _prefix_links(sets: DataFrame, known: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
-    """All links among ``sets(id, set)`` between different components of ``known(id, component)``.
-
-    Sets of ``n`` that are alike share a member among the first ``n - ceil(t * n) + 1`` in any
-    common order; rarest first keeps the meeting groups small. Groups of one component are left out.
+    ``lines`` should be dealt by ``id``, so that nothing shuffles.
     """
-    member = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("h"))
-    often = member.groupBy("h").agg(F.count("*").alias("f"))
-    place = Window.partitionBy("id").orderBy("f", "h")
-    rare = member.join(often, "h").withColumn("at", F.row_number().over(place))
-    rare = rare.where((F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1) & (F.col("f") > 1)).select("h", "id", "n")
-    rare = scratch.save(rare.join(known, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("own")))
-    mixed = rare.groupBy("h").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("h")
-    rare = rare.join(mixed, "h", "left_semi")
-    left, right = (rare.select("h", F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("own").alias(f"{x}_own")) for x in "ab")
-    size = F.least("a_n", "b_n") >= F.lit(threshold) * F.greatest("a_n", "b_n") - 1e-9
-    pairs = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.col("a_own") != F.col("b_own")) & size)
-    return _alike(pairs.select("a", "b").distinct(), sets, threshold)
-
-
-def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, chars: int = 9, n_bands: int = 6, rows: int = 3, least_words: int = 5) -> DataFrame:
-    """``(doc, removed)``: sorted positions (from 0) of the lines to drop, for documents that lose any."""
+    bins = n_bands * rows
+    places = F.greatest(F.length("line") - (chars - 1), F.lit(1))
+    raw = lines.select("id", "n", F.encode("line", "UTF-16BE").alias("raw"), places.alias("places"))
+    limit = (F.least(F.lit(1.0), F.lit(float(deep * bins)) / F.col("places")) * float(_RANGE)).cast("long")
+    raw = raw.select("id", "n", "raw", limit.alias("limit"), "places")
+    at = raw.select("id", "n", "raw", "limit", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("i"))
+    h = at.select("id", "n", "limit", F.xxhash64(F.substring("raw", F.col("i") * 2 + 1, F.lit(2 * chars))).alias("h"))
+    h = h.where(F.col("h").bitwiseAND(F.lit(_RANGE - 1)) < F.col("limit"))
+    place = (F.shiftrightunsigned("h", 32) * bins / float(2**32)).cast("int")
+    h = h.select("id", "n", place.alias("bin"), F.col("h").bitwiseAND(F.lit(_RANGE - 1)).cast("int").alias("v"))
+    h = h.select("id", "n", F.floor(F.col("bin") / rows).cast("int").alias("band"), (F.col("bin") % rows).alias("row"), "v")
+    mins = h.groupBy("id", "n", "band").agg(*[F.min(F.when(F.col("row") == r, F.col("v")).otherwise(_RANGE - 1)).alias(f"m{r}") for r in range(rows)])
+    keyed = mins.select("id", "n", "band", F.xxhash64("band", *[f"m{r}" for r in range(rows)]).alias("key"))
+    out = keyed.groupBy("id", "n").agg(*[F.max(F.when(F.col("band") == b, F.col("key"))).alias(f"k{b}") for b in range(n_bands)])
+    return out.select("id", "n", F.array_compact(F.array(*[f"k{b}" for b in range(n_bands)])).alias("keys"))
+
+
+def bucket_members(marked: DataFrame) -> DataFrame:
+    """``(bucket, id, n)`` of the buckets of ``marked(id, n, keys)`` with two lines or more."""
+    dealt = marked.select(F.explode("keys").alias("bucket"), "id", "n")
+    shared = dealt.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1").select("bucket")
+    return dealt.join(shared, "bucket").select("bucket", "id", "n")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct ``(a, b)`` of ``rows(head, id)``, spread over all tasks: few bytes, but much work each."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(F.col("head").alias("a"), F.col("id").alias("b")).repartition(parts, "a", "b").distinct()
+
+
+def _with_sets(pairs: DataFrame, texts: DataFrame, chars: int, body) -> DataFrame:
+    """``(a, b)`` and the fields of ``body(x, y)`` over the shingle sets of both lines."""
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("a_line")), "a")
+    both = both.join(texts.select(F.col("id").alias("b"), F.col("line").alias("b_line")), "b")
+    sets = F.struct(shingles(F.col("a_line"), chars).alias("x"), shingles(F.col("b_line"), chars).alias("y"))
+    # a generator of one row, which the optimizer neither merges nor repeats
+    return both.select("a", "b", F.inline(F.array(_let(sets, lambda s: body(s["x"], s["y"])))))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, chars: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` among ``texts(id, line)`` whose shingle sets have at least ``threshold`` Jaccard similarity."""
+    counts = _with_sets(pairs, texts, chars, lambda x, y: F.struct(_common(x, y).alias("common"), (F.size(x) + F.size(y)).alias("sizes")))
+    return counts.where(_links(F.col("common"), F.col("sizes"), threshold)).select("a", "b")
+
+
+def _links(common: Column, sizes: Column, threshold: float) -> Column:
+    """``common / (sizes - common) >= threshold`` without a division."""
+    return common * (1 + threshold) >= sizes * threshold - 1e-9
+
+
+def _masks(values: str, name: str) -> list[Column]:
+    """``_WORDS`` longs with a bit set for each of ``values``."""
+    word = lambda w: F.filter(values, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(_WORDS - 1)) == w)
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    return [F.aggregate(word(w), F.lit(0).cast("long"), lambda m, h: m.bitwiseOR(bit(h))).alias(f"{name}{w}") for w in range(_WORDS)]
+
+
+def _only(a: str, b: str) -> Column:
+    """How many bits of the masks ``a`` those of ``b`` lack."""
+    bits = [F.bit_count(F.col(f"{a}{w}").bitwiseAND(F.bitwise_not(f"{b}{w}"))) for w in range(_WORDS)]
+    return sum(bits[1:], bits[0])
+
+
+def rest_links(members: DataFrame, heads: DataFrame, known: DataFrame, texts: DataFrame, scratch: Scratch, threshold: float, chars: int) -> DataFrame:
+    """Links ``(a, b)`` between lines of one bucket that are neither its head nor in one component yet."""
+    rows = members.join(heads, "bucket").where("id <> head")
+    rows = rows.join(known, "id", "left").select("bucket", "head", "id", F.coalesce("component", "id").alias("own"))
+    mixed = rows.groupBy("bucket").agg(F.min("own").alias("first"), F.max("own").alias("last")).where("first < last").select("bucket")
+    rows = scratch.save(rows.join(mixed, "bucket", "left_semi"))
+    pairs = _pairs(rows)
+    apart = _with_sets(pairs, texts, chars, lambda x, y: F.struct(F.size(x).alias("whole"), F.array_except(x, y).alias("less"), F.array_except(y, x).alias("more")))
+    apart = apart.select(F.col("a").alias("head"), F.col("b").alias("id"), "whole", "less", "more", *_masks("less", "l"), *_masks("more", "m"))
+    apart = scratch.save(apart)
+    rows = rows.join(apart, ["head", "id"]).drop("head")
+    left, right = (rows.select("bucket", *[F.col(c).alias(f"{x}_{c}") for c in rows.columns if c != "bucket"]) for x in "ab")
+    n = {x: [F.size(f"{x}_less"), F.size(f"{x}_more")] for x in "ab"}
+    sizes = F.col("a_whole") * 2 - n["a"][0] - n["b"][0] + n["a"][1] + n["b"][1]
+    most = F.col("a_whole") - n["a"][0] - _only("b_l", "a_l") + n["a"][1] - _only("a_m", "b_m")
+    exact = F.col("a_whole") - F.size(F.array_union("a_less", "b_less")) + _common(F.col("a_more"), F.col("b_more"))
+    on = (left["bucket"] == right["bucket"]) & (F.col("a_id") < F.col("b_id")) & (F.col("a_own") != F.col("b_own")) & _links(most, sizes, threshold) & _links(exact, sizes, threshold)
+    return left.join(right, on).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+
+
+def line_components(lines: DataFrame, scratch: Scratch, threshold: float = 0.8, chars: int = 9, n_bands: int = 8, rows: int = 4, deep: int = 3) -> DataFrame:
+    """``(id, component)`` of the distinct ``lines(id, n, line)`` that link; ``n`` says how often a line occurs."""
+    marked = scratch.save(signatures(lines, chars, n_bands, rows, deep))
+    members = scratch.save(bucket_members(marked))
+    scratch.free(marked)
+    texts = scratch.save(lines.select("id", "line").join(members.select("id").distinct(), "id", "left_semi"))
+    heads = scratch.save(members.groupBy("bucket").agg(F.max(F.struct("n", "id"))["id"].alias("head")))
+    star = _pairs(members.join(heads, "bucket").where("id <> head"))
+    links = scratch.save(verified(star, texts, threshold, chars))
+    known = components(links, scratch)
+    more = scratch.save(rest_links(members, heads, known, texts, scratch, threshold, chars))
+    scratch.free(members, texts, heads)
+    # a component's lines hang on its smallest; the links between components are few
+    found = components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
+    scratch.free(links, more)
+    scratch.release()
+    return found
+
+
+def _line_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "line"))
+    return own.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("id", F.xxhash64("line"))
+
+
+def _gone_lines(docs: DataFrame, key: str, text: str, threshold: float, **how) -> DataFrame:
+    """``(doc, no, id)`` of every line that an earlier line of its component stands for."""
     scratch = Scratch(docs.sparkSession, "lines")
-    occurrences = _line_rows(docs, key, text, least_words)
+    occurrences = _line_rows(docs, key, text)
     distinct = occurrences.groupBy("id").agg(F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
-    distinct = distinct.withColumn("set", shingles(F.col("line"), chars)).drop("line")
-    distinct = scratch.save(distinct.withColumn("keys", bands(F.col("set"), n_bands, rows)))
-    found = line_components(distinct, scratch, threshold)
-    heads = distinct.select("id", "first", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = heads.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
-    keep = heads.join(several.select("component", "keep"), "component").select("id", "keep")
-    gone = occurrences.select("doc", "no", "id").join(keep, "id").where(F.struct("doc", "no") != F.col("keep"))
-    return gone.groupBy("doc").agg(F.sort_array(F.collect_set("no")).alias("removed"))
+    distinct = scratch.save_bucketed(distinct, "id")
+    found = line_components(distinct.select("id", "n", "line"), scratch, threshold, **how)
+    heads = distinct.select("id", "first", "n").join(found, "id", "left")
+    alone = heads.where("component is null and n > 1").select("id", F.col("first").alias("keep"))
+    grouped = heads.where("component is not null")
+    keep = grouped.groupBy("component").agg(F.min("first").alias("keep"))
+    keep = scratch.save(alone.unionByName(grouped.join(keep, "component").select("id", "keep")))
+    scratch.free(distinct)
+    return occurrences.select("doc", "no", "id").join(keep, "id").where(F.struct("doc", "no") != F.col("keep")).select("doc", "no", "id")
+
 
+def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, **how) -> DataFrame:
+    """``(doc, removed)``: sorted positions (from 0) of the lines to drop, for documents that lose any.
+
+    ``how`` goes to :func:`line_components`: ``chars``, ``n_bands``, ``rows`` and ``deep``.
+    """
+    return _gone_lines(docs, key, text, threshold, **how).groupBy("doc").agg(F.sort_array(F.collect_set("no")).alias("removed"))
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, **how) -> DataFrame:
     """``docs`` with ``text`` reduced to the lines that stay; all columns and rows are kept."""
-    gone = removed_lines(docs, key, text, **how).select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed"))
-    out = docs.join(gone, docs[key] == gone["_doc"], "left")
-    # lines go one by one from the sorted list of what is dropped
-    stay = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("_removed", i))
-    return out.withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join(stay, "\n"))).drop("_doc", "_removed")
+    gone = _gone_lines(docs.select(key, text), key, text, threshold, **how)
+    gone = gone.groupBy("doc").agg(F.collect_set(F.struct("no", "id")).alias("removed"))
+    rows = docs.select(F.col(key).alias("doc"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = rows.join(gone, "doc", "left")
+    own = F.col("row")[text]
+
+    def reduced(lines: Column) -> Column:
+        # a row with a repeated id loses a line only where it holds that very line
+        held = F.filter("removed", lambda r: F.xxhash64(F.get(lines, r["no"])) == r["id"])
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(held, lambda r: r["no"]))
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+    own = F.when(F.col("removed").isNull(), own).otherwise(_let(F.split(own, "\n"), reduced))
+    return out.select(*[own.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     gone = removed_lines(docs)
-    sizes = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    sizes = sizes.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    sizes = docs.select("doc_id", F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"))
     out = sizes.join(gone, sizes["doc_id"] == gone["doc"], "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return out.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))

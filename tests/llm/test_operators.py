@@ -1,6 +1,5 @@
 """The training-data operators against brute force on small frames and on edge rows."""
 
-import hashlib
 import re
 import zlib
 from collections import Counter
@@ -143,35 +142,85 @@ def test_bpe_round_trip(docs, empty):
 def test_lines_keep_one_of_alike(spark, empty):
     line = " ".join(f"word{i}" for i in range(30))
     near = line.replace("word29", "other")
-    rows = [(1, f"{line}\nshort one"), (2, f"x\n{line}"), (3, f"{near}\n{near}"), (4, None), (5, "")]
+    rows = [(1, f"{line}\nshort"), (2, f"x\n{line}"), (3, f"{near}\n{near}"), (4, None), (5, ""), (6, "\n \n\n"), (7, "short\nX"), (None, line)]
     got = {r.doc: r.removed for r in lines.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {2: [1], 3: [0, 1]}
-    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.text for r in out} == {1: rows[0][1], 2: "x", 3: "", 4: None, 5: ""}
+    assert got == {2: [1], 3: [0, 1], 7: [0]}
+    frame = spark.createDataFrame([(*r, 7, 8, 9, "k") for r in rows], "doc_id long, text string, _doc int, _removed int, id int, line string")
+    out = lines.dedup_lines(frame).collect()
+    assert {r.doc_id: r.text for r in out} == {1: rows[0][1], 2: "x", 3: "", 4: None, 5: "", 6: "\n \n\n", 7: "X", None: line}
+    assert all((r._doc, r._removed, r.id, r.line) == (7, 8, 9, "k") for r in out)
     assert lines.removed_lines(empty).count() == 0
 
 
+def test_lines_of_repeated_ids_go_where_they_are(spark):
+    a, b = ("some line that says enough " * 3).strip(), ("a wholly different text here " * 3).strip()
+    frame = spark.createDataFrame([(1, a), (2, f"{b}\n{a}"), (2, f"{b}\nzebra"), (2, f"{b}\n{a}")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in lines.dedup_lines(frame).collect()) == [(1, a), (2, b), (2, b), (2, f"{b}\nzebra")]
+
+
+def _line_labels(texts, chars=9):
+    """The smallest index reachable over links of all pairs, by brute force."""
+    sets = [{t[i : i + chars] for i in range(max(1, len(t) - chars + 1))} for t in texts]
+    number = {s: i for i, s in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(texts), len(number)), dtype=np.float32)
+    for i, own in enumerate(sets):
+        held[i, [number[s] for s in own]] = 1
+    common, n = held @ held.T, held.sum(1)
+    links = np.argwhere(common / (n[:, None] + n - common) >= 0.8 - 1e-6)
+    label = np.arange(len(texts))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, links[:, 0], label[links[:, 1]])
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _gone(spark, texts, **how):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc for r in lines.removed_lines(frame, **how).collect()}
+
+
 def test_lines_equal_brute_force(spark):
     rng = np.random.default_rng(3)
-    base = [f"word{i:03d}" for i in range(25)]
+    base = [f"word{i:03d}" for i in range(40)]
     texts = [" ".join(base)]
     for _ in range(250):  # edited copies of one template, and of its copies: chains and rivals for a bucket's head
         w = texts[rng.integers(len(texts))].split()
-        for at in rng.integers(0, 25, rng.integers(1, 4)):
+        for at in rng.integers(0, 40, rng.integers(1, 4)):
             w[at] = f"edit{rng.integers(1000):03d}"
         texts.append(" ".join(w))
     texts += [" ".join(f"other{k}x{i}" for i in range(20)) for k in range(30)]
-    cut = lambda t: {t[m.start() : m.start() + 9] for m in re.finditer(r"(?<!\S)\S", t)}
-    sets = [cut(t) for t in texts]
-    label = list(range(len(texts)))
-    links = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    while any(label[a] != label[b] for a, b in links):
-        for a, b in links:
-            label[a] = label[b] = min(label[a], label[b])
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for how in ({}, {"n_bands": 1, "rows": 40}):  # the bands must not decide the result
-        gone = {r.doc for r in lines.removed_lines(frame, **how).collect()}
-        assert gone == {i for i, low in enumerate(label) if low != i}
+    assert _gone(spark, texts) == {i for i, low in enumerate(_line_labels(texts)) if low != i}
+
+
+def test_lines_of_chains_hang_together(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(60):  # neighbours link, ends do not
+        w = [f"w{rng.integers(10**6):06d}" for _ in range(40)]
+        for _ in range(6):
+            texts.append(" ".join(w))
+            for at in rng.choice(40, 2, replace=False):
+                w[at] = f"e{rng.integers(10**6):06d}"
+    want = {i for i, low in enumerate(_line_labels(texts)) if low != i}
+    found = _gone(spark, texts)
+    assert found <= want and len(found) >= 0.98 * len(want) > 200
+
+
+def test_lines_recall_at_the_threshold(spark):
+    """Of pairs of which each shingle is shared with chance 0.8 or a little more, nearly all meet in a bucket."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(300):
+        w = [f"u{rng.integers(10**6):06d}" for _ in range(60)]
+        rows.append((2 * k, " ".join(w)))
+        for at in rng.choice(60, 3, replace=False):
+            w[at] = f"v{rng.integers(10**6):06d}"
+        rows.append((2 * k + 1, " ".join(w)))
+    frame = spark.createDataFrame([(i, 1, t) for i, t in rows], "id long, n long, line string")
+    keys = {r.id: set(r["keys"]) for r in lines.signatures(frame, 9, 8, 4, 3).collect()}
+    assert sum(bool(keys[2 * k] & keys[2 * k + 1]) for k in range(300)) >= 0.97 * 300
 
 
 def test_lattice_equals_brute_force(spark):
@@ -250,7 +299,3 @@ def test_trees_learn_and_empty_texts_score(spark, docs):
     assert len(rows) == len(TEXTS) + 1 and all(0 <= r.score <= 1 for r in rows)
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in classifier.score(docs, classifier.train(docs, labels)).collect()} == {0.5}
-
-
-def test_digests():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
