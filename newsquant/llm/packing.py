@@ -28,16 +28,40 @@ from pyspark.sql import functions as F
 from .common import Scratch, ranked
 
 
+class Memory(dict):
+    """What was seen of late: at ``most / 2`` entries all of them grow old, and the old ones before are forgotten."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def missing(self, keys: set) -> list:
+        """Those of ``keys`` that must be learnt; old ones are taken over."""
+        new = [k for k in keys if k not in self]
+        if new and len(self) + len(new) > self.most // 2:
+            self.old = dict(self)
+            self.clear()
+            new = list(keys)
+        old, unknown = self.old, []
+        for key in new:
+            if key in old:
+                self[key] = old[key]
+            else:
+                unknown.append(key)
+        return unknown
+
+
 class CachedTokenizer:
     """Ids of texts by a ``tokenizers`` file, remembering those of words and of their pieces.
 
     The file's normaliser and pre-tokeniser keep nothing across ASCII white space, so words between
     such spaces stand alone; a new word is normalised, cut as the file's pre-tokeniser cuts it, and
-    only new pieces are encoded. Both memories are bounded. Texts are cut at the file's added tokens
-    first, as the library does, and these give their own ids.
+    only new pieces are encoded, many at a call: a piece ends with the token that the file marks as
+    a word's end. Both memories are bounded. Texts are cut at the file's added tokens first, as the
+    library does, and these give their own ids.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most_words: int = 800_000, most_pieces: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         import regex
         from tokenizers import Tokenizer
@@ -47,26 +71,37 @@ class CachedTokenizer:
         self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         marks = "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))
         self.marks = regex.compile(f"({marks})") if marks else None
-        self.most, self.words, self.pieces = most, {}, {}
+        self.words, self.pieces = Memory(most_words), Memory(most_pieces)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         # fixed values: the pattern by which the vocabulary file splits text
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+").findall
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Add ``words`` to the memory."""
-        texts = [w.decode() for w in words]
+    def _encode(self, pieces: list[str]) -> None:
+        """Add ``pieces`` to the memory."""
+        parts = [pieces[a : a + 64] for a in range(0, len(pieces), 64)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(found.ids, dtype="<u4")
+            raw, ends = ids.tobytes(), ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            if len(ends) != len(part):
+                raise ValueError("the vocabulary does not mark where words end")
+            self.pieces.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+
+    def learn(self, words: set[bytes]) -> None:
+        """Make sure that ``words`` are in the memory."""
+        new = self.words.missing(words)
+        texts = [w.decode() for w in new]
         cuts = [self.cut(t.lower() if t.isascii() else self.tokenizer.normalizer.normalize_str(t)) for t in texts]
+        if missing := self.pieces.missing({p for cut in cuts for p in cut}):
+            self._encode(missing)
         pieces = self.pieces
-        missing = list({p for cut in cuts for p in cut if p not in pieces})
-        if len(pieces) + len(missing) > self.most:
-            pieces.clear()
-            missing = list({p for cut in cuts for p in cut})
-        for piece, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            pieces[piece] = array("I", found.ids).tobytes()
-        for word, cut in zip(words, cuts):
+        for word, cut in zip(new, cuts):
             self.words[word] = pieces[cut[0]] if len(cut) == 1 else b"".join([pieces[p] for p in cut])
 
     def ids(self, text: str) -> np.ndarray:
-        if self.marks is None or not self.marks.search(text):
+        """Ids of one text."""
+        if not any(mark in text for mark in self.added):
             return self._plain(text)
         parts = self.marks.split(text)  # texts at even places, added tokens at odd ones
         return np.concatenate([np.array([self.added[p]], dtype="<u4") if i % 2 else self._plain(p) for i, p in enumerate(parts)])
@@ -74,13 +109,12 @@ class CachedTokenizer:
     def _plain(self, text: str) -> np.ndarray:
         words = text.encode().split()
         known = self.words
-        missing = list(set(words).difference(known))
-        if len(known) + len(missing) > self.most // 2:
-            known.clear()
-            missing = list(set(words))
-        if missing:
-            self._learn(missing)
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), dtype="<u4")
+        try:
+            raw = b"".join(map(known.__getitem__, words))
+        except KeyError:
+            self.learn(set(words))
+            raw = b"".join(map(known.__getitem__, words))
+        return np.frombuffer(raw, dtype="<u4")
 
 
 def worker_tokenizer(path: str) -> CachedTokenizer:
@@ -96,9 +130,11 @@ def _piece_rows(path: str, room: int, with_ids: bool):
         tokenizer = worker_tokenizer(path)
         for batch in batches:
             at, start, length, check, blobs, piece = [], [], [], [], [], []
-            texts = batch.column("text")
-            for i in range(len(batch)):
-                ids = np.append(tokenizer.ids(texts[i].as_py() or ""), np.uint32(0)).astype("<u4")
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for i, text in enumerate(texts):
+                if i % 256 == 0:  # many texts' new words at a call
+                    tokenizer.learn({w for t in texts[i : i + 256] for w in t.encode().split()})
+                ids = np.append(tokenizer.ids(text), np.uint32(0)).astype("<u4")
                 for n, a in enumerate(range(0, len(ids), room)):
                     raw = ids[a : a + room].tobytes()
                     at.append(i)
