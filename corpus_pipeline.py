@@ -22,10 +22,18 @@ from newsquant.llm.substrings import dedup_substrings
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with ``row``, unique and rising with the id (nulls last), then the text; written, so that it stays."""
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``, unique and rising with the id (nulls last), then the text.
+
+    Where ids are unique and none is null, ``row`` is the id. Otherwise the rows are sorted, numbered
+    and written, so that the numbers stay.
+    """
+    docs = docs.select(*COLUMNS)
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if not ids.where("n > 1 or doc_id is null").limit(1).count():
+        return docs.withColumn("row", F.col("doc_id"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last()]
-    docs = docs.select(*COLUMNS).repartitionByRange(*order).sortWithinPartitions(*order)
+    docs = docs.repartitionByRange(*order).sortWithinPartitions(*order)
     return Scratch(spark, "rows").save(docs.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -35,23 +43,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an alike, earlier line stands for."""
-    return _counted(dedup_lines(_numbered(spark, docs), "row"))
+    """Documents without the lines that an alike, earlier line stands for; rows without a text stay."""
+    return _counted(dedup_lines(_keyed(spark, docs), "row"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, the one of the smallest id, of each SimHash component."""
-    rows = _numbered(spark, docs)
+    """One row, the first by id and text, of each SimHash component; texts without words are one component."""
+    rows = _keyed(spark, docs)
     heads = simhash_components(rows, "row").where("row = component_id").select("row")
     return rows.join(heads, "row", "left_semi").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the word windows that an earlier row holds; untouched texts stay as they are."""
-    rows = _numbered(spark, docs)
-    cut = dedup_substrings(rows, "row").where("n_removed > 0").select("row", F.col("kept").alias("_kept"))
-    out = rows.join(cut, "row", "left")
-    return _counted(out.withColumn("text", F.coalesce("_kept", "text")).select(*COLUMNS)).where("n_chars > 0")
+    """Documents without the word windows that an earlier row holds; untouched texts stay as they are.
+
+    Rows of which nothing is left go, those without a text too.
+    """
+    out = dedup_substrings(_keyed(spark, docs), "row", whole=True, carry=("doc_id", "lang", "source"))
+    return _counted(out.withColumnRenamed("kept", "text")).where("n_chars > 0")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,8 +14,9 @@ in a batch are settled there, and one row per batch goes through the shuffle.
 Nulls and texts without words have no windows and keep nothing. Of equal texts the smallest id
 is the source. Repeated rows of one id are one document: neither removes from the other. Rows
 with a null id are one document that comes after all others; the largest long stands for it
-inside, which makes the key non-null, so that one shuffle of the texts serves all three passes.
-An empty table gives an empty result.
+inside, which makes the key non-null. Texts are dealt by document once, into a written table that
+all passes read without a shuffle. Very long texts take memory in proportion to their length.
+Columns of ``carry`` may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ import pyspark.cloudpickle as cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Words of a minimizer; ``width - K + 1`` must be a power of two.
 K = 6
 _LAST = 2**63 - 1
@@ -166,10 +169,11 @@ def _path_rows(width: int):
     return run
 
 
-def removed_spans(docs: DataFrame, width: int = 13) -> DataFrame:
+def removed_spans(docs: DataFrame, scratch: Scratch, width: int = 13) -> DataFrame:
     """``(doc, text_hash, start, size)``: runs of windows of ``docs(doc, text)`` that an earlier document also starts.
 
-    ``docs`` must hold one row per distinct text; ``size`` windows start at words ``start`` on.
+    ``docs`` must hold one row per distinct text, and should be dealt by ``doc``, so that texts do not
+    shuffle; ``size`` windows start at words ``start`` on.
     """
     marks = docs.select("doc", "text").mapInArrow(_minimizer_rows(width), "mark long, doc long, known boolean")
     # settled rows are dealt by document too, the others by minimizer alone
@@ -177,6 +181,8 @@ def removed_spans(docs: DataFrame, width: int = 13) -> DataFrame:
     group = Window.partitionBy("mark", "salt")
     marks = marks.select("mark", "doc", "salt", F.min("doc").over(group).alias("low"), F.max("doc").over(group).alias("high"))
     marks = marks.where("salt is not null or low < high").groupBy("doc").agg(F.collect_set("mark").alias("marks"))
+    marks = scratch.save(marks)
+    scratch.release()
 
     paths = docs.join(marks, "doc").select("doc", "text", F.hash("text").alias("text_hash"), "marks")
     paths = paths.mapInArrow(_path_rows(width), "path long, check long, doc long, text_hash int, start int, size int, edges array<long>, checks array<int>, known boolean")
@@ -192,14 +198,15 @@ def removed_spans(docs: DataFrame, width: int = 13) -> DataFrame:
     return rows.where("gone").select("doc", "text_hash", "start", "size")
 
 
-def _cut(width: int):
+def _cut(width: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, sources = batch.column("doc"), batch.column("text").cast(pa.binary()), batch.column("source").to_pylist()
+            texts, sources = batch.column("text").cast(pa.binary()), batch.column("source").to_pylist()
             starts, sizes = batch.column("starts").to_pylist(), batch.column("sizes").to_pylist()
             n_words, n_removed, kept = [], [], []
             for i, source in enumerate(sources):
-                words = (texts[i].as_py() or b"").split()
+                text = texts[i].as_py()
+                words = (text or b"").split()
                 gone = np.zeros(len(words) + 1, dtype=np.int64)
                 if source is False and len(words) >= width:
                     gone[0] = 1
@@ -209,9 +216,12 @@ def _cut(width: int):
                 stay = np.cumsum(gone)[: len(words)] == 0
                 n_words.append(len(words))
                 n_removed.append(len(words) - int(stay.sum()))
-                kept.append(b" ".join(words if n_removed[-1] == 0 else [words[j] for j in np.flatnonzero(stay).tolist()]))
-            out = [ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(out, ["doc", "n_words", "n_removed", "kept"])
+                if n_removed[-1] == 0:
+                    kept.append(text if whole else b" ".join(words))
+                else:
+                    kept.append(b" ".join([words[j] for j in np.flatnonzero(stay).tolist()]))
+            out = [batch.column("doc"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), batch.column("rest")]
+            yield pa.RecordBatch.from_arrays(out, ["doc", "n_words", "n_removed", "kept", "rest"])
 
     return run
 
@@ -219,30 +229,37 @@ def _cut(width: int):
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept = [hashlib.sha256(x).hexdigest() for x in batch.column("kept").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(kept, pa.string())], ["doc", "n_words", "n_removed", "kept"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(kept, pa.string()), batch.column("rest")], ["doc", "n_words", "n_removed", "kept", "rest"])
 
 
-def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 13, digest: bool = False) -> DataFrame:
-    """``(key, n_words, n_removed, kept)`` per row; ``kept`` is the remaining text, words joined by one space.
+def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 13, digest: bool = False, whole: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, n_words, n_removed, kept, *carry)`` per row; ``kept`` is the remaining text, words joined by one space.
 
-    ``digest`` replaces the text by its SHA-256 in lowercase hex.
+    ``digest`` replaces the text by its SHA-256 in lowercase hex; ``whole`` leaves texts that lose
+    nothing as they are, null ones too; ``carry`` names columns to pass through.
     """
-    base = docs.select(F.coalesce(F.col(key), F.lit(_LAST)).alias("doc"), F.col(text).alias("text"))
+    scratch = Scratch(docs.sparkSession, "substrings")
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], F.lit(0).alias("none"))
+    base = docs.select(F.coalesce(F.col(key), F.lit(_LAST)).alias("doc"), F.col(text).alias("text"), rest.alias("rest"))
+    # one shuffle of the texts serves all passes
+    base = scratch.save_bucketed(base.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc"), "doc")
     copies = base.select("doc", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("same"))
-    sources = copies.groupBy("same").agg(F.min("doc").alias("doc")).select("doc").distinct()
-    spans = removed_spans(base.join(sources, "doc", "left_semi"), width)
+    sources = scratch.save(copies.groupBy("same").agg(F.min("doc").alias("doc")).select("doc").distinct())
+    spans = removed_spans(base.select("doc", "text").join(sources, "doc", "left_semi"), scratch, width)
     spans = spans.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("text_hash", "spans")).alias("spans"))
+    spans = scratch.save(spans.groupBy("doc").agg(F.collect_list(F.struct("text_hash", "spans")).alias("spans")))
+    scratch.release()
     rows = base.join(sources.withColumn("source", F.lit(True)), "doc", "left").join(spans, "doc", "left")
     own = F.filter("spans", lambda s: s["text_hash"] == F.hash("text"))
-    rows = rows.select("doc", "text", F.col("source").isNotNull().alias("source"), F.flatten(F.transform(own, lambda s: s["spans"])).alias("spans"))
-    rows = rows.select("doc", "text", "source", F.col("spans.start").alias("starts"), F.col("spans.size").alias("sizes"))
-    cut, schema = _cut(width), "doc long, n_words long, n_removed long, kept string"
+    rows = rows.select("doc", "text", F.col("source").isNotNull().alias("source"), F.flatten(F.transform(own, lambda s: s["spans"])).alias("spans"), "rest")
+    rows = rows.select("doc", "text", "source", F.col("spans.start").alias("starts"), F.col("spans.size").alias("sizes"), "rest")
+    cut, schema = _cut(width, whole), f"doc long, n_words long, n_removed long, kept string, rest {base.schema['rest'].dataType.simpleString()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _digest(cut(batches)) if digest else cut(batches)
 
-    return rows.mapInArrow(run, schema).select(F.nullif(F.col("doc"), F.lit(_LAST)).alias(key), "n_words", "n_removed", "kept")
+    out = rows.mapInArrow(run, schema)
+    return out.select(F.nullif(F.col("doc"), F.lit(_LAST)).alias(key), "n_words", "n_removed", "kept", *[F.col(f"rest.c{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
