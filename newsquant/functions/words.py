@@ -24,3 +24,18 @@ COMMON_WORDS = frozenset(
 #: Names of funds contain one of these.
 FUND_MARKS = ("etf", "exchange traded fund", "exchange-traded fund", "mutual fund", "index fund")
 SUFFIXES = r"\b(inc\.?|corp\.?|corporation|company|ltd\.?|limited|llc|plc)\b"
+#: Stop words of company key phrases.
+PHRASE_STOPS = frozenset(
+    """a about above after again against all am an and any are as at be because been before being below between both but by could did do does doing down during each few for from further had has
+have having he her here hers herself him himself his how i if in into is it its itself let me more most my myself no nor not of off on once only or other ought our ours ourselves out over own
+same she should so some such than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why with would you your yours yourself yourselves""".split()
+)
+#: Key phrases that contain one of these go; then those that start or end so.
+PHRASE_BLACKLIST = (
+    "united states", "north america", "south america", "europe", "asia pacific", "beverage", "formerly known", "headquartered", "based in", "founded in", "middle east", "latin america", "segment provides", "segment focuses",
+    "segment engages", "segment includes", "segment develops", "amazon web services", "amazon braket", "azure quantum",
+)
+PHRASE_FIRST = ("also", "provides", "offers", "includes", "company", "various", "such", "primarily", "facilitates")
+PHRASE_LAST = ("company", "inc", "corporation", "segment", "segments", "across", "related", "worldwide")
+#: Phrases that hold one of these always stay among a topic's terms.
+DOMAIN_MARKS = ("quantum", "semiconductor", "crypto", "cryptography")

@@ -35,10 +35,10 @@ def dot(a: Column, b: Column) -> Column:
 def similarity_join(companies: DataFrame, centroids: DataFrame, least: float) -> DataFrame:
     """Every (topic, company) whose vectors' dot product reaches ``least``.
 
-    Topics are few by construction (a clustering's classes), so they are the broadcast side of a
-    nested-loop join and companies never shuffle.
+    Topics are few by construction (a clustering's classes): Spark broadcasts the smaller side of the
+    nested-loop join if it is small enough, and companies never shuffle then.
     """
-    pairs = companies.join(F.broadcast(centroids), F.lit(True))
+    pairs = companies.join(centroids, F.lit(True))
     return pairs.withColumn("sim", dot(F.col("vec"), F.col("centroid"))).where(F.col("sim") >= least).drop("vec", "centroid")
 
 
@@ -71,19 +71,27 @@ def missing_pairs(pairs: DataFrame, said: DataFrame, logits: DataFrame) -> DataF
     return asked.join(logits, ["desc_md5", "hypothesis"], "left_anti")
 
 
+def early_exit(profile: DepthProfile) -> Column:
+    """Whether a pair stops after the entailment signal."""
+    return F.lit(profile.early_exit) & (F.col("nli") < 0.20) & (F.col("kw") < 0.10)
+
+
+def fund_rejected() -> Column:
+    """Whether a fund or a real estate trust is mentioned too little to count as a company."""
+    name, mention = F.lower("name"), F.col("mention")
+    fund = F.lit(False)
+    for mark in FUND_MARKS:
+        fund = fund | F.contains(name, F.lit(mark))
+    estate = F.contains("combined_text", F.lit("real estate investment trust")) | F.contains(name, F.lit("reit"))
+    return (fund & (mention < 0.2)) | (estate & (mention < 0.15) & (F.col("nli") < 0.3))
+
+
 def relevance(df: DataFrame, profile: DepthProfile) -> DataFrame:
     """Add ``total`` and ``relevant`` from nli, kw, mention and entity signals, early exit and fund filters included."""
     nli, kw, mention, entity = (F.col(c) for c in ("nli", "kw", "mention", "entity"))
     total = nli * 0.65 + kw * 0.15 + mention * 0.10 + entity * 0.10
     good = (total >= 0.15 + profile.stricter) | ((nli >= 0.30) & (kw >= 0.15)) | (mention >= 0.20) | (nli >= 0.40)
-    exits = F.lit(profile.early_exit) & (nli < 0.20) & (kw < 0.10)
-    name = F.lower("name")
-    fund = F.lit(False)
-    for mark in FUND_MARKS:
-        fund = fund | F.contains(name, F.lit(mark))
-    estate = F.contains("combined_text", F.lit("real estate investment trust")) | F.contains(name, F.lit("reit"))
-    dropped = exits | (fund & (mention < 0.2)) | (estate & (mention < 0.15) & (nli < 0.3))
-    return df.withColumn("total", total).withColumn("relevant", good & ~dropped)
+    return df.withColumn("total", total).withColumn("relevant", good & ~early_exit(profile) & ~fund_rejected())
 
 
 def final_score(df: DataFrame, mentions: str = "n_mentions") -> DataFrame:
@@ -107,9 +115,9 @@ def attach_scores(matches: DataFrame, scored: DataFrame) -> DataFrame:
     return matches.join(scored, "ticker", "left")
 
 
-def entity_score(df: DataFrame) -> DataFrame:
+def entity_score(df: DataFrame, text: str = "combined_text") -> DataFrame:
     """Add ``entity``: share of ``entities`` that occur in the company's text or ticker; 0 without any."""
-    hits = F.size(F.filter("entities", lambda e: F.contains("combined_text", e) | F.contains(F.lower("ticker"), e)))
+    hits = F.size(F.filter("entities", lambda e: F.contains(text, e) | F.contains(F.lower("ticker"), e)))
     return df.withColumn("entity", F.when(F.coalesce(F.size("entities"), F.lit(0)) > 0, hits / F.size("entities")).otherwise(0.0))
 
 

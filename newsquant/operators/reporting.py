@@ -94,3 +94,33 @@ def latest_status(events: DataFrame) -> DataFrame:
 def job_stats(jobs: DataFrame) -> DataFrame:
     """Counts by status over all jobs."""
     return jobs.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("completed", "running", "failed", "pending")])
+
+
+#: Report columns, their source and how they are written: decimals, or none as it is; ``blank`` leaves zero out, ``share`` is in percent.
+REPORT = (
+    ("Topic_ID", "topic_id", None, ""), ("Topic_Keywords", "topic_keywords", None, ""), ("Ticker", "ticker", None, ""), ("Company_Name", "name", None, ""), ("Relevance_Score", "relevance_score", 3, ""), ("Mentions", "n_mentions", None, ""),
+    ("Mentioned_As", "mentioned_as", None, "list"), ("Day_Trade_Score", "day_score", None, ""), ("Day_Trade_Rating", "day_rating", None, ""), ("Swing_Trade_Score", "swing_score", None, ""), ("Swing_Trade_Rating", "swing_rating", None, ""),
+    ("Position_Trade_Score", "position_score", None, ""), ("Position_Trade_Rating", "position_rating", None, ""), ("LongTerm_Score", "longterm_score", None, ""), ("LongTerm_Rating", "longterm_rating", None, ""),
+    ("Current_Price", "current_price", 2, ""), ("Change_1D", "change_1d", 2, ""), ("Change_1W", "change_1w", 2, ""), ("Change_1M", "change_1m", 2, ""), ("Change_3M", "change_3m", 2, ""), ("Change_1Y", "change_1y", 2, ""),
+    ("Volume_Spike_Ratio", "volume_spike_ratio", 2, ""), ("RSI_14", "rsi_14", 1, ""), ("Price_vs_MA50", "price_vs_ma50", 2, ""), ("Price_vs_MA200", "price_vs_ma200", 2, ""), ("PE_Ratio", "pe_ratio", 2, "blank"), ("PEG_Ratio", "peg_ratio", 2, "blank"),
+    ("Dividend_Yield", "dividend_yield", 2, "blank"), ("Profit_Margin", "profit_margin", 2, "share"), ("ROE", "roe", 2, "share"),
+)
+
+
+def report_rows(rows: DataFrame) -> DataFrame:
+    """The 30 report columns, one row per topic and company; numbers stay numbers, zero fundamentals are blank."""
+    out = []
+    for name, source, decimals, how in REPORT:
+        x = F.col(source)
+        if how == "list":
+            x = F.when(F.col("n_mentions") > 0, F.array_join(x, "; ")).otherwise("")
+        elif how:
+            x = F.when(x != 0, x * 100 if how == "share" else x)
+        out.append((x if decimals is None else F.round(x, decimals)).alias(name))
+    return rows.select(*out)
+
+
+def report_text(report: DataFrame) -> DataFrame:
+    """Report rows as the file shows them: fixed decimals, unknown values empty."""
+    shown = [F.col(n) if d is None else F.when(F.col(n).isNull(), "").otherwise(F.format_string(f"%.{d}f", F.col(n).cast("double"))).alias(n) for n, _, d, _ in REPORT]
+    return report.select(*shown)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.words import BOILERPLATE, COMMON_WORDS, GENERIC_TERMS, SHORT_WORDS, STOP_WORDS, SUFFIXES
+from ..functions.words import BOILERPLATE, COMMON_WORDS, GENERIC_TERMS, PHRASE_BLACKLIST, PHRASE_FIRST, PHRASE_LAST, PHRASE_STOPS, SHORT_WORDS, STOP_WORDS, SUFFIXES
 
 
 def clean_tokens(text: Column) -> Column:
     """Lower-case letter words of more than two letters, without links, stop words and page furniture."""
     bare = F.lower(F.regexp_replace(F.regexp_replace(text, r"http\S+", ""), "[^a-zA-Z ]", " "))
-    drop = F.array(*[F.lit(w) for w in sorted(STOP_WORDS | BOILERPLATE)])
-    return F.filter(F.split(bare, " "), lambda w: (F.length(w) > 2) & ~F.array_contains(drop, w))
+    drop = sorted(STOP_WORDS | BOILERPLATE)  # as isin a set to look up, not a list to walk through
+    return F.filter(F.split(bare, " "), lambda w: (F.length(w) > 2) & ~w.isin(*drop))
 
 
 def clean_text(text: Column) -> Column:
@@ -93,7 +93,7 @@ def extract_section(elements: DataFrame, reach: int = 1000) -> DataFrame:
     ahead = Window.partitionBy("filing").orderBy("pos").rowsBetween(0, 19)
     rows = elements.withColumn("ahead", F.sum(F.length("text")).over(ahead))
     start = rows.where(F.col("text").rlike(r"(?i)Item\s+1\.?\s*Business") & (F.col("ahead") > 500)).groupBy("filing").agg(F.min("pos").alias("start"))
-    ends = rows.where(F.col("text").rlike(r"(?i)^\s*Item\s+(1A\.?\s*Risk|1B\.?\s*Unresolved|2\.?\s*Propert)")).select("filing", "pos").join(start, "filing").where("pos > start")
+    ends = rows.where(F.col("text").rlike(r"(?i)^\s*Item\s+(1A\.?\s*(Risk|Unresolved)|2\.?\s*Propert)")).select("filing", "pos").join(start, "filing").where("pos > start")
     end = ends.groupBy("filing").agg(F.min("pos").alias("end"))
     bounds = start.join(end, "filing", "left").withColumn("end", F.coalesce("end", F.col("start") + reach))
     return elements.join(bounds, "filing").where("pos >= start and pos < end").select("filing", "pos", "text")
@@ -126,3 +126,71 @@ def drop_repeats(articles: DataFrame, text: str = "fulltext") -> DataFrame:
     key = F.md5(F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "))))
     first = articles.groupBy(key.alias("_key")).agg(F.min("article_id").alias("article_id"))
     return articles.join(first.select("article_id"), "article_id", "left_semi")
+
+
+def drop_similar(vectors: DataFrame, threshold: float = 0.95, tables: int = 8) -> DataFrame:
+    """``(article_id, vec)`` without rows whose unit vector is ``threshold`` or more alike to one of a smaller id.
+
+    Candidates meet in random-projection buckets; cosines are then exact. Rows without a vector stay.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    rows = vectors.where("vec is not null").select("article_id", "vec", array_to_vector("vec").alias("_v"))
+    reach = (2 - 2 * threshold) ** 0.5 + 1e-6
+    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=2 * reach, numHashTables=tables, seed=1).fit(rows)
+    near = model.approxSimilarityJoin(rows, rows, reach)
+    a, b = (F.transform(F.col(f"dataset{x}.vec"), lambda v: v.cast("double")) for x in "AB")
+    cosine = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    gone = near.where((F.col("datasetA.article_id") < F.col("datasetB.article_id")) & (cosine >= threshold)).select(F.col("datasetB.article_id").alias("article_id")).distinct()
+    return vectors.join(gone, "article_id", "left_anti")
+
+
+def company_keywords(companies: DataFrame, top: int = 12) -> DataFrame:
+    """``(ticker, phrase, score, rank)``: the ``top`` phrases of each description by share of all phrases times words.
+
+    Phrases are runs of two to four words inside a sentence, stop words and short words left out.
+    """
+    said = companies.select("ticker", F.lower("name").alias("name"), F.explode(F.split(F.lower("description"), r"[.!?\n]+")).alias("sentence"))
+    tokens = F.filter(F.split("sentence", "[^a-z]+"), lambda w: (F.length(w) > 2) & ~w.isin(*sorted(PHRASE_STOPS)))
+    rows = said.select("ticker", "name", F.explode(ngrams(tokens, 2, 4)).alias("phrase"))
+    words = F.split("phrase", " ")
+    bad = F.exists(F.array(*[F.lit(b) for b in PHRASE_BLACKLIST]), lambda b: F.contains("phrase", b)) | F.exists(words, lambda w: F.contains("name", w))
+    rows = rows.where(~bad & ~F.get(words, F.lit(0)).isin(*PHRASE_FIRST) & ~F.element_at(words, -1).isin(*PHRASE_LAST))
+    counts = rows.groupBy("ticker", "phrase").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("ticker").agg(F.sum("n").alias("total"))
+    scored = counts.join(totals, "ticker").withColumn("score", F.col("n") / F.col("total") * F.size(F.split("phrase", " ")))
+    best = Window.partitionBy("ticker").orderBy(F.desc("score"), "phrase")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("ticker", "phrase", "score", "rank")
+
+
+#: Elements without article text, words of class and id that mark page furniture, and where articles stand.
+BARE_TAGS = "script style nav header footer aside form button iframe".split()
+FURNITURE = "nav|menu|sidebar|footer|header|cookie|newsletter|subscribe|comment|social|share"
+PLACES = (r"<article\b[^>]*>(.*)", *[rf"<(?:div|section|main)\b[^>]*{at}\s*=\s*\"[^\">]*{w}[^>]*>(.*)" for at, w in (("class", "article"), ("class", "content"), ("class", "post"), ("id", "article"), ("id", "content"))], r"<main\b[^>]*>(.*)")
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
+def extract_bodies(pages: DataFrame, html: str = "html", low: int = 300, cut: int = 50_000) -> DataFrame:
+    """Add ``body``: paragraphs of over 40 characters of a page's article; pages with ``low`` characters or fewer go.
+
+    Elements are cut by pattern, which ends an element at the first closing tag of its name.
+    """
+    text = F.coalesce(F.col(html), F.lit(""))
+    for tag in BARE_TAGS:
+        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+    for tag in ("div", "section", "ul", "p"):
+        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*(?:class|id)\s*=\s*\"[^\">]*(?:{FURNITURE})[^>]*>.*?</{tag}\s*>", " ")
+    rows = pages.withColumn("_page", text)
+    place = F.coalesce(*[F.nullif(F.regexp_extract("_page", f"(?is){p}", 1), F.lit("")) for p in PLACES], F.col("_page"))
+    parts = F.regexp_extract_all(F.col("_place"), F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), F.lit(1))
+
+    def plain(part: Column) -> Column:
+        out = F.regexp_replace(part, "<[^>]*>", "")
+        for name, char in ENTITIES:
+            out = F.replace(out, F.lit(name), F.lit(char))
+        return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+    kept = F.filter(F.transform(parts, plain), lambda p: F.length(p) > 40)
+    rows = rows.withColumn("_place", place).withColumn("body", F.substring(F.array_join(kept, " "), 1, cut))
+    return rows.where(F.length("body") > low).drop("_page", "_place")

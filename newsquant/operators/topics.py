@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.words import GENERIC_TERMS
+from ..functions.words import DOMAIN_MARKS, GENERIC_TERMS
 from .text import clean_tokens, ngrams
 
 
@@ -71,3 +71,78 @@ def cut_terms(scores: DataFrame, low: int = 3, high: int = 5) -> DataFrame:
     place = F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(-F.col("widest.at"), F.lit(high))))
     place = F.least(place, F.greatest(F.lit(low), F.coalesce(F.col("negative"), F.lit(high))))
     return rows.join(cut.select("topic_id", place.alias("keep")), "topic_id").where("rank <= keep").select("topic_id", "term", "score", "rank")
+
+
+def vocabulary(articles: DataFrame) -> DataFrame:
+    """``(word, rank, share)`` of the words of ``articles(fulltext)``: how many words are more frequent, and their share."""
+    counts = articles.select(F.explode(clean_tokens(F.col("fulltext"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("n").agg(F.count("*").alias("many"))  # as many rows as there are different counts
+    above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = sizes.select("n", F.coalesce(F.sum("many").over(above), F.lit(0)).alias("rank"), F.sum("many").over(Window.partitionBy()).alias("whole"))
+    return counts.join(ranks, "n").select("word", "rank", (F.col("rank") / F.col("whole")).alias("share"))
+
+
+def term_metrics(terms: DataFrame, words: DataFrame, generic: DataFrame) -> DataFrame:
+    """``(topic_id, term, rank, cohesion, centrality, niche, generic, share)`` of single-word terms with a vector.
+
+    ``words(word, share, vec)`` is the vocabulary, ``generic(word)`` its generic words. Cohesion is the
+    mean cosine to a topic's other words, centrality the share of cosines above 0.4, niche the
+    distance to the mean generic vector by the topic's largest.
+    """
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    own = terms.where(~F.contains("term", F.lit(" "))).select("topic_id", "rank", "term").join(words.select(F.col("word").alias("term"), "share", "vec"), "term")
+    own = own.withColumn("norm", F.sqrt(dot(F.col("vec"), F.col("vec"))))
+    other = own.select("topic_id", F.col("term").alias("other"), F.col("vec").alias("other_vec"), F.col("norm").alias("other_norm"))
+    pairs = own.join(other, "topic_id").where("term <> other").withColumn("cos", F.try_divide(dot(F.col("vec"), F.col("other_vec")), F.col("norm") * F.col("other_norm")))
+    close = pairs.groupBy("topic_id", "term").agg(F.avg("cos").alias("cohesion"), F.avg(F.when(F.col("cos") > 0.4, 1.0).otherwise(0.0)).alias("centrality"))
+    marked = generic.select(F.col("word").alias("term")).distinct()
+    cells = words.join(marked, words["word"] == marked["term"], "left_semi").select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x"))
+    center = cells.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("center"))
+    rows = own.join(close, ["topic_id", "term"], "left").join(center).join(marked.withColumn("generic", F.lit(True)), "term", "left")
+    away = F.sqrt(F.aggregate(F.zip_with("vec", "center", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    rows = rows.withColumn("away", F.when(F.size("center") > 0, away).otherwise(0.0))
+    most = F.max("away").over(Window.partitionBy("topic_id"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    return rows.select("topic_id", "term", "rank", zero("cohesion"), zero("centrality"), F.coalesce(F.try_divide(F.col("away"), most), F.lit(0.0)).alias("niche"), F.coalesce("generic", F.lit(False)).alias("generic"), "share")
+
+
+def filter_terms(terms: DataFrame, scores: DataFrame, low: int = 3, high: int = 5) -> DataFrame:
+    """Terms of each topic: domain phrases, then scored words that :func:`cut_terms` keeps in their own order, ``high`` at most.
+
+    Topics with fewer than ``low`` scored words keep their first ``low`` terms.
+    """
+    enough = scores.groupBy("topic_id").agg(F.count("*").alias("n")).where(F.col("n") >= low).select("topic_id")
+    mark = F.lit(False)
+    for word in DOMAIN_MARKS:
+        mark = mark | F.contains("term", F.lit(word))
+    phrases = terms.join(enough, "topic_id", "left_semi").where(F.contains("term", F.lit(" ")) & mark).select("topic_id", "term", "weight", F.lit(0).alias("first"), "rank")
+    kept = cut_terms(scores, low, high).select("topic_id", "term")
+    kept = terms.join(kept, ["topic_id", "term"], "left_semi").join(enough, "topic_id", "left_semi").select("topic_id", "term", "weight", F.lit(1).alias("first"), "rank")
+    few = terms.join(enough, "topic_id", "left_anti").where(F.col("rank") <= low).select("topic_id", "term", "weight", F.lit(0).alias("first"), "rank")
+    place = F.row_number().over(Window.partitionBy("topic_id").orderBy("first", "rank"))
+    rows = phrases.unionByName(kept).unionByName(few).withColumn("place", place)
+    return rows.where((F.col("first") == 0) | (F.col("place") <= high)).select("topic_id", F.col("place").alias("rank"), "term", "weight")
+
+
+def domain_signals(terms: DataFrame, articles: DataFrame) -> DataFrame:
+    """``(topic_id, technical, entities, topic_text, keywords)`` from terms and ``articles(topic_id, article_id, keywords, entities)``.
+
+    Entities are words of over two letters of the first 15 articles; the text is the first 15 terms
+    and the keywords of the first 10 articles.
+    """
+    order = Window.partitionBy("topic_id").orderBy("article_id")
+    first = articles.withColumn("seq", F.row_number().over(order)).where("seq <= 15")
+    words = F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list(F.split(F.lower("entities"), " "))), lambda w: F.length(w) > 2)))
+    said = F.array_sort(F.collect_list(F.when(F.col("seq") <= 10, F.struct("seq", F.coalesce("keywords", F.lit("")).alias("k")))))
+    heard = first.groupBy("topic_id").agg(words.alias("entities"), F.array_join(F.transform(said, lambda s: s["k"]), " ").alias("said"))
+    top = lambda n: F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= n, F.struct("rank", "term")))), lambda s: s["term"])
+    named = terms.groupBy("topic_id").agg(top(8).alias("keywords"), F.array_join(top(15), " ").alias("named"))
+    out = named.join(technical_terms(terms), "topic_id", "left").join(heard, "topic_id", "left")
+    return out.select("topic_id", "technical", "entities", F.lower(F.concat_ws(" ", "named", "said")).alias("topic_text"), "keywords")
+
+
+def with_vectors(df: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """``df`` with the unit vector of its ``key`` from ``vectors(key, vec)``; rows without one go, zero vectors stay zero."""
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    unit = vectors.select(key, "vec", norm.alias("_norm")).select(key, F.transform("vec", lambda x: F.coalesce(F.try_divide(x.cast("double"), F.col("_norm")), F.lit(0.0))).alias("vec"))
+    return df.join(unit, key)

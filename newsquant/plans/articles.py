@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.words import BOILERPLATE, COMMON_WORDS, FUND_MARKS, GENERIC_TERMS, SHORT_WORDS, STOP_WORDS
-from ..operators import matching, reporting, text, topics
+from ..operators import matching, mentions, reporting, text, topics
 from ..sources import fixtures, readers
 from . import stocks
 
 Query = Callable[[SparkSession, str], DataFrame]
 PROFILE = matching.DepthProfile.of(1)
-#: Ticker and name of a small company list; words of the names occur in the test documents.
-COMPANIES = (("REWH", "Thatin Ononst Inc"), ("THTH", "Hehely Corp"), ("THON", "Ering Etf Trust"), ("THE", "The Ander Company"), ("AND", "Andre Reit"), ("ING", "Inger Limited"), ("BLE", "Bleed Plc"), ("ON", "Onand Ltd"), ("IT", "Ithe Global Works"), ("TI", "Tion Inc."), ("A", "Aner Corporation"), ("ENTI", "erst of Thand"), ("", "No Ticker"), ("NONE", " "))
+SUFFIXES = ("Inc", "Corp.", "", "Etf", "Ltd")
 QUERIES = ((0, ("rewh", "thatin")), (1, ("ononst", "hehely", "ander")), (2, ("zzzz",)))
 
 
@@ -24,9 +23,23 @@ def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("article_id"), F.col("text").alias("fulltext"), F.col("source").alias("link"))
 
 
-def _companies(spark: SparkSession) -> DataFrame:
-    rows = [(t, f" {n} ", f"{n} makes things", "tools, trade") for t, n in COMPANIES]
-    return readers.clean_companies(spark.createDataFrame(rows, "Ticker string, Name string, Description string, Keywords string"))
+def _raw_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier as a company: its number's document gives symbol, name, description and keywords."""
+    number = F.col("s_suppkey")
+    docs = fixtures.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("s_suppkey"), "text")
+    rows = fixtures.table(spark, sf_dir, "supplier").select("s_suppkey").join(docs, "s_suppkey")
+    rows = rows.withColumn("w", F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")).where(F.size("w") >= 4)
+    first = lambda i: F.concat(F.upper(F.substring(F.get("w", F.lit(i)), 1, 1)), F.expr(f"substring(get(w, {i}), 2)"))
+    suffix = F.get(F.array(*[F.lit(s) for s in SUFFIXES]), (number % len(SUFFIXES)).cast("int"))
+    rows = rows.select(
+        number.alias("n"), F.when(number % 17 == 0, "").otherwise(F.upper(F.substring(F.get("w", F.lit(1)), 1, 5))).alias("Ticker"),
+        F.concat(F.lit(" "), first(2), F.lit(" "), first(3), F.lit(" "), suffix, F.lit(" ")).alias("Name"), F.col("text").alias("Description"), F.concat_ws(", ", F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("Keywords"),
+    )
+    return rows.groupBy("Ticker").agg(F.min_by(F.struct("Name", "Description", "Keywords"), "n").alias("c"), F.min("n").alias("n")).select("Ticker", "c.*", "n")
+
+
+def _companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.clean_companies(_raw_companies(spark, sf_dir))
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,21 +55,34 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.topic_centroids(_members(spark, sf_dir).where("article_id % 2 = 0"))
+    return topics.topic_centroids(_members(spark, sf_dir))
 
 
 def _firms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Odd vectors stand for companies; the document of that number is the description."""
-    own = _members(spark, sf_dir).where("article_id % 2 = 1").select("article_id", "vec")
-    docs = fixtures.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.substring(F.lower("text"), 1, 400).alias("combined_text"))
-    out = own.join(docs, "article_id")
-    return out.select(F.concat(F.lit("T"), F.col("article_id").cast("string")).alias("ticker"), F.concat(F.substring("combined_text", 1, 20), F.lit(" inc")).alias("name"), "combined_text", "vec", text.content_key(F.col("combined_text"), 1).alias("desc_md5"))
+    """All companies with the vector of their number; ``own_text`` is what keyword and entailment signals read."""
+    known = _raw_companies(spark, sf_dir).select(F.col("Ticker").alias("ticker"), F.col("n").alias("article_id"))
+    out = _companies(spark, sf_dir).join(known, "ticker").join(_members(spark, sf_dir).select("article_id", "vec"), "article_id")
+    brand = F.concat(F.lit("Brand#"), (F.col("article_id") % 5 + 1).cast("string"), (F.floor(F.col("article_id") / 5) % 6 + 1).cast("string"))
+    own = F.substring("combined_text", 1, 400)
+    return out.select("ticker", "name", "combined_text", own.alias("own_text"), "vec", text.content_key(own, 1).alias("desc_md5"), brand.alias("symbol"))
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English articles as the mention search reads them: the first 10,000 characters, other scripts blanked."""
+    return _articles(spark, sf_dir).select("article_id", F.substring(F.regexp_replace("fulltext", r"[^\x00-\x7F]", " "), 1, 10_000).alias("body"))
+
 
+def _topic_bodies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Articles of each topic, their bodies, and the companies."""
+    bodies = _bodies(spark, sf_dir)
+    members = _members(spark, sf_dir).select("topic_id", "article_id").join(bodies.select("article_id"), "article_id", "left_semi")
+    return members, bodies, _companies(spark, sf_dir).select("ticker", "name")
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = matching.similarity_join(_firms(spark, sf_dir), _centroids(spark, sf_dir), PROFILE.min_similarity)
+
+def _candidates(spark: SparkSession, sf_dir: str, least: float = PROFILE.min_similarity) -> DataFrame:
+    pairs = matching.similarity_join(_firms(spark, sf_dir), _centroids(spark, sf_dir), least)
     technical = topics.technical_terms(_terms(spark, sf_dir))
-    return pairs.join(F.broadcast(technical), "topic_id", "left").withColumn("kw", matching.share_contained("technical", F.col("combined_text"))).drop("technical")
+    return pairs.join(technical, "topic_id", "left").withColumn("kw", matching.share_contained("technical", F.col("own_text"))).withColumnRenamed("technical", "entities")
 
 
 def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,23 +102,28 @@ def _entailed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signals = _entailed(spark, sf_dir).withColumns({"mention": F.col("ticker").substr(2, 9).cast("long") % 5 / F.lit(20.0), "entity": F.lit(0.0)})
+    signals = matching.entity_score(_entailed(spark, sf_dir), "own_text")
+    said = mentions.mention_score(*_topic_bodies(spark, sf_dir))
+    signals = signals.join(said, ["topic_id", "ticker"], "left").fillna(0, ["n_mentions", "mention"])
     return matching.relevance(signals, PROFILE)
 
 
+def _scored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _decided(spark, sf_dir).where("relevant")
+    return matching.final_score(kept).withColumn("relevance_score", F.round("relevance_score", 6))
+
+
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _decided(spark, sf_dir).where("relevant").withColumn("n_mentions", F.col("ticker").substr(2, 9).cast("long") % 5)
-    return matching.adaptive_top_n(matching.final_score(kept).withColumn("relevance_score", F.round("relevance_score", 6)))
+    return matching.adaptive_top_n(_scored_matches(spark, sf_dir))
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _matched(spark, sf_dir).withColumn("own", F.col("ticker"))
-    brand = F.concat(F.lit("Brand#"), (F.col("own").substr(2, 9).cast("long") % 5 + 1).cast("string"), (F.floor(F.col("own").substr(2, 9).cast("long") / 5) % 6 + 1).cast("string"))
-    return matching.attach_scores(out.withColumn("ticker", brand), stocks._scored(spark, sf_dir))
+    out = _matched(spark, sf_dir).withColumnRenamed("ticker", "company").withColumnRenamed("symbol", "ticker")
+    return matching.attach_scores(out, stocks._scored(spark, sf_dir))
 
 
 def _report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _report(spark, sf_dir).select("topic_id", F.col("own").alias("company"), "ticker", "relevance_score", F.round("swing_score", 6).alias("swing_score"), "swing_rating")
+    return _report(spark, sf_dir).select("topic_id", "company", "ticker", "relevance_score", F.round("swing_score", 6).alias("swing_score"), "swing_rating")
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,19 +158,19 @@ def _vectors_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = fixtures.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("ticker"), F.col("s_name").alias("name"))
-    return reporting.search_companies(_companies(spark), report, "On", 15).select("ticker", "name", "place")
+    report = fixtures.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("ticker"), F.col("c_name").alias("name"))
+    return reporting.search_companies(_companies(spark, sf_dir), report, "On", 15).select("ticker", "name", "place")
 
 
 def queries() -> dict[str, Query]:
     return {
-        "S1_read_companies": lambda s, d: _companies(s).join(fixtures.table(s, d, "region").agg(F.count("*").alias("regions"))),
+        "S1_read_companies": lambda s, d: _companies(s, d),
         "S3_select_articles": _selected,
         "S7_merge_tickers": lambda s, d: readers.merge_tickers(fixtures.table(s, d, "part").select(F.concat(F.lit(" "), "p_brand").alias("ticker")), fixtures.table(s, d, "nation").select(F.col("n_name").alias("ticker"))),
         "T1_clean_text": lambda s, d: _articles(s, d).select("article_id", text.clean_text(F.col("fulltext")).alias("cleaned")),
-        "T4_boosted_document": lambda s, d: _articles(s, d).select("article_id", text.boosted_document(F.substring("fulltext", 1, 500), F.substring("fulltext", 1, 12), F.col("link")).alias("boosted")),
+        "T4_boosted_document": lambda s, d: _articles(s, d).select("article_id", text.boosted_document(F.col("fulltext"), F.substring("fulltext", 1, 12), F.col("link")).alias("boosted")),
         "T5_length_gate": lambda s, d: text.length_gate(_articles(s, d)).select("article_id", F.length("fulltext").alias("chars")),
-        "T7_company_variants": lambda s, d: text.company_variants(_companies(s)).join(fixtures.table(s, d, "region").agg(F.count("*").alias("regions"))),
+        "T7_company_variants": lambda s, d: text.company_variants(_companies(s, d)),
         "T15_dedup_paragraphs": lambda s, d: text.dedup_paragraphs(_paragraphs(s, d)).select("doc", F.md5("section").alias("section_md5"), F.length("section").alias("chars")),
         "T18_content_key": lambda s, d: _articles(s, d).select("article_id", text.content_key(F.col("fulltext"), 2).alias("key2"), text.content_key(F.col("fulltext"), 3).alias("key3")),
         "M2_assign_topics": lambda s, d: topics.assign_topics(_members(s, d).select("article_id", "topic_id"), 48),
@@ -171,10 +202,53 @@ def _sql_tokens(x: str) -> str:
     return f"list_filter(string_split(lower(regexp_replace(regexp_replace({x}, 'http\\S+', '', 'g'), '[^a-zA-Z ]', ' ', 'g')), ' '), lambda w: length(w) > 2 and not list_contains([{_texts(STOP_WORDS | BOILERPLATE)}], w))"
 
 
+def companies_sql() -> str:
+    suffix = " ".join(f"when {i} then '{s}'" for i, s in enumerate(SUFFIXES))
+    init = lambda i: f"upper(w[{i}][1:1]) || w[{i}][2:]"
+    return f"""named as (select s_suppkey as n, case when s_suppkey % 17 = 0 then '' else upper(substr(w[2], 1, 5)) end as ticker, trim({init(3)} || ' ' || {init(4)} || ' ' || case s_suppkey % {len(SUFFIXES)} {suffix} end) as name, trim(text) as description, w[1] || ', ' || w[2] as keywords
+  from (select s_suppkey, text, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') as w from supplier join documents on doc_id = s_suppkey) where len(w) >= 4),
+numbered as (select ticker, min(n) as n from named group by 1),
+companies as (select ticker, name, description, keywords, lower(name || ' ' || description || ' ' || keywords) as combined_text from named join numbered using (ticker, n) where ticker <> '' and name <> '')"""
+
+
+def variants_sql() -> str:
+    suffixes = r"\b(inc\.?|corp\.?|corporation|company|ltd\.?|limited|llc|plc)\b"
+    return rf"""spelt as (select ticker, lower(ticker) as t, lower(name) as n, trim(regexp_replace(lower(name), '{suffixes}', '', 'g')) as bare,
+  lower(array_to_string(list_transform(list_filter(string_split_regex(name, '\\s+'), lambda w: regexp_matches(w, '^[A-Z]') or length(w) > 3), lambda w: substr(w, 1, 1)), '')) as acro, len(string_split_regex(name, '\\s+')) as words from companies),
+lists as (select ticker, case when length(t) = 1 then [n] || (case when length(bare) >= 3 then [bare] else [] end) when length(t) = 2 and t in ({_texts(SHORT_WORDS)}) then [n]
+  else [t, '$' || t, n] || (case when length(bare) >= 3 then [bare] else [] end) || (case when words >= 2 and length(acro) >= 3 and acro not in ({_texts(COMMON_WORDS)}) then [acro] else [] end)
+    || (case when length(t) >= 4 then list_transform(range(2, length(t) - 1), lambda i: substr(t, 1, i) || ' ' || substr(t, i + 1)) else [] end) end as vs from spelt),
+variants as (select ticker, unnest(list_distinct(vs)) as variant from lists)"""
+
+
+def mentions_sql(articles: str, body: str) -> str:
+    """Common table expressions from ``art``, ``first`` and ``companies`` to ``counted``, ``valid``."""
+    words = " or ".join(f"contains(near, '{w}')" for w in mentions.STOCK_WORDS)
+    contexts = " or ".join("regexp_matches(near, " + " || lower(ticker) || ".join("'" + x.replace("'", "''") + "'" for x in c.split("T")) + ")" for c in mentions.CONTEXTS)
+    around = lambda before, after, n: f"substr(body, greatest(1, p - {before})::bigint, (p + {n} + {after} - greatest(1, p - {before}))::bigint)"
+    return rf"""{variants_sql()},
+art as (select doc_id as article_id, substr(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g'), 1, 10000) as body from documents where lang = 'en'),
+first as (select topic_id, article_id, row_number() over (partition by topic_id order by article_id) as seq from (select label as topic_id, vec_id as article_id from embeddings) semi join art using (article_id)),
+asked as (select article_id, {body} as body from {articles}),
+kept as (select * from variants where length(variant) >= 2 and (length(variant) > 2 or starts_with(variant, '$')) and not (length(variant) <= 3 and variant in ({_texts(COMMON_WORDS | SHORT_WORDS)}))),
+both_ as (select * from asked, kept where contains(lower(body), variant)),
+spots as (select article_id, ticker, variant, {around(50, 50, 3)} as near, {around(10, 2, 3)} as tight, substr(body, greatest(1, p - 5)::bigint, (p - greatest(1, p - 5))::bigint) as ahead
+  from (select *, unnest(range(1, length(body) + 1)) as p from both_ where length(variant) = 3 and not starts_with(variant, '$') and not contains(variant, ' '))
+  where substr(lower(body), p, 3) = variant and not regexp_matches(substr(lower(body), p + 3, 1), '[a-z]') and (p = 1 or not regexp_matches(substr(lower(body), p - 1, 1), '[a-z]'))),
+counts_ as (select article_id, ticker, variant, count(*) as n from spots where {words} or contains(ahead, '$') or regexp_matches(tight, '(ticker|symbol|code)[:\s]' || variant) or contains(tight, '(' || variant || ')') group by 1, 2, 3
+  union all select article_id, ticker, variant, len(regexp_extract_all(regexp_replace(lower(body), '([^a-z])', '\1\1', 'g'), '[^a-z]' || regexp_escape(variant) || '[^a-z]')) from both_ where length(variant) <= 3 and starts_with(variant, '$')
+  union all select article_id, ticker, variant, len(regexp_extract_all(lower(body), '\b' || regexp_escape(variant) || '\b')) from both_ where length(variant) > 3 or contains(variant, ' ')),
+counted as (select article_id, ticker, sum(n)::bigint as mentions, list_sort(list(variant || ' (' || n || 'x)')) as mentioned_as from counts_ where n > 0 group by 1, 2),
+places as (select article_id, ticker, name, body, unnest(range(1, length(body) + 1)) as p from counted join asked using (article_id) join companies using (ticker) where contains(lower(body), lower(ticker))),
+tickers as (select article_id, ticker, name, substr(body, p, 1) as initial, lower({around(100, 100, 'length(ticker)')}) as near from places where substr(lower(body), p, length(ticker)) = lower(ticker)
+  and not regexp_matches(substr(body, p + length(ticker), 1), '\w') and (p = 1 or not regexp_matches(substr(body, p - 1, 1), '\w'))),
+valid as (select distinct article_id, ticker from tickers where case when length(ticker) <= 4 then ({contexts} or list_bool_or(list_transform(list_filter(string_split_regex(lower(name), '\s+'), lambda w: length(w) > 3)[1:2], lambda w: contains(near, w))))
+  else regexp_matches(initial, '[A-Z]') end)"""
+
+
 def oracle_sql() -> dict[str, str]:
     articles = "articles as (select doc_id as article_id, text as fulltext, source as link from documents where lang = 'en')"
-    rows = ", ".join(f"('{t}', '{n}')" for t, n in COMPANIES)
-    companies = f"companies as (select ticker, trim(name) as name, trim(name) || ' makes things' as description, 'tools, trade' as keywords from (select t as ticker, n as name from (values {rows}) v(t, n)) where ticker <> '' and trim(name) <> '')".replace("trim(name) || ' makes things'", "name || ' makes things'")
+    companies = companies_sql()
     grams = " union all ".join(f"select topic_id, array_to_string(tokens[i:i + {n - 1}], ' ') as term from (select topic_id, tokens, unnest(range(1, len(tokens) - {n - 2})) as i from tok where len(tokens) >= {n})" for n in (1, 2, 3))
     terms = f"""{articles}, members as (select vec_id as article_id, label as topic_id, embedding as vec from embeddings),
 tok as (select topic_id, {_sql_tokens('fulltext')} as tokens from members join articles using (article_id)),
@@ -184,40 +258,38 @@ weighted as (select topic_id, term, round(tf / class_total::double * ln(1 + (sel
 terms as (select topic_id, rank, term, weight from (select *, row_number() over (partition by topic_id order by weight desc, term)::int as rank from weighted) where rank <= 8),
 technical as (select topic_id, list_sort(list(distinct lower(term))) as technical from terms where length(term) > 3 and lower(term) not in ({_texts(GENERIC_TERMS)}) group by 1)"""
     match = f"""{terms},
-cells as (select topic_id, i, avg(vec[i]::double) as m from (select topic_id, vec, unnest(range(1, len(vec) + 1)) as i from members where article_id % 2 = 0) group by 1, 2),
+cells as (select topic_id, i, avg(vec[i]::double) as m from (select topic_id, vec, unnest(range(1, len(vec) + 1)) as i from members) group by 1, 2),
 centroids as (select topic_id, list(m / norm order by i) as centroid from (select *, sqrt(sum(m * m) over (partition by topic_id)) as norm from cells) group by 1),
-firms as (select 'T' || vec_id as ticker, substr(lower(text), 1, 20) || ' inc' as name, substr(lower(text), 1, 400) as combined_text, embedding as vec, md5(substr(substr(lower(text), 1, 400), 1, 200)) as desc_md5, vec_id from embeddings join documents on doc_id = vec_id where vec_id % 2 = 1),
-sims as (select topic_id, ticker, name, combined_text, desc_md5, vec_id, list_dot_product(vec::double[], centroid) as sim from firms, centroids),
-cand as (select sims.*, coalesce(len(list_filter(technical, lambda t: contains(combined_text, t))) / nullif(len(technical), 0)::double, 0) as kw from sims left join technical using (topic_id) where sim >= 0.05),
+{companies},
+firms as (select ticker, name, combined_text, substr(combined_text, 1, 400) as own_text, embedding as vec, md5(substr(substr(combined_text, 1, 400), 1, 200)) as desc_md5, 'Brand#' || (vec_id % 5 + 1) || (vec_id // 5 % 6 + 1) as symbol from companies join numbered using (ticker) join embeddings on vec_id = n),
+sims as (select topic_id, ticker, name, combined_text, own_text, desc_md5, symbol, list_dot_product(vec::double[], centroid) as sim from firms, centroids),
+cand as (select sims.*, technical, coalesce(len(list_filter(technical, lambda t: contains(own_text, t))) / nullif(len(technical), 0)::double, 0) as kw from sims left join technical using (topic_id) where sim >= 0.05),
 gated as (select * from cand where kw >= 0.05 or sim >= 0.15),
 said as (select topic_id, 'This company ' || verb || ' ' || term || '.' as hypothesis from terms, (values ('works with'), ('specializes in')) v(verb) where rank <= 4),
 logits as (select desc_md5, hypothesis, d / 16777215.0::double * 8 - 7 as logit from (select distinct desc_md5, hypothesis, ('0x' || substr(md5(desc_md5 || hypothesis), 1, 6))::bigint as d from gated join said using (topic_id)) where d % 7 <> 0),
 best as (select topic_id, ticker, max(1 / (1 + exp(-logit))) as nli from gated join said using (topic_id) join logits using (desc_md5, hypothesis) group by 1, 2),
-entailed as (select gated.*, coalesce(nli, 0) as nli, vec_id % 5 / 20.0::double as mention from gated left join best using (topic_id, ticker)),
-decided as (select *, nli * 0.65 + kw * 0.15 + mention * 0.10 as total,
-  (nli * 0.65 + kw * 0.15 + mention * 0.10 >= 0.15 or (nli >= 0.3 and kw >= 0.15) or mention >= 0.2 or nli >= 0.4) and not ((nli < 0.2 and kw < 0.1) or (({' or '.join(f"contains(name, '{m}')" for m in FUND_MARKS)}) and mention < 0.2)
-    or ((contains(combined_text, 'real estate investment trust') or contains(name, 'reit')) and mention < 0.15 and nli < 0.3)) as relevant from entailed),
-ranked as (select *, row_number() over (partition by topic_id order by relevance_score desc, ticker)::int as rank from (select *, round(sim + nli * 0.3 + kw * 0.2 + least(0.15, vec_id % 5 * 0.04), 6) as relevance_score from decided where relevant)),
+{mentions_sql("(select article_id, body from art semi join (select article_id from first where seq <= 15) using (article_id))", "body")},
+said15 as (select topic_id, ticker, count(*) as n_mentions from first join valid using (article_id) where seq <= 15 group by 1, 2),
+entailed as (select gated.*, coalesce(nli, 0) as nli, coalesce(len(list_filter(technical, lambda t: contains(own_text, t) or contains(lower(ticker), t))) / nullif(len(technical), 0)::double, 0) as entity,
+  coalesce(n_mentions, 0) as n_mentions, least(1, coalesce(n_mentions, 0) / 10) as mention from gated left join best using (topic_id, ticker) left join said15 using (topic_id, ticker)),
+decided as (select *, nli * 0.65 + kw * 0.15 + mention * 0.10 + entity * 0.10 as total,
+  (nli * 0.65 + kw * 0.15 + mention * 0.10 + entity * 0.10 >= 0.15 or (nli >= 0.3 and kw >= 0.15) or mention >= 0.2 or nli >= 0.4) and not ((nli < 0.2 and kw < 0.1) or (({' or '.join(f"contains(lower(name), '{m}')" for m in FUND_MARKS)}) and mention < 0.2)
+    or ((contains(combined_text, 'real estate investment trust') or contains(lower(name), 'reit')) and mention < 0.15 and nli < 0.3)) as relevant from entailed),
+ranked as (select *, row_number() over (partition by topic_id order by relevance_score desc, ticker)::int as rank from (select *, round(sim + nli * 0.3 + kw * 0.2 + least(0.15, n_mentions * 0.04), 6) as relevance_score from decided where relevant)),
 edged as (select *, min(case when rank > 10 and relevance_score < edge - 0.15 then rank end) over (partition by topic_id) as cut from (select *, max(case when rank = 10 then relevance_score end) over (partition by topic_id) as edge from ranked where rank <= 50)),
 matched as (select * from edged where cut is null or rank < cut)"""
-    report = f"{match}, {stocks._sql_metrics()}, {stocks._sql_scores()}, report as (select topic_id, m.ticker as company, 'Brand#' || (vec_id % 5 + 1) || (vec_id // 5 % 6 + 1) as ticker, relevance_score, round(swing_score, 6) as swing_score, swing_rating from matched m left join rated r on r.ticker = 'Brand#' || (vec_id % 5 + 1) || (vec_id // 5 % 6 + 1))"
+    report = f"{match}, {stocks._sql_metrics()}, {stocks._sql_scores()}, report as (select topic_id, m.ticker as company, symbol as ticker, relevance_score, round(swing_score, 6) as swing_score, swing_rating from matched m left join rated r on r.ticker = symbol)"
     jobs = "jobs as (select user_id as job_id, ts, case event_type when 'signup' then 'pending' when 'click' then 'running' when 'purchase' then 'completed' when 'error' then 'failed' else 'pending' end as status from events)"
     hits = " union all ".join(f"select {i}::int as query_id, article_id, (" + " + ".join(f"(length(lower(fulltext)) - length(replace(lower(fulltext), '{a}', ''))) // {len(a)}" for a in alts) + ")::bigint as hits from articles where length(fulltext) > 300 and (" + " or ".join(f"contains(lower(fulltext), '{a}')" for a in alts) + ")" for i, alts in QUERIES)
-    suffixes = r"\b(inc\.?|corp\.?|corporation|company|ltd\.?|limited|llc|plc)\b"
     swing = "".join(f" when contains(swing_rating, '{w}') then '{c}'" for w, c in reporting.SIGNALS)
     return {
-        "S1_read_companies": f"with {companies} select ticker, name, description, keywords, lower(name) as name_lower, lower(ticker) as ticker_lower, lower(name || ' ' || description || ' ' || keywords) as combined_text, (select count(*) from region) as regions from companies",
+        "S1_read_companies": f"with {companies} select ticker, name, description, keywords, lower(name) as name_lower, lower(ticker) as ticker_lower, combined_text from companies",
         "S3_select_articles": f"with {articles} select * from (select *, row_number() over (partition by query_id order by hits desc, article_id)::int as place from ({hits})) where place <= 100",
         "S7_merge_tickers": "select p_brand as ticker from part union select n_name from nation",
         "T1_clean_text": f"with {articles} select article_id, array_to_string({_sql_tokens('fulltext')}, ' ') as cleaned from articles",
-        "T4_boosted_document": f"with {articles}, b as (select article_id, substr(fulltext, 1, 500) || ' ' || repeat(substr(fulltext, 1, 12), 3) || ' ' || repeat(link, 2) as x from articles) select article_id, array_to_string({_sql_tokens('x')}, ' ') as boosted from b",
+        "T4_boosted_document": f"with {articles}, b as (select article_id, fulltext || ' ' || repeat(substr(fulltext, 1, 12), 3) || ' ' || repeat(link, 2) as x from articles) select article_id, array_to_string({_sql_tokens('x')}, ' ') as boosted from b",
         "T5_length_gate": f"with {articles} select article_id, least(length(fulltext), 50000)::int as chars from articles where length(fulltext) > 300",
-        "T7_company_variants": f"""with {companies}, c as (select ticker, lower(ticker) as t, lower(name) as n, trim(regexp_replace(lower(name), '{suffixes}', '', 'g')) as bare,
-  lower(array_to_string(list_transform(list_filter(string_split_regex(name, '\\s+'), lambda w: regexp_matches(w, '^[A-Z]') or length(w) > 3), lambda w: substr(w, 1, 1)), '')) as acro, len(string_split_regex(name, '\\s+')) as words from companies),
-v as (select ticker, case when length(t) = 1 then [n] || (case when length(bare) >= 3 then [bare] else [] end) when length(t) = 2 and t in ({_texts(SHORT_WORDS)}) then [n]
-  else [t, '$' || t, n] || (case when length(bare) >= 3 then [bare] else [] end) || (case when words >= 2 and length(acro) >= 3 and acro not in ({_texts(COMMON_WORDS)}) then [acro] else [] end)
-    || (case when length(t) >= 4 then list_transform(range(2, length(t) - 1), lambda i: substr(t, 1, i) || ' ' || substr(t, i + 1)) else [] end) end as vs from c)
-select ticker, unnest(list_distinct(vs)) as variant, (select count(*) from region) as regions from v""",
+        "T7_company_variants": f"with {companies}, {variants_sql()} select ticker, variant from variants",
         "T15_dedup_paragraphs": """with e as (select doc_id as doc, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
 f as (select doc, trim(text) as text, min(pos) as pos from e where length(trim(text)) > 10 and not regexp_matches(trim(text), '^[0-9]+$') group by 1, 2),
 j as (select doc, substr(trim(regexp_replace(string_agg(text, ' ' order by pos), '\\s+', ' ', 'g')), 1, 500000) as section from f group by 1)
@@ -237,7 +309,7 @@ select doc, md5(section) as section_md5, length(section)::int as chars from j"""
         "J14_attach_scores": f"with {report} select * from report",
         "R4_slice_report": f"with {report} select * from report where topic_id = 1",
         "R5_topic_summary": f"with {report} select topic_id, count(*) as rows, count(distinct ticker) as companies from report group by 1",
-        "R6_search_companies": f"""with {companies}, hits as (select ticker, name from companies union select s_suppkey::varchar, s_name from supplier where s_suppkey::varchar not in (select ticker from companies))
+        "R6_search_companies": f"""with {companies}, hits as (select ticker, name from companies union select c_custkey::varchar, c_name from customer where c_custkey::varchar not in (select ticker from companies))
 select ticker, name, place from (select *, case when lower(ticker) = 'on' then 0 when starts_with(lower(ticker), 'on') then 1 else 2 end as place from hits where contains(lower(ticker), 'on') or contains(lower(name), 'on')) order by place, ticker limit 15""",
         "R8_signal_class": f"with {stocks._sql_metrics()}, {stocks._sql_scores()} select ticker, case{swing} else 'slate' end as signal, case when coalesce(round(swing_score, 6), 0) = 0 then 'slate' when round(swing_score, 6) >= 0.7 then 'emerald' when round(swing_score, 6) >= 0.5 then 'cyan' when round(swing_score, 6) >= 0.3 then 'amber' else 'red' end as band from rated",
         "R9_job_stats": f"with {jobs} select count(*) as total, count(*) filter (status = 'completed') as completed, count(*) filter (status = 'running') as running, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'pending') as pending from jobs",

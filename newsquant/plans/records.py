@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import matching, reporting, text, topics
+from ..operators import matching, reporting, text
 from ..sources import fixtures
 from . import articles
 
@@ -43,15 +43,11 @@ def _gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = articles._candidates(spark, sf_dir)
-    entities = topics.technical_terms(articles._terms(spark, sf_dir)).withColumnRenamed("technical", "entities")
-    pairs = pairs.join(F.broadcast(entities), "topic_id", "left")
-    return matching.entity_score(pairs).select("topic_id", "ticker", F.round("entity", 6).alias("entity"))
+    return matching.entity_score(articles._candidates(spark, sf_dir), "own_text").select("topic_id", "ticker", F.round("entity", 6).alias("entity"))
 
 
 def _final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = articles._decided(spark, sf_dir).where("relevant").withColumn("n_mentions", F.col("ticker").substr(2, 9).cast("long") % 5)
-    return matching.final_score(kept).select("topic_id", "ticker", F.round("relevance_score", 6).alias("relevance_score"))
+    return articles._scored_matches(spark, sf_dir).select("topic_id", "ticker", "relevance_score")
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +88,7 @@ select cik, cik || '/0001' || o_orderkey || '/' || o_orderkey || '.htm' as path
         + """, d as (select s_suppkey::varchar as ticker, case when section is null then s_name else s_name || ' ' || section end as description from supplier left join j on doc = s_suppkey and s_suppkey % 2 = 0)
 select ticker, md5(description) as description_md5, length(description)::int as chars from d""",
         "T17_exact_repeats": f"with {base} select min(article_id) as article_id from articles group by md5({squeezed})",
-        "J7_entity_score": f"{match} select topic_id, ticker, round(coalesce(len(list_filter(technical, lambda t: contains(combined_text, t) or contains(lower(ticker), t))) / nullif(len(technical), 0)::double, 0), 6) as entity from cand left join technical using (topic_id)",
+        "J7_entity_score": f"{match} select topic_id, ticker, round(coalesce(len(list_filter(technical, lambda t: contains(own_text, t) or contains(lower(ticker), t))) / nullif(len(technical), 0)::double, 0), 6) as entity from cand",
         "J11_final_score": f"{match} select topic_id, ticker, relevance_score from ranked",
         "J16_corpus_guard": f"with {base} select article_id from articles where (select count(*) from articles) >= 10",
         "R11_resolve_queries": """select event_id as job_id, case when event_type < 'm' then 'news on ' || event_type else event_type end as query from events where trim(event_type) <> ''

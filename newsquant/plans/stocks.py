@@ -100,7 +100,7 @@ def _long_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four rankings over topics (a brand's maker stands for its topic)."""
     own = _scored(spark, sf_dir).withColumn("topic_id", F.substring("ticker", 7, 1).cast("int")).withColumn("relevance_score", F.round(F.col("pe_ratio") / 60, 6))
     own = own.withColumns({f"{s}_score": F.round(f"{s}_score", 6) for s in scores.STYLES})
-    return reporting.rank_by_style(own, 3)
+    return reporting.rank_by_style(own, 20)
 
 
 def queries() -> dict[str, Query]:
@@ -237,7 +237,7 @@ select ticker, round(covar_samp(ret, market_ret) / var_pop(market_ret), 6) as be
         "C7_ratings": f"with {metrics}, {scored} select ticker, {styles} from rated",
         "C8_safe_format": f"with {RAW} select ticker, round(try_cast(trailing_pe as double), 2) as trailing_pe, round(try_cast(peg as double), 2) as peg, round(try_cast(margin as double), 4) as margin, round(try_cast(return_on_equity as double), 4) as return_on_equity from raw",
         "R1_rank_by_style": f"""with {metrics}, {scored}, t as (select *, substr(ticker, 7, 1)::int as topic_id, round(pe_ratio / 60, 6) as relevance_score from rated), longs as ({longs})
-select topic_id, style, ticker, relevance_score, score, rating, rank, missing from (select *, row_number() over (partition by topic_id, style order by relevance_score desc nulls last, score desc, ticker)::int as rank from (select *, count(*) filter (score is null) over (partition by topic_id, style) as missing from longs) where score is not null) where rank <= 3""",
+select topic_id, style, ticker, relevance_score, score, rating, rank, missing from (select *, row_number() over (partition by topic_id, style order by relevance_score desc nulls last, score desc, ticker)::int as rank from (select *, count(*) filter (score is null) over (partition by topic_id, style) as missing from longs) where score is not null) where rank <= 20""",
         "R2_top_overall": f"with {metrics}, {scored} select ticker, round(swing_score, 6) as swing_score, swing_rating from rated where swing_score is not null order by round(swing_score, 6) desc, ticker limit 10",
         "R7_ticker_card": f"with {metrics}, {scored} select ticker, {rounds(['current_price', 'change_1d', 'rsi_14', 'day_score', 'swing_score', 'position_score', 'longterm_score'])}, {styles} from rated where ticker = 'Brand#23'",
     }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import articles, records, stocks
+from .plans import articles, records, signals, stocks
 
-PLANS = (stocks, articles, records)
+PLANS = (stocks, articles, records, signals)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

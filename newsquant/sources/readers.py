@@ -69,5 +69,33 @@ def read_cik_map(spark: SparkSession, path: str) -> DataFrame:
 def sample_companies(companies: DataFrame, n: int, forced: list[str], seed: int = 0) -> DataFrame:
     """Forced tickers and, by a repeatable hash order, others up to ``n``."""
     own = F.col("ticker").isin(forced)
-    rest = companies.where(~own).orderBy(F.xxhash64("ticker", F.lit(seed)), "ticker").limit(max(0, n - len(set(forced))))
+    rest = companies.where(~own).orderBy(F.md5(F.concat("ticker", F.lit(f"/{seed}"))), "ticker").limit(max(0, n - len(set(forced))))
     return companies.where(own).unionByName(rest)
+
+
+def assemble_companies(raw: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Company records from profile rows ``(ticker, longName, shortName, longBusinessSummary, sector, industry)``.
+
+    ``keywords(ticker, phrase, rank)`` are joined by commas; profiles without a description go.
+    """
+    known = lambda c: F.nullif(F.trim(c), F.lit(""))
+    empty = F.lit("")
+    own = raw.where(known("longBusinessSummary").isNotNull())
+    listed = keywords.groupBy("ticker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "phrase"))), lambda p: p["phrase"]), ", ").alias("Keywords"))
+    return own.join(listed, "ticker", "left").select(
+        F.col("ticker").alias("Ticker"), F.coalesce(known("longName"), known("shortName"), empty).alias("Name"), F.col("longBusinessSummary").alias("Description"),
+        F.coalesce("Keywords", empty).alias("Keywords"), F.coalesce("sector", empty).alias("Sector"), F.coalesce("industry", empty).alias("Industry"),
+    )
+
+
+def write_report(report: DataFrame, path: str, fmt: str = "csv") -> None:
+    """Write report rows as CSV or Parquet, topic by topic, best relevance first."""
+    rows = report.repartitionByRange("Topic_ID").sortWithinPartitions("Topic_ID", F.desc("Relevance_Score"), "Ticker")
+    writer = rows.write.mode("overwrite")
+    writer.option("header", True).option("escape", '"').csv(path) if fmt == "csv" else writer.parquet(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a CSV report by its schema, without empty lines."""
+    rows = spark.read.csv(path, header=True, schema=schema, escape='"', multiLine=True)
+    return rows.where(F.col("Topic_ID").isNotNull())
