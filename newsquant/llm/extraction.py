@@ -9,8 +9,9 @@ adverts that differ from page to page go by their element, class or id.
 A pair that shares most of its article text (of its text without chrome, where no element says
 article) is a copy and not evidence of a template. A page without other evidence keeps what its
 article element holds, or all but chrome. Null html gives
-an empty text; null urls form a host of their own. Repeated rows are pages of their own. An
-empty table gives an empty result. Unclosed elements end where their parent ends.
+an empty text; null urls form a host of their own. Rows that repeat id, url and html get one and the
+same text. Very long pages cost the product of two pages' differing lines. Other columns are left
+out, whatever their names. An empty table gives an empty result. Unclosed elements end where their parent ends.
 """
 
 from __future__ import annotations
@@ -169,19 +170,23 @@ def shared_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(sorted(found), dtype=np.int64)
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from xxhash import xxh64_intdigest
+def _parse(lines: bool):
+    """``(key, texts, marks)`` of pages with ``lines``, otherwise ``(key, marks, hashes, sizes)``."""
 
-    for batch in batches:
-        texts, marks, hashes, sizes = [], [], [], []
-        for page in batch.column("html"):
-            blocks = page_blocks(page.as_py())
-            texts.append([t for t, _ in blocks])
-            marks.append([m for _, m in blocks])
-            hashes.append([xxh64_intdigest(t.encode("utf-8", "replace")) - 2**63 for t, _ in blocks])
-            sizes.append([len(t) for t, _ in blocks])
-        lists = [pa.array(texts, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("url"), *lists], ["page", "url", "texts", "marks", "hashes", "sizes"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            pages = [page_blocks(page) for page in batch.column("html").to_pylist()]
+            held = [*batch.columns[:-1], pa.array([[m for _, m in p] for p in pages], pa.list_(pa.int32()))]
+            if lines:
+                held.append(pa.array([[t for t, _ in p] for p in pages], pa.list_(pa.string())))
+            else:
+                held.append(pa.array([[xxh64_intdigest(t.encode("utf-8", "replace")) - 2**63 for t, _ in p] for p in pages], pa.list_(pa.int64())))
+                held.append(pa.array([[len(t) for t, _ in p] for p in pages], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(held, ["key", "page", "url", "marks", "texts"] if lines else ["key", "page", "url", "marks", "hashes", "sizes"])
+
+    return run
 
 
 def _difference(copy_share: float):
@@ -202,7 +207,7 @@ def _difference(copy_share: float):
                         differs = True
                 gone.append(sorted(lines))
                 decided.append(differs)
-            yield pd.DataFrame({"row": batch["row"], "gone": gone, "decided": decided})
+            yield pd.DataFrame({"key": batch["key"], "gone": gone, "decided": decided})
 
     return run
 
@@ -210,29 +215,38 @@ def _difference(copy_share: float):
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", copy_share: float = 0.5) -> DataFrame:
     """``(key, url, text)`` of every page; see the module for the rules."""
     scratch = Scratch(pages.sparkSession, "extraction")
-    parsed = pages.select(F.col(key).alias("page"), F.col(url).alias("url"), F.col(html).alias("html"))
-    parsed = parsed.mapInArrow(_parse, "page long, url string, texts array<string>, marks array<int>, hashes array<long>, sizes array<int>")
-    parsed = scratch.save(parsed.withColumn("row", F.monotonically_increasing_id()))
+    page_key = F.xxhash64(F.col(key), F.coalesce(F.col(url), F.lit("")), F.lit("\n"), F.coalesce(F.col(html), F.lit("")))
+    source = pages.select(page_key.alias("key"), F.col(key).alias("page"), F.col(url).alias("url"), F.col(html).alias("html"))
+    # only hashes of lines travel; the pages are read once more for their texts
+    lined = scratch.save(source.mapInArrow(_parse(False), "key long, page long, url string, marks array<int>, hashes array<long>, sizes array<int>"))
     # neighbours by (host, path, page): sort globally, number the rows from counts per partition
     where = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 1)
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
-    order = parsed.select("row", "page", "hashes", "sizes", "marks", F.lower(where).alias("host"), path.alias("path"))
-    order = order.repartitionByRange("host", "path", "page", "row").sortWithinPartitions("host", "path", "page", "row")
+    order = lined.select("key", "page", "hashes", "sizes", "marks", F.lower(where).alias("host"), path.alias("path"))
+    order = order.repartitionByRange("host", "path", "page", "key").sortWithinPartitions("host", "path", "page", "key")
     order = scratch.save(order.drop("path", "page").withColumn("at", F.monotonically_increasing_id()))
+    scratch.free(lined)
+    scratch.release()
     part = F.shiftright("at", 33)
     counts = order.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # one row per partition
     starts = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    order = order.withColumn("part", part).join(F.broadcast(starts), "part")
-    order = order.select("row", "host", "hashes", "sizes", "marks", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
-    near = lambda step, name: order.select((F.col("rank") + step).alias("rank"), F.col("host").alias(f"{name}_host"), F.col("hashes").alias(name))
-    pairs = order.join(near(1, "before"), "rank", "left").join(near(-1, "after"), "rank", "left")
-    pairs = pairs.select("row", "hashes", "sizes", "marks", *[F.when(F.col(f"{n}_host") == F.col("host"), F.col(n)).alias(n) for n in ("before", "after")])
-    gone = pairs.mapInPandas(_difference(copy_share), "row long, gone array<int>, decided boolean").where("decided")
-    pages_gone = parsed.join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    numbered = order.withColumn("part", part).join(F.broadcast(starts), "part")
+    numbered = numbered.select("key", "host", "hashes", "sizes", "marks", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
+    near = lambda step, name: numbered.select((F.col("rank") + step).alias("rank"), F.col("host").alias(f"{name}_host"), F.col("hashes").alias(name))
+    pairs = numbered.join(near(1, "before"), "rank", "left").join(near(-1, "after"), "rank", "left")
+    pairs = pairs.select("key", "hashes", "sizes", "marks", *[F.when(F.col(f"{n}_host") == F.col("host"), F.col(n)).alias(n) for n in ("before", "after")])
+    gone = pairs.mapInPandas(_difference(copy_share), "key long, gone array<int>, decided boolean").where("decided")
+    # repeated rows are one page here
+    gone = scratch.save(gone.groupBy("key").agg(F.min("gone").alias("gone")))
+    scratch.free(order)
+    scratch.release()
+    parsed = source.mapInArrow(_parse(True), "key long, page long, url string, marks array<int>, texts array<string>")
+    pages_gone = parsed.join(gone, "key", "left")
     # without evidence from another page, an article element alone says what is text
-    outside = F.coalesce("decided", F.lit(False)) | ~F.exists("marks", lambda m: m == ARTICLE)
+    outside = F.col("gone").isNotNull() | ~F.exists("marks", lambda m: m == ARTICLE)
+    cut = F.coalesce("gone", F.array().cast("array<int>"))
     stays = lambda i: (F.get("marks", i) == ARTICLE) | ((F.get("marks", i) == UNKNOWN) & outside)
-    lines = F.filter("texts", lambda t, i: stays(i) & ~F.array_contains("gone", i))
+    lines = F.filter("texts", lambda t, i: stays(i) & ~F.array_contains(cut, i))
     out = pages_gone.select("page", "url", lines.alias("lines"))
     return out.select(F.col("page").alias(key), F.col("url").alias(url), F.array_join("lines", "\n\n").alias("text"))
 
