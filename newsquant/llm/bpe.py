@@ -1,14 +1,15 @@
 """Operator 4: byte-level BPE with each distinct word encoded once for the whole corpus.
 
 Documents are cut into pre-tokens in blocks of about ``block_bytes`` of text. A block keeps its
-documents as positions in the block's list of distinct words, and the words leave as rows
-``(block, place, word)``: exploding per block rather than per occurrence keeps the global
-shuffle to distinct words. Words are shuffled by value, equal words meet and are encoded once,
-the ids are decoded through the token-byte table, and ids and bytes go back to the blocks'
-places, where documents are reassembled by position.
+documents as positions in the block's list of distinct words, in a table dealt by block, so that
+positions never shuffle. The block's words leave by a hash of the word, packed: one row for each
+block and share of the words. Rows of a share meet, each distinct word is encoded once, the ids go
+back to the blocks' places, the token-byte table decodes them, and documents are reassembled by
+position.
 
 A null text is empty. A text longer than a block is a block of its own. Very long words are one
-row. Repeated rows give equal results. An empty table gives an empty result.
+word. Repeated rows and ties give equal results. Other columns are left out, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import sys
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,92 +36,114 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-_BLOCKS = "block long, doc long, places binary, place int, word binary"
+_BLOCKS = "block long, doc long, places binary, share int, words binary"
 
 
-def _cut_blocks(pattern: str, block_bytes: int):
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers below 2^24 as three planes of bytes, which compress well."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(3, -1).astype(np.uint32)
+    return planes[0] | planes[1] << 8 | planes[2] << 16
+
+
+def _pack_lists(lists: list[bytes]) -> bytes:
+    """Byte strings as one compressed string: how many, their sizes, their bytes."""
+    sizes = np.array([len(lists), *map(len, lists)], dtype="<u4").tobytes()
+    return zlib.compress(sizes + b"".join(lists), 6)
+
+
+def _unpack_lists(raw: bytes) -> list[bytes]:
+    raw = zlib.decompress(raw)
+    n = int.from_bytes(raw[:4], "little")
+    ends = (np.cumsum(np.frombuffer(raw, dtype="<u4", count=n, offset=4)) + 4 * n + 4).tolist()
+    return [raw[a:b] for a, b in zip([4 * n + 4, *ends], ends)]
+
+
+def _cut_blocks(pattern: str, block_bytes: int, shares: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
+        from xxhash import xxh32_intdigest
 
         cut = regex.compile(pattern).findall
         number = TaskContext.get().partitionId() << 32
         place: dict[str, int] = {}
         docs, packed, used = [], [], 0
 
-        def out(end: bool) -> Iterator[pa.RecordBatch]:
-            """The documents so far; at the block's end its words too."""
-            n, words = len(docs), list(place) if end else []
-            for at in range(0, max(n, len(words)), 20_000):
-                part = [w.encode("utf-8", "surrogatepass") for w in words[at : at + 20_000]]
-                d, p, m = docs[at : at + 20_000], packed[at : at + 20_000], len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(d) + m, number, dtype=np.int64)),
-                        pa.array(d + [None] * m, pa.int64()),
-                        pa.array(p + [None] * m, pa.binary()),
-                        pa.array([None] * len(d) + list(range(at, at + m)), pa.int32()),
-                        pa.array([None] * len(d) + part, pa.binary()),
-                    ],
-                    ["block", "doc", "places", "place", "word"],
-                )
+        def out() -> Iterator[pa.RecordBatch]:
+            """The block's documents, then a row for each share of its words."""
+            words = [w.encode("utf-8", "surrogatepass") for w in place]
+            of = np.array([xxh32_intdigest(w) % shares for w in words], dtype=np.int32)
+            own = [np.flatnonzero(of == s).tolist() for s in np.unique(of).tolist()]
+            for places in own:
+                places.sort(key=words.__getitem__)  # neighbours share beginnings
+            n, m = len(docs), len(own)
+            columns = [
+                pa.array(np.full(n + m, number, dtype=np.int64)),
+                pa.array(docs + [None] * m, pa.int64()),
+                pa.array(packed + [zlib.compress(_planes(np.array(p))) for p in own], pa.binary()),
+                pa.array([None] * n + np.unique(of).tolist(), pa.int32()),
+                pa.array([None] * n + [_pack_lists([words[i] for i in p]) for p in own], pa.binary()),
+            ]
+            whole = pa.RecordBatch.from_arrays(columns, ["block", "doc", "places", "share", "words"])
+            for at in range(0, n + m, 10_000):
+                yield whole.slice(at, 10_000)
 
         for batch in batches:
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text")):
                 own = text.as_py() or ""
-                places = np.array([place.setdefault(w, len(place)) for w in cut(own)], dtype="<u4")
                 docs.append(doc)
-                packed.append(places.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes())  # byte planes compress well
+                packed.append(_planes(np.array([place.setdefault(w, len(place)) for w in cut(own)], dtype=np.uint32)))
                 used += len(own)
                 if used >= block_bytes:
-                    yield from out(True)
+                    yield from out()
                     number, place, docs, packed, used = number + 1, {}, [], [], 0
         if docs:
-            yield from out(True)
+            yield from out()
 
     return run
 
 
-def _encode(path: str, pattern: str):
+def _encode(path: str, most: int = 1_000_000):
+    """Ids of each row's words, four bytes an id; a share's words are remembered, ``most`` at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        ranks = read_ranks(path)
-        encode = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        token_bytes: list[bytes] = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            token_bytes[rank] = token
-        last, row = None, None
+        encode = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(path), special_tokens={}).encode_ordinary
+        known: dict[bytes, bytes] = {}
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            texts, sizes, decoded = [], [], []
-            for word in words:
-                if word != last:  # sorted: each distinct word comes in one run
-                    ids = encode(word.decode("utf-8", "surrogatepass"))
-                    last, row = word, (" ".join(map(str, ids)), len(ids), b"".join([token_bytes[i] for i in ids]))
-                texts.append(row[0])
-                sizes.append(row[1])
-                decoded.append(row[2])
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), pa.array(texts, pa.string()), pa.array(sizes, pa.int32()), pa.array(decoded, pa.binary())], ["block", "place", "ids", "n", "decoded"])
+            out = []
+            for raw in batch.column("words").to_pylist():
+                words = _unpack_lists(raw)
+                if len(known) > most:
+                    known.clear()
+                for w in words:
+                    if w not in known:
+                        known[w] = np.array(encode(w.decode("utf-8", "surrogatepass")), dtype="<u4").tobytes()
+                out.append(_pack_lists([known[w] for w in words]))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("places"), pa.array(out, pa.binary())], ["block", "places", "ids"])
 
     return run
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, dtype=np.uint8).reshape(3, -1).astype(np.uint32)
-    return planes[0] | planes[1] << 8 | planes[2] << 16
-
-
-def _reassemble(digest: bool):
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        order = np.argsort(words.column("place").to_numpy())
-        ids, decoded = (words.column(c).take(pa.array(order)).to_pylist() for c in ("ids", "decoded"))
-        n = words.column("n").to_numpy()[order].astype(np.int64)
+def _reassemble(path: str, digest: bool):
+    def run(docs: pa.Table, codes: pa.Table) -> pa.Table:
+        token_bytes = {rank: token for token, rank in read_ranks(path).items()}
+        texts: dict[int, str] = {}
+        decoded: dict[int, bytes] = {}
+        sizes: dict[int, int] = {}
+        for where, raw in zip(codes.column("places").to_pylist(), codes.column("ids").to_pylist()):
+            for at, own in zip(_unpack(zlib.decompress(where)).tolist(), _unpack_lists(raw)):
+                ids = np.frombuffer(own, dtype="<u4").tolist()
+                texts[at], decoded[at], sizes[at] = " ".join(map(str, ids)), b"".join([token_bytes[i] for i in ids]), len(ids)
         n_tokens, first, second = [], [], []
         for raw in docs.column("places").to_pylist():
-            places = _unpack(raw)
-            at = places.tolist()
-            n_tokens.append(int(n[places].sum()))
-            text, back = " ".join([ids[i] for i in at]), b"".join([decoded[i] for i in at])
+            at = _unpack(raw).tolist()
+            n_tokens.append(sum(map(sizes.__getitem__, at)))
+            text, back = " ".join(map(texts.__getitem__, at)), b"".join(map(decoded.__getitem__, at))
             first.append(hashlib.sha256(text.encode()).hexdigest() if digest else text)
             second.append(hashlib.sha256(back).hexdigest() if digest else back)
         kind = pa.string() if digest else pa.binary()
@@ -133,14 +157,15 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
 
     ``digest`` replaces both by their SHA-256 in lowercase hex.
     """
+    scratch = Scratch(docs.sparkSession, "bpe")
+    shares = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    blocks = Scratch(docs.sparkSession, "bpe").save(rows.mapInArrow(_cut_blocks(pattern, block_bytes), _BLOCKS))
-    words = blocks.where("word is not null").select("block", "place", "word")
-    words = words.repartition("word").sortWithinPartitions("word")
-    encoded = words.mapInArrow(_encode(path, pattern), "block long, place int, ids string, n int, decoded binary")
-    held = blocks.where("places is not null").select("block", "doc", "places")
+    blocks = scratch.save_bucketed(rows.mapInArrow(_cut_blocks(pattern, block_bytes, shares), _BLOCKS), "block")
+    words = blocks.where("share is not null").select("block", "share", "places", "words").repartition(shares, "share")
+    codes = words.mapInArrow(_encode(path), "block long, places binary, ids binary")
+    held = blocks.where("share is null").select("block", "doc", "places")
     kind = "string" if digest else "binary"
-    out = held.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_reassemble(digest), f"doc long, n_tokens long, ids string, decoded {kind}")
+    out = held.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_reassemble(path, digest), f"doc long, n_tokens long, ids string, decoded {kind}")
     return out.withColumnRenamed("doc", key)
 
 
