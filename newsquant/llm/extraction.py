@@ -180,7 +180,7 @@ def _parse(lines: bool):
             pages = [page_blocks(page) for page in batch.column("html").to_pylist()]
             held = [*batch.columns[:-1], pa.array([[m for _, m in p] for p in pages], pa.list_(pa.int32()))]
             if lines:
-                held.append(pa.array([[t for t, _ in p] for p in pages], pa.list_(pa.string())))
+                held.append(pa.array([["" if m == CHROME else t for t, m in p] for p in pages], pa.list_(pa.string())))  # chrome never stays
             else:
                 held.append(pa.array([[xxh64_intdigest(t.encode("utf-8", "replace")) - 2**63 for t, _ in p] for p in pages], pa.list_(pa.int64())))
                 held.append(pa.array([[len(t) for t, _ in p] for p in pages], pa.list_(pa.int32())))
