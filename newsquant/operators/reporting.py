@@ -113,7 +113,7 @@ def report_rows(rows: DataFrame) -> DataFrame:
     for name, source, decimals, how in REPORT:
         x = F.col(source)
         if how == "list":
-            x = F.when(F.col("n_mentions") > 0, F.array_join(x, "; ")).otherwise("")
+            x = F.when(F.col("n_mentions") > 0, F.coalesce(F.array_join(x, "; "), F.lit(""))).otherwise("")
         elif how:
             x = F.when(x != 0, x * 100 if how == "share" else x)
         out.append((x if decimals is None else F.round(x, decimals)).alias(name))

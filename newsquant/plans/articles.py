@@ -233,15 +233,14 @@ asked as (select article_id, {body} as body from {articles}),
 kept as (select * from variants where length(variant) >= 2 and (length(variant) > 2 or starts_with(variant, '$')) and not (length(variant) <= 3 and variant in ({_texts(COMMON_WORDS | SHORT_WORDS)}))),
 both_ as (select * from asked, kept where contains(lower(body), variant)),
 spots as (select article_id, ticker, variant, {around(50, 50, 3)} as near, {around(10, 2, 3)} as tight, substr(body, greatest(1, p - 5)::bigint, (p - greatest(1, p - 5))::bigint) as ahead
-  from (select *, unnest(range(1, length(body) + 1)) as p from both_ where length(variant) = 3 and not starts_with(variant, '$') and not contains(variant, ' '))
-  where substr(lower(body), p, 3) = variant and not regexp_matches(substr(lower(body), p + 3, 1), '[a-z]') and (p = 1 or not regexp_matches(substr(lower(body), p - 1, 1), '[a-z]'))),
+  from (select *, (list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * 3 + 1)::bigint as p from (select *, unnest(range(1, len(parts))) as i from (select *, string_split(lower(body), variant) as parts from both_ where length(variant) = 3 and not starts_with(variant, '$') and not contains(variant, ' '))))
+  where not regexp_matches(substr(lower(body), p + 3, 1), '[a-z]') and (p = 1 or not regexp_matches(substr(lower(body), p - 1, 1), '[a-z]'))),
 counts_ as (select article_id, ticker, variant, count(*) as n from spots where {words} or contains(ahead, '$') or regexp_matches(tight, '(ticker|symbol|code)[:\s]' || variant) or contains(tight, '(' || variant || ')') group by 1, 2, 3
   union all select article_id, ticker, variant, len(regexp_extract_all(regexp_replace(lower(body), '([^a-z])', '\1\1', 'g'), '[^a-z]' || regexp_escape(variant) || '[^a-z]')) from both_ where length(variant) <= 3 and starts_with(variant, '$')
   union all select article_id, ticker, variant, len(regexp_extract_all(lower(body), '\b' || regexp_escape(variant) || '\b')) from both_ where length(variant) > 3 or contains(variant, ' ')),
 counted as (select article_id, ticker, sum(n)::bigint as mentions, list_sort(list(variant || ' (' || n || 'x)')) as mentioned_as from counts_ where n > 0 group by 1, 2),
-places as (select article_id, ticker, name, body, unnest(range(1, length(body) + 1)) as p from counted join asked using (article_id) join companies using (ticker) where contains(lower(body), lower(ticker))),
-tickers as (select article_id, ticker, name, substr(body, p, 1) as initial, lower({around(100, 100, 'length(ticker)')}) as near from places where substr(lower(body), p, length(ticker)) = lower(ticker)
-  and not regexp_matches(substr(body, p + length(ticker), 1), '\w') and (p = 1 or not regexp_matches(substr(body, p - 1, 1), '\w'))),
+places as (select *, (list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(ticker) + 1)::bigint as p from (select *, unnest(range(1, len(parts))) as i from (select article_id, ticker, name, body, string_split(lower(body), lower(ticker)) as parts from counted join asked using (article_id) join companies using (ticker)))),
+tickers as (select article_id, ticker, name, substr(body, p, 1) as initial, lower({around(100, 100, 'length(ticker)')}) as near from places where not regexp_matches(substr(body, p + length(ticker), 1), '\w') and (p = 1 or not regexp_matches(substr(body, p - 1, 1), '\w'))),
 valid as (select distinct article_id, ticker from tickers where case when length(ticker) <= 4 then ({contexts} or list_bool_or(list_transform(list_filter(string_split_regex(lower(name), '\s+'), lambda w: length(w) > 3)[1:2], lambda w: contains(near, w))))
   else regexp_matches(initial, '[A-Z]') end)"""
 

@@ -169,6 +169,7 @@ def oracle_sql() -> dict[str, str]:
     firms = articles.companies_sql()
     list_ = articles._texts
     every = f"{firms}, {articles.mentions_sql('art', 'body')}"
+    near = f"{firms}, {articles.mentions_sql('(select article_id, body from art semi join (select article_id from first where seq <= 15) using (article_id))', 'body')}"
     low = f"{firms}, {articles.mentions_sql('(select article_id, body from art semi join (select article_id from first where seq <= 10) using (article_id))', 'lower(body)')}"
     ten = "variants10 as (select topic_id, ticker, list_sort(list(distinct said)) as mentioned_as from (select topic_id, ticker, unnest(mentioned_as) as said from first join counted using (article_id) where seq <= 10) group by 1, 2)"
     words = f"""vocab as (select word, count(*) as n from (select unnest({articles._sql_tokens('fulltext')}) as word from articles) group by 1),
@@ -246,7 +247,7 @@ heard as (select topic_id, list_sort(list_filter(list_distinct(flatten(list(stri
 select t.topic_id, array_to_string(any_value(technical), '|') as technical, md5(array_to_string(any_value(entities), '|')) as entities_md5, md5(lower(string_agg(term, ' ' order by rank) || ' ' || any_value(said))) as text_md5, string_agg(term, '|' order by rank) as keywords
 from terms t left join technical using (topic_id) left join heard using (topic_id) group by 1""",
         "J6_J9_rejections": f"with {match} select topic_id, ticker, (({funds}) and mention < 0.2) or ((contains(combined_text, 'real estate investment trust') or contains(lower(name), 'reit')) and mention < 0.15 and nli < 0.3) as fund, (nli < 0.2 and kw < 0.1) as exits from decided",
-        "J8_mention_score": f"with {every} select topic_id, ticker, count(*) as n_mentions, round(least(1, count(*) / 10), 6) as mention from first join valid using (article_id) where seq <= 15 group by 1, 2",
+        "J8_mention_score": f"with {near} select topic_id, ticker, count(*) as n_mentions, round(least(1, count(*) / 10), 6) as mention from first join valid using (article_id) where seq <= 15 group by 1, 2",
         "J12_mention_variants": f"with {low}, {ten} select topic_id, ticker, array_to_string(mentioned_as, '; ') as mentioned_as from variants10",
         "J15_depth_profiles": f"with {match}, deep as (select sims.*, coalesce(len(list_filter(technical, lambda t: contains(own_text, t))) / nullif(len(technical), 0)::double, 0) as kw from sims left join technical using (topic_id)) {gates}",
         "S2_sample_companies": f"with {firms}, r as (select ticker, name, row_number() over (order by md5(ticker || '/3'), ticker) as n from companies where ticker not in ('THE', 'AND', 'NONE')) select ticker, name from r where n <= 57 union all select ticker, name from companies where ticker in ('THE', 'AND', 'NONE')",
