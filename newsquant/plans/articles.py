@@ -214,7 +214,7 @@ companies as (select ticker, name, description, keywords, lower(name || ' ' || d
 def variants_sql() -> str:
     suffixes = r"\b(inc\.?|corp\.?|corporation|company|ltd\.?|limited|llc|plc)\b"
     return rf"""spelt as (select ticker, lower(ticker) as t, lower(name) as n, trim(regexp_replace(lower(name), '{suffixes}', '', 'g')) as bare,
-  lower(array_to_string(list_transform(list_filter(string_split_regex(name, '\\s+'), lambda w: regexp_matches(w, '^[A-Z]') or length(w) > 3), lambda w: substr(w, 1, 1)), '')) as acro, len(string_split_regex(name, '\\s+')) as words from companies),
+  lower(array_to_string(list_transform(list_filter(string_split_regex(name, '\s+'), lambda w: regexp_matches(w, '^[A-Z]') or length(w) > 3), lambda w: substr(w, 1, 1)), '')) as acro, len(string_split_regex(name, '\s+')) as words from companies),
 lists as (select ticker, case when length(t) = 1 then [n] || (case when length(bare) >= 3 then [bare] else [] end) when length(t) = 2 and t in ({_texts(SHORT_WORDS)}) then [n]
   else [t, '$' || t, n] || (case when length(bare) >= 3 then [bare] else [] end) || (case when words >= 2 and length(acro) >= 3 and acro not in ({_texts(COMMON_WORDS)}) then [acro] else [] end)
     || (case when length(t) >= 4 then list_transform(range(2, length(t) - 1), lambda i: substr(t, 1, i) || ' ' || substr(t, i + 1)) else [] end) end as vs from spelt),

