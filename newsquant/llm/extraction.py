@@ -171,17 +171,19 @@ def shared_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _parse(lines: bool):
-    """``(key, texts, marks)`` of pages with ``lines``, otherwise ``(key, marks, hashes, sizes)``."""
+    """``(key, page, url)`` of pages and their marks and texts with ``lines``, otherwise marks, hashes and sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
             pages = [page_blocks(page) for page in batch.column("html").to_pylist()]
-            held = [*batch.columns[:-1], pa.array([[m for _, m in p] for p in pages], pa.list_(pa.int32()))]
-            if lines:
-                held.append(pa.array([["" if m == CHROME else t for t, m in p] for p in pages], pa.list_(pa.string())))  # chrome never stays
+            held = list(batch.columns[:-1])
+            if lines:  # one string each: blocks hold no line feed, marks are digits, and chrome never stays
+                held.append(pa.array(["".join([str(m) for _, m in p]) for p in pages], pa.string()))
+                held.append(pa.array(["\n".join(["" if m == CHROME else t for t, m in p]) for p in pages], pa.string()))
             else:
+                held.append(pa.array([[m for _, m in p] for p in pages], pa.list_(pa.int32())))
                 held.append(pa.array([[xxh64_intdigest(t.encode("utf-8", "replace")) - 2**63 for t, _ in p] for p in pages], pa.list_(pa.int64())))
                 held.append(pa.array([[len(t) for t, _ in p] for p in pages], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(held, ["key", "page", "url", "marks", "texts"] if lines else ["key", "page", "url", "marks", "hashes", "sizes"])
@@ -240,13 +242,14 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     gone = scratch.save(gone.groupBy("key").agg(F.min("gone").alias("gone")))
     scratch.free(order)
     scratch.release()
-    parsed = source.mapInArrow(_parse(True), "key long, page long, url string, marks array<int>, texts array<string>")
+    parsed = source.mapInArrow(_parse(True), "key long, page long, url string, marks string, texts string")
     pages_gone = parsed.join(gone, "key", "left")
     # without evidence from another page, an article element alone says what is text
-    outside = F.col("gone").isNotNull() | ~F.exists("marks", lambda m: m == ARTICLE)
+    outside = F.col("gone").isNotNull() | ~F.contains("marks", F.lit(str(ARTICLE)))
     cut = F.coalesce("gone", F.array().cast("array<int>"))
-    stays = lambda i: (F.get("marks", i) == ARTICLE) | ((F.get("marks", i) == UNKNOWN) & outside)
-    lines = F.filter("texts", lambda t, i: stays(i) & ~F.array_contains(cut, i))
+    mark = lambda i: F.substring("marks", i + 1, F.lit(1))
+    stays = lambda i: (mark(i) == str(ARTICLE)) | ((mark(i) == str(UNKNOWN)) & outside)
+    lines = F.filter(F.split("texts", "\n"), lambda t, i: stays(i) & ~F.array_contains(cut, i))
     out = pages_gone.select("page", "url", lines.alias("lines"))
     return out.select(F.col("page").alias(key), F.col("url").alias(url), F.array_join("lines", "\n\n").alias("text"))
 
