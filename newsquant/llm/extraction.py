@@ -171,7 +171,7 @@ def shared_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _parse(lines: bool):
-    """``(key, page, url)`` of pages and their marks and texts with ``lines``, otherwise marks, hashes and sizes."""
+    """``(key, page, url)`` of pages and their marks and texts with ``lines``, otherwise hashes, and sizes (times 4) plus marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -183,10 +183,9 @@ def _parse(lines: bool):
                 held.append(pa.array(["".join([str(m) for _, m in p]) for p in pages], pa.string()))
                 held.append(pa.array(["\n".join(["" if m == CHROME else t for t, m in p]) for p in pages], pa.string()))
             else:
-                held.append(pa.array([[m for _, m in p] for p in pages], pa.list_(pa.int32())))
                 held.append(pa.array([[xxh64_intdigest(t.encode("utf-8", "replace")) - 2**63 for t, _ in p] for p in pages], pa.list_(pa.int64())))
-                held.append(pa.array([[len(t) for t, _ in p] for p in pages], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(held, ["key", "page", "url", "marks", "texts"] if lines else ["key", "page", "url", "marks", "hashes", "sizes"])
+                held.append(pa.array([[4 * len(t) + m for t, m in p] for p in pages], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(held, ["key", "page", "url", "marks", "texts"] if lines else ["key", "page", "url", "hashes", "sizes"])
 
     return run
 
@@ -195,7 +194,8 @@ def _difference(copy_share: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             gone, decided = [], []
-            for own, size, mark, *others in zip(batch["hashes"], batch["sizes"], batch["marks"], batch["before"], batch["after"]):
+            for own, sizes, *others in zip(batch["hashes"], batch["sizes"], batch["before"], batch["after"]):
+                size, mark = sizes >> 2, sizes & 3
                 lines: set[int] = set()
                 differs = False
                 # copies are judged by the article, or by all that is not chrome where no element says article
@@ -220,11 +220,11 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     page_key = F.xxhash64(F.col(key), F.coalesce(F.col(url), F.lit("")), F.lit("\n"), F.coalesce(F.col(html), F.lit("")))
     source = pages.select(page_key.alias("key"), F.col(key).alias("page"), F.col(url).alias("url"), F.col(html).alias("html"))
     # only hashes of lines travel; the pages are read once more for their texts
-    lined = scratch.save(source.mapInArrow(_parse(False), "key long, page long, url string, marks array<int>, hashes array<long>, sizes array<int>"))
+    lined = scratch.save(source.mapInArrow(_parse(False), "key long, page long, url string, hashes array<long>, sizes array<int>"))
     # neighbours by (host, path, page): sort globally, number the rows from counts per partition
     where = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 1)
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
-    order = lined.select("key", "page", "hashes", "sizes", "marks", F.lower(where).alias("host"), path.alias("path"))
+    order = lined.select("key", "page", "hashes", "sizes", F.lower(where).alias("host"), path.alias("path"))
     order = order.repartitionByRange("host", "path", "page", "key").sortWithinPartitions("host", "path", "page", "key")
     order = scratch.save(order.drop("path", "page").withColumn("at", F.monotonically_increasing_id()))
     scratch.free(lined)
@@ -233,10 +233,10 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     counts = order.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # one row per partition
     starts = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     numbered = order.withColumn("part", part).join(F.broadcast(starts), "part")
-    numbered = numbered.select("key", "host", "hashes", "sizes", "marks", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
+    numbered = numbered.select("key", "host", "hashes", "sizes", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
     near = lambda step, name: numbered.select((F.col("rank") + step).alias("rank"), F.col("host").alias(f"{name}_host"), F.col("hashes").alias(name))
     pairs = numbered.join(near(1, "before"), "rank", "left").join(near(-1, "after"), "rank", "left")
-    pairs = pairs.select("key", "hashes", "sizes", "marks", *[F.when(F.col(f"{n}_host") == F.col("host"), F.col(n)).alias(n) for n in ("before", "after")])
+    pairs = pairs.select("key", "hashes", "sizes", *[F.when(F.col(f"{n}_host") == F.col("host"), F.col(n)).alias(n) for n in ("before", "after")])
     gone = pairs.mapInPandas(_difference(copy_share), "key long, gone array<int>, decided boolean").where("decided")
     # repeated rows are one page here
     gone = scratch.save(gone.groupBy("key").agg(F.min("gone").alias("gone")))
