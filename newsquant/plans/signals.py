@@ -14,7 +14,7 @@ from ..sources import files, fixtures, readers
 from . import articles, stocks
 
 Query = Callable[[SparkSession, str], DataFrame]
-_said = F.array_join(F.col("mentioned_as"), "; ").alias("mentioned_as")
+_SAID = "array_join(mentioned_as, '; ') as mentioned_as"
 
 
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +133,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "T6_extract_bodies": lambda s, d: text.extract_bodies(fixtures.table(s, d, "pages")).select("page_id", F.md5("body").alias("body_md5"), F.length("body").alias("chars")),
-        "T8_mention_counts": lambda s, d: _counted(s, d).select("article_id", "ticker", "mentions", _said),
+        "T8_mention_counts": lambda s, d: _counted(s, d).selectExpr("article_id", "ticker", "mentions", _SAID),
         "T9_short_symbols": _short,
         "T10_valid_mentions": _valid,
         "T11_clean_description": lambda s, d: articles._companies(s, d).select("ticker", F.md5(text.clean_description(F.regexp_replace("description", r"[^\x00-\x7F]", " "), F.col("name"))).alias("cleaned_md5")),
@@ -148,7 +148,7 @@ def queries() -> dict[str, Query]:
         "M9_domain_signals": _signals,
         "J6_J9_rejections": _funds,
         "J8_mention_score": lambda s, d: mentions.mention_score(*articles._topic_bodies(s, d)).select("topic_id", "ticker", "n_mentions", F.round("mention", 6).alias("mention")),
-        "J12_mention_variants": lambda s, d: mentions.mention_variants(*articles._topic_bodies(s, d)).select("topic_id", "ticker", _said),
+        "J12_mention_variants": lambda s, d: mentions.mention_variants(*articles._topic_bodies(s, d)).selectExpr("topic_id", "ticker", _SAID),
         "J15_depth_profiles": _depths,
         "S2_sample_companies": lambda s, d: readers.sample_companies(articles._companies(s, d), 60, ["THE", "AND", "NONE"], 3).select("ticker", "name"),
         "S6_cik_map": lambda s, d: readers.parse_cik_lines(_cik_lines(s, d)),
