@@ -95,7 +95,7 @@ def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
     first = measures(text)
     # each step stands apart, so that texts are cut once, whatever filters come later
     cut = _settled(_settled(df, {"_flat": first.pop("_flat")}), first)
-    stop = F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))])
+    stop = sorted(set(STOP_WORDS))
     n = F.size("_words")
     cut = _settled(
         cut,
@@ -103,7 +103,7 @@ def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
             "n_words": n.cast("long"),
             "word_chars": (F.length("_flat") - F.greatest(n - 1, F.lit(0))).cast("long"),
             "n_repeat_words": _repeat_words(F.col("_words")).cast("long"),
-            "_stops": F.size(F.filter("_words", lambda w: F.array_contains(stop, w))),
+            "_stops": F.size(F.filter("_words", lambda w: w.isin(*stop))),
         },
     )
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
