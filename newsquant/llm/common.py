@@ -8,6 +8,7 @@ from per-bucket counts.
 from __future__ import annotations
 
 import gc
+import string
 import sys
 import tempfile
 import uuid
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyspark.cloudpickle as cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Word separators of every contract: space and \t to \r.
@@ -37,6 +38,32 @@ def scratch_root(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: A-Z lower-cased, letters, digits and all bytes beyond ASCII kept, other bytes a space.
+_PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def plain_bytes(text: str | None) -> bytes:
+    """UTF-8 of a text's plain words (runs of letters, digits and characters beyond ASCII, A-Z lower-cased), apart by spaces."""
+    return (text or "").encode().translate(_PLAIN)
+
+
+def plain_words(text: str) -> Column:
+    """The words of :func:`plain_bytes` as an array, by built-in functions; none for null."""
+    low = F.translate(F.coalesce(F.col(text), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    flat = F.trim(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+
+
+def pieces(plain: bytes, most: int = 4 << 20) -> Iterator[bytes]:
+    """``plain`` cut at spaces, about ``most`` bytes each."""
+    at = 0
+    while at < len(plain):
+        end = plain.find(b" ", at + most)
+        end = len(plain) if end < 0 else end
+        yield plain[at:end]
+        at = end
+
+
 class Scratch:
     """Parquet tables in the shared folder that cut lineage and survive lost executors."""
 

@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
 from .classifier import op9_quality_classifier
+from .decontaminate import op12_decontamination
 from .extraction import op8_extraction
 from .lattice import op2_lattice
 from .lines import op6_lines
 from .packing import op7_packing
 from .quality import RULES, STOP_WORDS, op1_quality
+from .resampling import op11_importance_resampling
 from .sharding import op3_sharding
 from .simhash import op10_simhash
 from .substrings import op5_substrings
+from .whitening import op13_whitening
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _CLAUSES = " and ".join(
@@ -77,6 +80,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_extraction": op8_extraction,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_simhash": op10_simhash,
+        "op11_importance_resampling": op11_importance_resampling,
+        "op12_decontamination": op12_decontamination,
+        "op13_whitening": op13_whitening,
     }
 
 
