@@ -58,11 +58,10 @@ def tridiagonal(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.nda
 def sturm_count(diagonal: np.ndarray, side: np.ndarray, x: np.ndarray) -> np.ndarray:
     """How many eigenvalues lie below each of ``x``: negative pivots of the shifted matrix."""
     tiny = _EPS * max(float(np.abs(side).max(initial=0.0)), float(np.abs(diagonal).max(initial=0.0)), 1e-300)
-    pivot = diagonal[0] - x
-    below = (pivot < 0).astype(np.int64)
-    for k in range(1, len(diagonal)):
+    pivot, below = np.ones(len(x)), np.zeros(len(x), dtype=np.int64)
+    for d, s in zip(diagonal, np.append(0.0, side)):
+        pivot = d - x - s**2 / pivot
         pivot = np.where(np.abs(pivot) < tiny, -tiny, pivot)
-        pivot = diagonal[k] - x - side[k - 1] ** 2 / pivot
         below += pivot < 0
     return below
 

@@ -17,7 +17,7 @@ def test_components_of_random_matrices(n):
     _check(a @ a.T)
 
 
-@pytest.mark.parametrize("a", [np.eye(9), np.zeros((4, 4)), np.diag([3.0, 3, 3, 1, 1, 0]), np.ones((6, 6)), np.diag([1.0, 1 + 1e-13, 1 - 1e-13, 1e-9])])
+@pytest.mark.parametrize("a", [np.eye(9), np.zeros((4, 4)), np.diag([3.0, 3, 3, 1, 1, 0]), np.ones((6, 6)), np.array([[1024.0, -1024], [-1024, 1024]]), np.diag([1.0, 1 + 1e-13, 1 - 1e-13, 1e-9])])
 def test_components_of_clustered_values(a):
     _check(np.array(a))
 
