@@ -30,10 +30,16 @@ PHRASE_STOPS = frozenset(
 have having he her here hers herself him himself his how i if in into is it its itself let me more most my myself no nor not of off on once only or other ought our ours ourselves out over own
 same she should so some such than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why with would you your yours yourself yourselves""".split()
 )
-#: Key phrases that contain one of these go; then those that start or end so.
-PHRASE_BLACKLIST = (
-    "united states", "north america", "south america", "europe", "asia pacific", "beverage", "formerly known", "headquartered", "based in", "founded in", "middle east", "latin america", "segment provides", "segment focuses",
-    "segment engages", "segment includes", "segment develops", "amazon web services", "amazon braket", "azure quantum",
+#: Key phrases that go when they are just one of these.
+PHRASE_EXACT = (
+    "united states", "north america", "south america", "europe", "asia pacific", "middle east", "latin america", "formerly known", "headquartered", "based in",
+    "founded in", "inc .", "llc .", "plc .", "company inc", "corporation inc", "including ads", "include cloud", "including enterprise", "amazon web services",
+    "azure quantum", "amazon braket",
+)
+#: Key phrases that go when they contain one of these; then those that start or end so.
+PHRASE_PARTS = (
+    "beverage", "formerly known", "headquartered", "based in", "founded in", "inc .", "llc .", "plc .", "middle east", "latin america", "segment provides",
+    "segment focuses", "segment engages", "segment includes", "segment develops", "amazon web services", "amazon braket", "azure quantum", "beverage group holdings",
 )
 PHRASE_FIRST = ("also", "provides", "offers", "includes", "company", "various", "such", "primarily", "facilitates")
 PHRASE_LAST = ("company", "inc", "corporation", "segment", "segments", "across", "related", "worldwide")

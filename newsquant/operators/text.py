@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.words import BOILERPLATE, COMMON_WORDS, GENERIC_TERMS, PHRASE_BLACKLIST, PHRASE_FIRST, PHRASE_LAST, PHRASE_STOPS, SHORT_WORDS, STOP_WORDS, SUFFIXES
+from ..functions.words import BOILERPLATE, COMMON_WORDS, GENERIC_TERMS, PHRASE_EXACT, PHRASE_FIRST, PHRASE_LAST, PHRASE_PARTS, PHRASE_STOPS, SHORT_WORDS, STOP_WORDS, SUFFIXES
 
 
 def clean_tokens(text: Column) -> Column:
@@ -155,42 +155,10 @@ def company_keywords(companies: DataFrame, top: int = 12) -> DataFrame:
     tokens = F.filter(F.split("sentence", "[^a-z]+"), lambda w: (F.length(w) > 2) & ~w.isin(*sorted(PHRASE_STOPS)))
     rows = said.select("ticker", "name", F.explode(ngrams(tokens, 2, 4)).alias("phrase"))
     words = F.split("phrase", " ")
-    bad = F.exists(F.array(*[F.lit(b) for b in PHRASE_BLACKLIST]), lambda b: F.contains("phrase", b)) | F.exists(words, lambda w: F.contains("name", w))
+    bad = F.col("phrase").isin(*PHRASE_EXACT) | F.exists(F.array(*[F.lit(b) for b in PHRASE_PARTS]), lambda b: F.contains("phrase", b)) | F.exists(words, lambda w: F.contains("name", w))
     rows = rows.where(~bad & ~F.get(words, F.lit(0)).isin(*PHRASE_FIRST) & ~F.element_at(words, -1).isin(*PHRASE_LAST))
     counts = rows.groupBy("ticker", "phrase").agg(F.count("*").alias("n"))
     totals = counts.groupBy("ticker").agg(F.sum("n").alias("total"))
     scored = counts.join(totals, "ticker").withColumn("score", F.col("n") / F.col("total") * F.size(F.split("phrase", " ")))
     best = Window.partitionBy("ticker").orderBy(F.desc("score"), "phrase")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("ticker", "phrase", "score", "rank")
-
-
-#: Elements without article text, words of class and id that mark page furniture, and where articles stand.
-BARE_TAGS = "script style nav header footer aside form button iframe".split()
-FURNITURE = "nav|menu|sidebar|footer|header|cookie|newsletter|subscribe|comment|social|share"
-PLACES = (r"<article\b[^>]*>(.*)", *[rf"<(?:div|section|main)\b[^>]*{at}\s*=\s*\"[^\">]*{w}[^>]*>(.*)" for at, w in (("class", "article"), ("class", "content"), ("class", "post"), ("id", "article"), ("id", "content"))], r"<main\b[^>]*>(.*)")
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
-
-
-def extract_bodies(pages: DataFrame, html: str = "html", low: int = 300, cut: int = 50_000) -> DataFrame:
-    """Add ``body``: paragraphs of over 40 characters of a page's article; pages with ``low`` characters or fewer go.
-
-    Elements are cut by pattern, which ends an element at the first closing tag of its name.
-    """
-    text = F.coalesce(F.col(html), F.lit(""))
-    for tag in BARE_TAGS:
-        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    for tag in ("div", "section", "ul", "p"):
-        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*(?:class|id)\s*=\s*\"[^\">]*(?:{FURNITURE})[^>]*>.*?</{tag}\s*>", " ")
-    rows = pages.withColumn("_page", text)
-    place = F.coalesce(*[F.nullif(F.regexp_extract("_page", f"(?is){p}", 1), F.lit("")) for p in PLACES], F.col("_page"))
-    parts = F.regexp_extract_all(F.col("_place"), F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), F.lit(1))
-
-    def plain(part: Column) -> Column:
-        out = F.regexp_replace(part, "<[^>]*>", "")
-        for name, char in ENTITIES:
-            out = F.replace(out, F.lit(name), F.lit(char))
-        return F.trim(F.regexp_replace(out, r"\s+", " "))
-
-    kept = F.filter(F.transform(parts, plain), lambda p: F.length(p) > 40)
-    rows = rows.withColumn("_place", place).withColumn("body", F.substring(F.array_join(kept, " "), 1, cut))
-    return rows.where(F.length("body") > low).drop("_page", "_place")

@@ -59,16 +59,20 @@ def term_score(cohesion: str, niche: str, centrality: str, generic: str, rank_sh
 
 
 def cut_terms(scores: DataFrame, low: int = 3, high: int = 5) -> DataFrame:
-    """Terms of each topic before the widest score gap between ranks ``low`` and ``high``, or the first negative one."""
+    """Terms of each topic before the widest score gap, or before the first negative score; ``low`` to ``high`` of them.
+
+    A gap counts from rank ``low`` on, up to the last but one; of equal gaps the first counts. Without
+    any, ``low`` terms stay.
+    """
     down = Window.partitionBy("topic_id").orderBy(F.desc("score"), "term")
     rows = scores.withColumns({"rank": F.row_number().over(down), "before": F.lag("score").over(down), "n": F.count("*").over(Window.partitionBy("topic_id"))})
     at = F.col("rank") - 1
-    inside = (at >= low) & (at < F.least(F.col("n"), F.lit(high + 1)))
+    inside = (at >= low) & (at < F.least(F.col("n") - 1, F.lit(high + 1)))
     cut = rows.groupBy("topic_id").agg(
         F.max(F.when(inside, F.struct((F.col("before") - F.col("score")).alias("gap"), (-at).alias("at")))).alias("widest"),
         F.min(F.when(F.col("score") < 0, at)).alias("negative"),
     )
-    place = F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(-F.col("widest.at"), F.lit(high))))
+    place = F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(-F.col("widest.at"), F.lit(low))))
     place = F.least(place, F.greatest(F.lit(low), F.coalesce(F.col("negative"), F.lit(high))))
     return rows.join(cut.select("topic_id", place.alias("keep")), "topic_id").where("rank <= keep").select("topic_id", "term", "score", "rank")
 
@@ -107,9 +111,10 @@ def term_metrics(terms: DataFrame, words: DataFrame, generic: DataFrame) -> Data
 
 
 def filter_terms(terms: DataFrame, scores: DataFrame, low: int = 3, high: int = 5) -> DataFrame:
-    """Terms of each topic: domain phrases, then scored words that :func:`cut_terms` keeps in their own order, ``high`` at most.
+    """Terms of each topic: domain phrases, then scored words that :func:`cut_terms` keeps in their own order, ``high`` in all.
 
-    Topics with fewer than ``low`` scored words keep their first ``low`` terms.
+    Each domain phrase over ``high`` takes one of the words' last away. Topics with fewer than ``low``
+    scored words keep their first ``low`` terms.
     """
     enough = scores.groupBy("topic_id").agg(F.count("*").alias("n")).where(F.col("n") >= low).select("topic_id")
     mark = F.lit(False)
@@ -119,9 +124,11 @@ def filter_terms(terms: DataFrame, scores: DataFrame, low: int = 3, high: int =
     kept = cut_terms(scores, low, high).select("topic_id", "term")
     kept = terms.join(kept, ["topic_id", "term"], "left_semi").join(enough, "topic_id", "left_semi").select("topic_id", "term", "weight", F.lit(1).alias("first"), "rank")
     few = terms.join(enough, "topic_id", "left_anti").where(F.col("rank") <= low).select("topic_id", "term", "weight", F.lit(0).alias("first"), "rank")
-    place = F.row_number().over(Window.partitionBy("topic_id").orderBy("first", "rank"))
-    rows = phrases.unionByName(kept).unionByName(few).withColumn("place", place)
-    return rows.where((F.col("first") == 0) | (F.col("place") <= high)).select("topic_id", F.col("place").alias("rank"), "term", "weight")
+    whole = Window.partitionBy("topic_id")
+    place, n = F.row_number().over(whole.orderBy("first", "rank")), F.count("*").over(whole)
+    rows = phrases.unionByName(kept).unionByName(few).withColumns({"place": place, "n": n, "ahead": F.count_if(F.col("first") == 0).over(whole)})
+    last = F.when(F.col("ahead") <= high, F.lit(high)).otherwise(F.col("n") + high - F.col("ahead"))
+    return rows.where((F.col("first") == 0) | (F.col("place") <= last)).select("topic_id", F.col("place").alias("rank"), "term", "weight")
 
 
 def domain_signals(terms: DataFrame, articles: DataFrame) -> DataFrame:

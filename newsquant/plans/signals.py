@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.words import DOMAIN_MARKS, FUND_MARKS, GENERIC_TERMS, PHRASE_BLACKLIST, PHRASE_FIRST, PHRASE_LAST, PHRASE_STOPS
-from ..operators import matching, mentions, reporting, text, topics
+from ..functions.words import DOMAIN_MARKS, FUND_MARKS, GENERIC_TERMS, PHRASE_EXACT, PHRASE_FIRST, PHRASE_LAST, PHRASE_PARTS, PHRASE_STOPS
+from ..operators import matching, mentions, pages, reporting, text, topics
 from ..sources import files, fixtures, readers
 from . import articles, stocks
 
@@ -132,7 +132,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "T6_extract_bodies": lambda s, d: text.extract_bodies(fixtures.table(s, d, "pages")).select("page_id", F.md5("body").alias("body_md5"), F.length("body").alias("chars")),
+        "T6_extract_bodies": lambda s, d: pages.extract_bodies(fixtures.table(s, d, "pages")).select("page_id", F.md5("body").alias("body_md5"), F.length("body").alias("chars")),
         "T8_mention_counts": lambda s, d: _counted(s, d).selectExpr("article_id", "ticker", "mentions", _SAID),
         "T9_short_symbols": _short,
         "T10_valid_mentions": _valid,
@@ -162,6 +162,35 @@ def queries() -> dict[str, Query]:
     }
 
 
+def bodies_sql() -> str:
+    """Bodies of pages: each tag's partner is the next tag of its name on the same level."""
+    quoted = lambda x: x.replace("'", "''")
+    html = "regexp_replace(coalesce(html, ''), '(?s)<!--.*?(?:-->|\\z)', '', 'g')"
+    for tag in ("script", "style"):
+        html = f"regexp_replace({html}, '(?is)<{tag}\\b[^>]*>.*?(?:</{tag}\\s*>|\\z)', '', 'g')"
+    value = lambda name: " || ".join(f"""regexp_extract(text, '(?is)\\s{name}\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))', {i})""" for i in (1, 2, 3))
+    kind = " ".join(f"when {f'tag = {chr(39)}{word}{chr(39)}' if where == 'tag' else f'contains({where}, {chr(39)}{word}{chr(39)})'} then {rank}" for rank, (where, word) in enumerate(pages.PLACES))
+    plain = "text"
+    for name, char in pages.ENTITIES:
+        plain = f"replace({plain}, '{name}', '{quoted(char)}')"
+    return f"""with tok as (select page_id as page, unnest(t) as text, generate_subscripts(t, 1) as pos from (select page_id, regexp_extract_all({html}, '{quoted(pages.TOKEN)}') as t from pages)),
+named as (select *, nullif(lower(regexp_extract(text, '^</?([a-zA-Z][^\\s/>]*)', 1)), '') as raw, starts_with(text, '</') as ends from tok),
+tags as (select page, text, pos, ends, case when regexp_matches(text, '(?s)^<[a-zA-Z].*/>$') or raw in ({articles._texts(pages.VOID_TAGS)}) then null else raw end as tag from named),
+marked as (select *, case when tag is not null and not ends then {value('class')} else '' end as class, case when tag is not null and not ends then {value('id')} else '' end as id from tags),
+summed as (select *, sum(case when ends then -1 else 1 end) over (partition by page, tag order by pos) as d from marked where tag is not null),
+floored as (select *, d - least(0, min(d) over (partition by page, tag order by pos rows between unbounded preceding and current row)) as depth from summed),
+levels as (select *, case when ends and depth = 0 and coalesce(lag(depth) over (partition by page, tag order by pos), 0) = 0 then null when ends then depth + 1 else depth end as level from floored),
+partners as (select page, pos, tag, ends, case when ends then lag(pos) over w else lead(pos) over w end as other, case when ends then lag(class) over w else class end as class, case when ends then lag(id) over w else id end as id from levels where level is not null window w as (partition by page, tag, level order by pos)),
+furniture as (select page, pos as start, coalesce(other, 2147483647) as stop from partners where not ends and (tag in ({articles._texts(pages.BARE_TAGS)}) or regexp_matches(class, '(?i){pages.FURNITURE}') or regexp_matches(id, '(?i){pages.FURNITURE}'))),
+stays as (select * from tags t where not exists (select 1 from furniture f where f.page = t.page and t.pos between f.start and f.stop)),
+found as (select page, min(row(case {kind} end, pos, coalesce(other, 2147483647))) as spot from partners semi join stays using (page, pos) where not ends and (case {kind} end) is not null group by 1),
+inner_ as (select stays.* from stays left join found using (page) where spot is null or (pos > spot[2] and pos < spot[3])),
+last_ as (select *, last_value(case when tag = 'p' then row(pos, ends) end ignore nulls) over (partition by page order by pos) as p from inner_),
+pieces as (select page, p[1] as paragraph, string_agg(regexp_replace({plain}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), '' order by pos) as text from last_ where tag is null and not starts_with(text, '<') and p is not null and not p[2] group by 1, 2),
+bodies as (select page as page_id, substr(string_agg(text, ' ' order by paragraph), 1, 50000) as body from pieces where length(text) > 40 group by 1)
+select page_id, md5(body) as body_md5, length(body)::int as chars from bodies where length(body) > 300"""
+
+
 def oracle_sql() -> dict[str, str]:
     known = articles.oracle_sql()
     match = known["J10_relevance"].rpartition(" select ")[0].removeprefix("with ")
@@ -187,23 +216,15 @@ enough as (select topic_id, keep from bounds where n >= 3),
 chosen as (select t.topic_id, t.term, t.weight, t.rank, 0 as first from terms t join enough using (topic_id) where contains(t.term, ' ') and ({' or '.join(f"contains(t.term, '{m}')" for m in DOMAIN_MARKS)})
   union all select o.topic_id, o.term, t.weight, t.rank, 1 from ordered o join enough using (topic_id) join terms t on t.topic_id = o.topic_id and t.term = o.term where o.r <= keep
   union all select topic_id, term, weight, rank, 0 from terms where rank <= 3 and topic_id not in (select topic_id from enough)),
-filtered as (select topic_id, place as rank, term, weight from (select *, row_number() over (partition by topic_id order by first, rank)::int as place from chosen) where first = 0 or place <= 5)"""
+filtered as (select topic_id, place as rank, term, weight from (select *, row_number() over (partition by topic_id order by first, rank)::int as place, count(*) filter (first = 0) over (partition by topic_id) as ahead, count(*) filter (first = 1) over (partition by topic_id) as words from chosen)
+  where first = 0 or place - ahead <= case when 5 - ahead >= 0 then 5 - ahead else words + 5 - ahead end)"""
     terms = known["M3_topic_terms"].removeprefix("with ").rpartition(" select ")[0]
     phrases = f"""sentences as (select ticker, lower(name) as name, list_filter(string_split_regex(s, '[^a-z]+'), lambda w: length(w) > 2 and w not in ({list_(PHRASE_STOPS)})) as toks from (select ticker, name, unnest(string_split_regex(lower(description), '[.!?\\n]+')) as s from companies)),
 grams_ as ({" union all ".join(f"select ticker, name, toks[i:i + {n - 1}] as w from (select *, unnest(range(1, len(toks) - {n - 2})) as i from sentences where len(toks) >= {n})" for n in (2, 3, 4))}),
 told as (select ticker, array_to_string(w, ' ') as phrase, count(*) as n, len(any_value(w)) as words from grams_ where not list_bool_or(list_transform(w, lambda x: contains(name, x))) and w[1] not in ({list_(PHRASE_FIRST)}) and w[-1] not in ({list_(PHRASE_LAST)})
-  and not ({' or '.join(f"contains(array_to_string(w, ' '), '{b}')" for b in PHRASE_BLACKLIST)}) group by 1, 2),
+  and array_to_string(w, ' ') not in ({list_(PHRASE_EXACT)}) and not ({' or '.join(f"contains(array_to_string(w, ' '), '{b}')" for b in PHRASE_PARTS)}) group by 1, 2),
 phrases as (select ticker, phrase, n / (sum(n) over (partition by ticker))::double * words as score from told),
 keyed as (select * from (select ticker, phrase, score, row_number() over (partition by ticker order by score desc, phrase)::int as rank from phrases) where rank <= 12)"""
-    page = "coalesce(html, '')"
-    for tag in text.BARE_TAGS:
-        page = f"regexp_replace({page}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
-    for tag in ("div", "section", "ul", "p"):
-        page = f"""regexp_replace({page}, '(?is)<{tag}\\b[^>]*(?:class|id)\\s*=\\s*"[^">]*(?:{text.FURNITURE})[^>]*>.*?</{tag}\\s*>', ' ', 'g')"""
-    place = ", ".join(f"nullif(regexp_extract(page, '(?is){p}', 1), '')" for p in text.PLACES)
-    plain = "regexp_replace(p, '<[^>]*>', '', 'g')"
-    for name, char in text.ENTITIES:
-        plain = f"replace({plain}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
     cleaned = "description"  # other scripts are blanked: engines differ on what is a word there
     for pattern in (r"The company was formerly known as[^.]*\.", r"formerly known as[^.]*\.", r"headquartered in[^.]*\.", r"based in \w+, \w+\.", r"founded in \d{4}[^.]*\."):
         cleaned = f"regexp_replace({cleaned}, '{pattern}', '', 'gi')"
@@ -221,9 +242,7 @@ full_ as (select m.topic_id as Topic_ID, topic_keywords as Topic_Keywords, m.tic
     gates = " union all ".join(f"select {k}::int as depth, count(*) as pairs, count(distinct ticker) as companies, {p.hypotheses * 2}::int as sentences from deep where sim >= {p.min_similarity} and (kw >= {p.min_keyword} or sim >= 0.15)" for k in (1, 2, 3, 4) for p in (matching.DepthProfile.of(k),))
     generic = list_(GENERIC_TERMS)
     return {
-        "T6_extract_bodies": f"""with p as (select page_id, {page} as page from pages), c as (select page_id, coalesce({place}, page) as place from p),
-b as (select page_id, substr(array_to_string(list_filter(list_transform(regexp_extract_all(place, '(?is)<p\\b[^>]*>(.*?)</p\\s*>', 1), lambda p: trim(regexp_replace({plain}, '\\s+', ' ', 'g'))), lambda p: length(p) > 40), ' '), 1, 50000) as body from c)
-select page_id, md5(body) as body_md5, length(body)::int as chars from b where length(body) > 300""",
+        "T6_extract_bodies": bodies_sql(),
         "T8_mention_counts": f"with {every} select article_id, ticker, mentions, array_to_string(mentioned_as, '; ') as mentioned_as from counted",
         "T9_short_symbols": f"with {every} select * from (select article_id, ticker, unnest(mentioned_as) as said from counted) where regexp_matches(said, '^[a-z]{{3}} \\(')",
         "T10_valid_mentions": f"with {every} select article_id, ticker from valid",
@@ -250,7 +269,7 @@ from terms t left join technical using (topic_id) left join heard using (topic_i
         "J8_mention_score": f"with {near} select topic_id, ticker, count(*) as n_mentions, round(least(1, count(*) / 10), 6) as mention from first join valid using (article_id) where seq <= 15 group by 1, 2",
         "J12_mention_variants": f"with {low}, {ten} select topic_id, ticker, array_to_string(mentioned_as, '; ') as mentioned_as from variants10",
         "J15_depth_profiles": f"with {match}, deep as (select sims.*, coalesce(len(list_filter(technical, lambda t: contains(own_text, t))) / nullif(len(technical), 0)::double, 0) as kw from sims left join technical using (topic_id)) {gates}",
-        "S2_sample_companies": f"with {firms}, r as (select ticker, name, row_number() over (order by md5(ticker || '/3'), ticker) as n from companies where ticker not in ('THE', 'AND', 'NONE')) select ticker, name from r where n <= 57 union all select ticker, name from companies where ticker in ('THE', 'AND', 'NONE')",
+        "S2_sample_companies": f"with {firms}, r as (select ticker, name, row_number() over (order by md5(ticker || '/3'), ticker) as n from companies where ticker not in ('THE', 'AND', 'NONE')), own as (select ticker, name from companies where ticker in ('THE', 'AND', 'NONE')) select ticker, name from r where n <= 60 - (select count(*) from own) or (select count(*) from own) >= 60 union all select ticker, name from own",
         "S6_cik_map": "select 'SYM' || (c_custkey % 40) as ticker, lpad(max(c_custkey)::varchar, 10, '0') as cik from customer where c_custkey % 7 <> 0 group by 1",
         "S8_report_text": f"with {rep} select {texts} from full_",
         "S9_read_report": f"with {rep} select * from full_",

@@ -67,9 +67,15 @@ def read_cik_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sample_companies(companies: DataFrame, n: int, forced: list[str], seed: int = 0) -> DataFrame:
-    """Forced tickers and, by a repeatable hash order, others up to ``n``."""
-    own = F.col("ticker").isin(forced)
-    rest = companies.where(~own).orderBy(F.md5(F.concat("ticker", F.lit(f"/{seed}"))), "ticker").limit(max(0, n - len(set(forced))))
+    """Rows of forced tickers and, by a repeatable hash order, others up to ``n`` rows in all.
+
+    All others stay where they fit, and also where the forced rows alone reach ``n``.
+    """
+    own = F.coalesce(F.col("ticker").isin(forced), F.lit(False))
+    left = n - companies.where(own).count()
+    rest = companies.where(~own)
+    if left > 0:
+        rest = rest.orderBy(F.md5(F.concat("ticker", F.lit(f"/{seed}"))), "ticker").limit(left)
     return companies.where(own).unionByName(rest)
 
 
