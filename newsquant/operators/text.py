@@ -128,24 +128,6 @@ def drop_repeats(articles: DataFrame, text: str = "fulltext") -> DataFrame:
     return articles.join(first.select("article_id"), "article_id", "left_semi")
 
 
-def drop_similar(vectors: DataFrame, threshold: float = 0.95, tables: int = 8) -> DataFrame:
-    """``(article_id, vec)`` without rows whose unit vector is ``threshold`` or more alike to one of a smaller id.
-
-    Candidates meet in random-projection buckets; cosines are then exact. Rows without a vector stay.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    rows = vectors.where("vec is not null").select("article_id", "vec", array_to_vector("vec").alias("_v"))
-    reach = (2 - 2 * threshold) ** 0.5 + 1e-6
-    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=2 * reach, numHashTables=tables, seed=1).fit(rows)
-    near = model.approxSimilarityJoin(rows, rows, reach)
-    a, b = (F.transform(F.col(f"dataset{x}.vec"), lambda v: v.cast("double")) for x in "AB")
-    cosine = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    gone = near.where((F.col("datasetA.article_id") < F.col("datasetB.article_id")) & (cosine >= threshold)).select(F.col("datasetB.article_id").alias("article_id")).distinct()
-    return vectors.join(gone, "article_id", "left_anti")
-
-
 def company_keywords(companies: DataFrame, top: int = 12) -> DataFrame:
     """``(ticker, phrase, score, rank)``: the ``top`` phrases of each description by share of all phrases times words.
 

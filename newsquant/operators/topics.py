@@ -146,10 +146,3 @@ def domain_signals(terms: DataFrame, articles: DataFrame) -> DataFrame:
     named = terms.groupBy("topic_id").agg(top(8).alias("keywords"), F.array_join(top(15), " ").alias("named"))
     out = named.join(technical_terms(terms), "topic_id", "left").join(heard, "topic_id", "left")
     return out.select("topic_id", "technical", "entities", F.lower(F.concat_ws(" ", "named", "said")).alias("topic_text"), "keywords")
-
-
-def with_vectors(df: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
-    """``df`` with the unit vector of its ``key`` from ``vectors(key, vec)``; rows without one go, zero vectors stay zero."""
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    unit = vectors.select(key, "vec", norm.alias("_norm")).select(key, F.transform("vec", lambda x: F.coalesce(F.try_divide(x.cast("double"), F.col("_norm")), F.lit(0.0))).alias("vec"))
-    return df.join(unit, key)

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.words import DOMAIN_MARKS, FUND_MARKS, GENERIC_TERMS, PHRASE_EXACT, PHRASE_FIRST, PHRASE_LAST, PHRASE_PARTS, PHRASE_STOPS
-from ..operators import matching, mentions, pages, reporting, text, topics
+from ..operators import matching, mentions, pages, reporting, text, topics, vectors
 from ..sources import files, fixtures, readers
 from . import articles, stocks
 
+quote = "'{}'".format
 Query = Callable[[SparkSession, str], DataFrame]
 _SAID = "array_join(mentioned_as, '; ') as mentioned_as"
 
@@ -126,10 +127,35 @@ def _funds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = articles._articles(spark, sf_dir).select("article_id", F.md5(F.substring("fulltext", 1, 400)).alias("key"))
-    out = topics.with_vectors(docs, articles._members(spark, sf_dir).select("article_id", "vec"), "article_id")
+    out = vectors.with_vectors(docs, articles._members(spark, sf_dir).select("article_id", "vec"), "article_id")
     return out.select("article_id", "key", *[F.round(F.get("vec", F.lit(i)), 6).alias(f"v{i}") for i in (0, 63)])
 
 
+def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every English article with a vector hashed from its text."""
+    return files.saved(vectors.text_vectors(articles._articles(spark, sf_dir), "article_id", "fulltext"))
+
+
+def _fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with the vector of their number, and others with one hashed from their text."""
+    docs = articles._articles(spark, sf_dir).select("article_id", "fulltext")
+    given = articles._members(spark, sf_dir).select("article_id", "vec")
+    out = vectors.with_vectors(docs, given, "article_id", "fulltext", 64)
+    return out.select("article_id", *[F.round(F.get("vec", F.lit(i)), 6).alias(f"v{i}") for i in (0, 31, 63)])
+
+
+def _text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 on hashed vectors: topics by their articles' texts, companies by the first 400 characters of theirs."""
+    docs = articles._articles(spark, sf_dir)
+    counts = vectors.hashed_counts(docs, "article_id", "fulltext")
+    weights = files.saved(vectors.slot_weights(counts, docs.agg(F.count("*").alias("total"))))
+    members = articles._members(spark, sf_dir).select("article_id", "topic_id")
+    centroids = topics.topic_centroids(vectors.hashed_vectors(counts, weights, "article_id").join(members, "article_id"))
+    firms = articles._companies(spark, sf_dir).select("ticker", F.substring("combined_text", 1, 400).alias("own_text"))
+    firms = firms.join(vectors.hashed_vectors(vectors.hashed_counts(firms, "ticker", "own_text"), weights, "ticker"), "ticker")
+    return matching.similarity_join(firms, centroids, 0.3).select("topic_id", "ticker", F.round("sim", 6).alias("sim"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "T6_extract_bodies": lambda s, d: pages.extract_bodies(fixtures.table(s, d, "pages")).select("page_id", F.md5("body").alias("body_md5"), F.length("body").alias("chars")),
@@ -139,8 +165,12 @@ def queries() -> dict[str, Query]:
         "T11_clean_description": lambda s, d: articles._companies(s, d).select("ticker", F.md5(text.clean_description(F.regexp_replace("description", r"[^\x00-\x7F]", " "), F.col("name"))).alias("cleaned_md5")),
         "T12_company_keywords": lambda s, d: text.company_keywords(articles._companies(s, d)).withColumn("score", F.round("score", 9)),
         "T14_extract_section": lambda s, d: text.extract_section(_elements(s, d)).groupBy("filing").agg(F.count("*").alias("elements"), F.sum(F.length("text")).alias("chars")),
-        "T17_similar_articles": lambda s, d: text.drop_similar(articles._members(s, d).select("article_id", "vec")).select("article_id"),
+        "T17_similar_articles": lambda s, d: vectors.drop_similar(articles._members(s, d).select("article_id", "vec")).select("article_id"),
+        "T17_similar_texts": lambda s, d: vectors.drop_similar(_hashed(s, d)).select("article_id"),
         "M1_with_vectors": _vectors,
+        "M1_hashed_vectors": _fallback,
+        "M2_cluster_topics": lambda s, d: vectors.cluster_topics(articles._members(s, d).select("article_id", "vec")),
+        "J1_text_similarity": _text_similarity,
         "M4_term_metrics": lambda s, d: _term_metrics(s, d).select("topic_id", "term", *[F.round(c, 6).alias(c) for c in ("cohesion", "centrality", "niche", "share")], "generic"),
         "M5_term_scores": lambda s, d: _term_scores(s, d).drop("rank"),
         "M6_filter_terms": lambda s, d: _filtered(s, d).drop("weight"),
@@ -191,6 +221,18 @@ bodies as (select page as page_id, substr(string_agg(text, ' ' order by paragrap
 select page_id, md5(body) as body_md5, length(body)::int as chars from bodies where length(body) > 300"""
 
 
+def hashed_sql(rows: str, key: str, dims: int, weights: str = "") -> str:
+    """Expressions ``cells``, ``idf`` and ``hashed(key, vec)`` of ``rows(key, x)``, named with ``key`` as suffix."""
+    one, two = f"select {key}, unnest(t) as term from tokens_{key}", f"select {key}, t[i] || ' ' || t[i + 1] as term from (select {key}, t, unnest(range(1, len(t))) as i from tokens_{key} where len(t) >= 2)"
+    idf = weights or f"idf_{key}"
+    own = "" if weights else f"idf_{key} as (select slot, ln(((select count(*) from tokens_{key}) + 1) / (count(*) + 1)::double) as idf from cells_{key} group by 1),"
+    return f"""tokens_{key} as (select {key}, {articles._sql_tokens("coalesce(x, '')")} as t from ({rows})),
+cells_{key} as (select {key}, (('0x' || substr(md5(term), 1, 8))::bigint % {dims})::int as slot, count(*) as n from ({one} union all {two}) group by 1, 2), {own}
+heavy_{key} as (select {key}, slot, n * idf as x from cells_{key} join {idf} using (slot)),
+norms_{key} as (select {key}, sqrt(sum(x * x)) as norm, map_from_entries(list(row(slot, x))) as held from heavy_{key} group by 1),
+hashed_{key} as (select {key}, list_transform(range(0, {dims}), lambda i: coalesce(held[i::int] / nullif(norm, 0), 0)) as vec from tokens_{key} left join norms_{key} using ({key}))"""
+
+
 def oracle_sql() -> dict[str, str]:
     known = articles.oracle_sql()
     match = known["J10_relevance"].rpartition(" select ")[0].removeprefix("with ")
@@ -256,6 +298,12 @@ s as (select filing, min(pos) as start from a where regexp_matches(text, '(?i)It
 n as (select filing, min(pos) as end_ from a join s using (filing) where pos > start and regexp_matches(text, '(?i)^\\s*Item\\s+(1A\\.?\\s*(Risk|Unresolved)|2\\.?\\s*Propert)') group by 1)
 select filing, count(*) as elements, sum(length(text))::bigint as chars from e join s using (filing) left join n using (filing) where pos >= start and pos < coalesce(end_, start + 1000) group by 1""",
         "T17_similar_articles": "select vec_id as article_id from embeddings a where not exists (select 1 from embeddings b where b.vec_id < a.vec_id and list_dot_product(a.embedding::double[], b.embedding::double[]) >= 0.95)",
+        "T17_similar_texts": f"with {hashed_sql('select doc_id as article_id, text as x from documents where lang = ' + quote('en'), 'article_id', 256)}, v as (select article_id, vec, sqrt(list_dot_product(vec, vec)) as norm from hashed_article_id) select article_id from v a where not exists (select 1 from v b where b.article_id < a.article_id and b.norm > 0 and a.norm > 0 and list_dot_product(a.vec, b.vec) >= 0.95 * a.norm * b.norm)",
+        "M1_hashed_vectors": f"with {hashed_sql('select doc_id as article_id, text as x from documents where lang = ' + quote('en'), 'article_id', 64)}, v as (select article_id, coalesce(list_transform(embedding::double[], lambda x: x / norm), vec) as vec from hashed_article_id left join (select vec_id as article_id, embedding, sqrt(list_dot_product(embedding::double[], embedding::double[])) as norm from embeddings) using (article_id)) select article_id, round(vec[1], 6) as v0, round(vec[32], 6) as v31, round(vec[64], 6) as v63 from v",
+        "J1_text_similarity": f"""with {firms}, {hashed_sql('select doc_id as article_id, text as x from documents where lang = ' + quote('en'), 'article_id', 256)}, {hashed_sql('select ticker, substr(combined_text, 1, 400) as x from companies', 'ticker', 256, 'idf_article_id')},
+cells as (select label as topic_id, i, avg(vec[i]) as m from (select label, vec, unnest(range(1, 257)) as i from embeddings join hashed_article_id on vec_id = article_id semi join norms_article_id using (article_id)) group by 1, 2),
+centres as (select topic_id, list(m order by i) as c, sqrt(sum(m * m)) as norm from cells group by 1)
+select topic_id, ticker, round(list_dot_product(vec, c) / norm, 6) as sim from hashed_ticker, centres where list_dot_product(vec, c) / norm >= 0.3""",
         "M1_with_vectors": "select doc_id as article_id, md5(substr(text, 1, 400)) as key, round(embedding[1] / n, 6) as v0, round(embedding[64] / n, 6) as v63 from (select *, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings) join documents on doc_id = vec_id where lang = 'en'",
         "M4_term_metrics": f"with {terms}, {words} select topic_id, term, round(cohesion, 6) as cohesion, round(centrality, 6) as centrality, round(niche, 6) as niche, round(share, 6) as share, generic from term_metrics",
         "M5_term_scores": f"with {terms}, {words} select topic_id, term, score from term_scores",
