@@ -223,7 +223,7 @@ select page_id, md5(body) as body_md5, length(body)::int as chars from bodies wh
 
 def hashed_sql(rows: str, key: str, dims: int, weights: str = "") -> str:
     """Expressions ``cells``, ``idf`` and ``hashed(key, vec)`` of ``rows(key, x)``, named with ``key`` as suffix."""
-    one, two = f"select {key}, unnest(t) as term from tokens_{key}", f"select {key}, t[i] || ' ' || t[i + 1] as term from (select {key}, t, unnest(range(1, len(t))) as i from tokens_{key} where len(t) >= 2)"
+    one, two = f"select {key}, unnest(t) as term from tokens_{key}", f"select {key}, z[1] || ' ' || z[2] as term from (select {key}, unnest(list_zip(t[:-2], t[2:])) as z from tokens_{key} where len(t) >= 2)"
     idf = weights or f"idf_{key}"
     own = "" if weights else f"idf_{key} as (select slot, ln(((select count(*) from tokens_{key}) + 1) / (count(*) + 1)::double) as idf from cells_{key} group by 1),"
     return f"""tokens_{key} as (select {key}, {articles._sql_tokens("coalesce(x, '')")} as t from ({rows})),
