@@ -3,8 +3,12 @@
 Each page becomes text lines (blocks) with what their markup says: chrome, article, or nothing.
 Pages are ordered by host and URL path over the whole table; each is paired with its nearest
 neighbours of the same host, the lines are aligned by longest common subsequence, and shared
-lines are deleted, in articles too. Markup settles what differencing alone gets wrong: menus or
-adverts that differ from page to page go by their element, class or id.
+lines are deleted. Markup settles what differencing alone gets wrong: menus or adverts that differ from
+page to page go by their element, class or id before lines are compared.
+
+Inside an article one neighbour's word is not enough, as texts quote each other: a line goes there only
+if it is a template of its host, one that aligns with both neighbours on ``host_share`` of the host's pages
+and on ``host_pages`` at least; the article's main heading never goes.
 
 A pair that shares most of its article text (of its text without chrome, where no element says
 article) is a copy and not evidence of a template. A page without other evidence keeps what its
@@ -30,7 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-CHROME, ARTICLE, UNKNOWN = 0, 1, 2
+#: What markup says of a line; HEADING is the main heading of an article.
+CHROME, ARTICLE, UNKNOWN, HEADING = 0, 1, 2, 3
 #: Element names and the words of class, id and role that mark page chrome.
 CHROME_TAGS = frozenset("nav header footer aside form head menu dialog button select option label fieldset".split())
 RAW_TAGS = ("script", "style", "template", "textarea", "svg", "iframe", "title", "audio", "video")
@@ -80,17 +85,17 @@ def _wrappers(source: str) -> set[int]:
 
 
 def page_blocks(html: str | None) -> list[tuple[str, int]]:
-    """Text blocks of a page in order, each with CHROME, ARTICLE or UNKNOWN."""
+    """Text blocks of a page in order, each with CHROME, ARTICLE, UNKNOWN or HEADING."""
     source = html or ""
     blocks: list[tuple[str, int]] = []
     stack: list[tuple[str, int]] = []  # open elements that change the verdict, or are blocks
-    verdict, parts, at, article = UNKNOWN, [], 0, False
+    verdict, parts, at, article, heading = UNKNOWN, [], 0, False, False
     wrappers = _wrappers(source)
 
     def flush() -> None:
         text = " ".join(html_names.unescape("".join(parts)).split())
         if text:
-            blocks.append((text, verdict))
+            blocks.append((text, HEADING if heading and verdict == ARTICLE else verdict))
         parts.clear()
 
     for token in _TOKEN.finditer(source):
@@ -105,6 +110,7 @@ def page_blocks(html: str | None) -> list[tuple[str, int]]:
         tag = tag.lower()
         if tag in BLOCK_TAGS:
             flush()
+            heading = tag == "h1" and not token["end"]
         elif tag in ("br", "td", "th"):
             parts.append(" ")
         if tag in VOID_TAGS:
@@ -171,17 +177,20 @@ def shared_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _parse(lines: bool):
-    """``(key, page, url)`` of pages and their marks and texts with ``lines``, otherwise hashes, and sizes (times 4) plus marks."""
+    """``(key, page, url)`` of pages and their marks and texts with ``lines``, otherwise hashes, and sizes (times 4) plus marks.
+
+    Chrome lines never stay and are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            pages = [page_blocks(page) for page in batch.column("html").to_pylist()]
+            pages = [[(t, m) for t, m in page_blocks(page) if m != CHROME] for page in batch.column("html").to_pylist()]
             held = list(batch.columns[:-1])
-            if lines:  # one string each: blocks hold no line feed, marks are digits, and chrome never stays
+            if lines:  # one string each: blocks hold no line feed, and marks are digits
                 held.append(pa.array(["".join([str(m) for _, m in p]) for p in pages], pa.string()))
-                held.append(pa.array(["\n".join(["" if m == CHROME else t for t, m in p]) for p in pages], pa.string()))
+                held.append(pa.array(["\n".join([t for t, _ in p]) for p in pages], pa.string()))
             else:
                 held.append(pa.array([[xxh64_intdigest(t.encode("utf-8", "replace")) - 2**63 for t, _ in p] for p in pages], pa.list_(pa.int64())))
                 held.append(pa.array([[4 * len(t) + m for t, m in p] for p in pages], pa.list_(pa.int32())))
@@ -191,30 +200,41 @@ def _parse(lines: bool):
 
 
 def _difference(copy_share: float):
+    """Lines outside articles that a neighbour shares, and those inside with their hashes and whether both neighbours do."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            gone, decided = [], []
+            gone, decided, inner = [], [], []
             for own, sizes, *others in zip(batch["hashes"], batch["sizes"], batch["before"], batch["after"]):
                 size, mark = sizes >> 2, sizes & 3
-                lines: set[int] = set()
+                votes = np.zeros(len(own), dtype=np.int64)
                 differs = False
-                # copies are judged by the article, or by all that is not chrome where no element says article
-                body = mark == ARTICLE if (mark == ARTICLE).any() else mark == UNKNOWN
+                # copies are judged by the article, or by the whole text where no element says article
+                body = mark != UNKNOWN if (mark != UNKNOWN).any() else mark == UNKNOWN
                 for other in others:
                     if other is None or not len(own):
                         continue
                     shared = shared_lines(own, other)
                     if size[shared][body[shared]].sum() <= copy_share * size[body].sum():
-                        lines.update(shared.tolist())
+                        votes[shared] += 1
                         differs = True
-                gone.append(sorted(lines))
+                gone.append(np.flatnonzero((votes > 0) & (mark == UNKNOWN)).tolist())
                 decided.append(differs)
-            yield pd.DataFrame({"key": batch["key"], "gone": gone, "decided": decided})
+                inner.append([{"line": i, "hash": own[i], "both": votes[i] == 2} for i in np.flatnonzero((votes > 0) & (mark == ARTICLE)).tolist()])
+            yield pd.DataFrame({"key": batch["key"], "host": batch["host"], "gone": gone, "decided": decided, "inner": inner})
 
     return run
 
 
-def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", copy_share: float = 0.5) -> DataFrame:
+def _templates(found: DataFrame, hosts: DataFrame, host_share: float, host_pages: int) -> DataFrame:
+    """``(key, more)``: lines inside articles that are templates of their host."""
+    inner = found.select("key", "host", F.inline("inner"))
+    votes = inner.where("both").groupBy("host", "hash").agg(F.count("*").alias("n"))
+    known = votes.join(hosts, "host").where(F.col("n") >= F.greatest(F.lit(host_pages), F.col("pages") * host_share)).select("host", "hash")
+    return inner.join(known, ["host", "hash"]).groupBy("key").agg(F.collect_set("line").alias("more"))
+
+
+def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", copy_share: float = 0.5, host_share: float = 0.5, host_pages: int = 3) -> DataFrame:
     """``(key, url, text)`` of every page; see the module for the rules."""
     scratch = Scratch(pages.sparkSession, "extraction")
     page_key = F.xxhash64(F.col(key), F.coalesce(F.col(url), F.lit("")), F.lit("\n"), F.coalesce(F.col(html), F.lit("")))
@@ -236,19 +256,22 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     numbered = numbered.select("key", "host", "hashes", "sizes", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
     near = lambda step, name: numbered.select((F.col("rank") + step).alias("rank"), F.col("host").alias(f"{name}_host"), F.col("hashes").alias(name))
     pairs = numbered.join(near(1, "before"), "rank", "left").join(near(-1, "after"), "rank", "left")
-    pairs = pairs.select("key", "hashes", "sizes", *[F.when(F.col(f"{n}_host") == F.col("host"), F.col(n)).alias(n) for n in ("before", "after")])
-    gone = pairs.mapInPandas(_difference(copy_share), "key long, gone array<int>, decided boolean").where("decided")
+    pairs = pairs.select("key", "host", "hashes", "sizes", *[F.when(F.col(f"{n}_host") == F.col("host"), F.col(n)).alias(n) for n in ("before", "after")])
+    kind = "key long, host string, gone array<int>, decided boolean, inner array<struct<line:int,hash:long,both:boolean>>"
+    found = scratch.save(pairs.mapInPandas(_difference(copy_share), kind).where("decided"))
+    more = _templates(found, order.groupBy("host").agg(F.count("*").alias("pages")), host_share, host_pages)
     # repeated rows are one page here
-    gone = scratch.save(gone.groupBy("key").agg(F.min("gone").alias("gone")))
-    scratch.free(order)
+    gone = found.groupBy("key").agg(F.min("gone").alias("gone")).join(more, "key", "left")
+    gone = scratch.save(gone.select("key", F.concat("gone", F.coalesce("more", F.array().cast("array<int>"))).alias("gone")))
+    scratch.free(order, found)
     scratch.release()
     parsed = source.mapInArrow(_parse(True), "key long, page long, url string, marks string, texts string")
     pages_gone = parsed.join(gone, "key", "left")
     # without evidence from another page, an article element alone says what is text
-    outside = F.col("gone").isNotNull() | ~F.contains("marks", F.lit(str(ARTICLE)))
+    held = F.contains("marks", F.lit(str(ARTICLE))) | F.contains("marks", F.lit(str(HEADING)))
+    outside = F.col("gone").isNotNull() | ~held
     cut = F.coalesce("gone", F.array().cast("array<int>"))
-    mark = lambda i: F.substring("marks", i + 1, F.lit(1))
-    stays = lambda i: (mark(i) == str(ARTICLE)) | ((mark(i) == str(UNKNOWN)) & outside)
+    stays = lambda i: (F.substring("marks", i + 1, F.lit(1)) != str(UNKNOWN)) | outside
     lines = F.filter(F.split("texts", "\n"), lambda t, i: stays(i) & ~F.array_contains(cut, i))
     out = pages_gone.select("page", "url", lines.alias("lines"))
     return out.select(F.col("page").alias(key), F.col("url").alias(url), F.array_join("lines", "\n\n").alias("text"))

@@ -279,14 +279,49 @@ def test_extraction_keeps_what_the_article_holds():
     assert text("<body><div class='content with-sidebar'><div class='sidebar'>no</div><article><p>One</p><div class='ad'>no</div></article></div>") == ["One"]
 
 
-def test_extraction_differences_pages_with_an_article(spark):
-    page = lambda t: f"<body><article><p>Our paper is printed daily</p><p>{t} one two three four five six seven</p></article><div>Rest of {t}</div><div>Shared end</div>"
-    rows = [(1, "http://a/1", page("first")), (2, "http://a/2", page("second")), (3, "http://c/1", page("copy")), (4, "http://c/2", page("copy")), (5, "http://d/1", page("alone"))]
-    got = {r.page_id: r.text.split("\n\n") for r in extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    for i, t in ((1, "first"), (2, "second")):
-        assert got[i] == [f"{t} one two three four five six seven", f"Rest of {t}"]
-    for i, t in ((3, "copy"), (4, "copy"), (5, "alone")):
-        assert got[i] == ["Our paper is printed daily", f"{t} one two three four five six seven"]
+def test_extraction_cuts_templates_inside_articles_only(spark):
+    words = "one two three four five six seven eight nine ten " * 3 + "end"
+    page = lambda t, head="Same head", more="": f"<body><article><h1>{head}</h1><p>Our paper is printed daily</p><p>{t} {words}</p>{more}</article><div>Rest of {t}</div><div>Shared end</div>"
+    quote = "<p>A sentence that two neighbours quote</p>"
+    rows = [(i, f"http://a/{i}", page(f"text{i}", more=quote if i in (3, 4, 5) else "")) for i in range(1, 9)]
+    rows += [(11, "http://b/1", page("first")), (12, "http://b/2", page("second"))]
+    rows += [(21, "http://c/1", page("copy")), (22, "http://c/2", page("copy")), (23, "http://c/3", page("copy")), (31, "http://d/1", page("alone"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in extraction.extract_pages(df).collect()}
+    for i in range(1, 9):
+        quoted = ["A sentence that two neighbours quote"] if i in (3, 4, 5) else []
+        assert got[i] == ["Same head", f"text{i} {words}", *quoted, f"Rest of text{i}"]
+    for i, t in ((11, "first"), (12, "second")):  # two pages are no evidence inside an article
+        assert got[i] == ["Same head", "Our paper is printed daily", f"{t} {words}", f"Rest of {t}"]
+    for i, t in ((21, "copy"), (22, "copy"), (23, "copy"), (31, "alone")):
+        assert got[i] == ["Same head", "Our paper is printed daily", f"{t} {words}"]
+    # without differencing (every pair a copy) nothing is told from the text
+    off = {r.page_id: r.text.split("\n\n") for r in extraction.extract_pages(df, copy_share=-1.0).collect()}
+    assert off[1] == ["Same head", "Our paper is printed daily", f"text1 {words}"] and off[11] == got[11][:3]
+
+
+def test_extraction_loses_no_line_of_the_given_articles(spark):
+    """Every given page's article is its heading and one whole document."""
+    sf = "/root/testdata/sf0.01"
+    flat = lambda t: " ".join((t or "").split())
+    texts = {flat(r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()}
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    out = extraction.op8_extraction(spark, sf).collect()
+    assert len(out) == len(pages)
+    for row in out:
+        blocks = row["text"].split("\n\n")
+        assert row["n_chars"] == len(row["text"])
+        assert blocks == [t for t, m in extraction.page_blocks(pages[row["page_id"]]) if m in (extraction.ARTICLE, extraction.HEADING)]
+        assert flat(" ".join(blocks[1:])) in texts
+
+
+def test_extraction_of_empty_repeated_and_long_pages(spark):
+    kind = "page_id long, url string, html string, text string, key int"
+    assert extraction.extract_pages(spark.createDataFrame([], kind)).collect() == []
+    long = "<article>" + "".join(f"<p>line {i} of a long page</p>" for i in range(20_000)) + "</article>"
+    rows = [(1, "http://a/1", long, "x", 1), (1, "http://a/1", long, "y", 2), (None, None, "<p>plain</p>", "z", 3), (2, "http://a/2", None, "z", 4)]
+    got = sorted((r.page_id or 0, len(r.text.split("\n\n")), r.text[-10:]) for r in extraction.extract_pages(spark.createDataFrame(rows, kind)).collect())
+    assert got == [(0, 1, "plain"), (1, 20_000, " long page"), (1, 20_000, " long page"), (2, 1, "")]
 
 
 def test_trees_learn_and_empty_texts_score(spark, docs):
