@@ -1,11 +1,23 @@
-"""Mentions of companies in articles: counts by spelling, checks of short symbols, signals per topic."""
+"""Mentions of companies in articles: an index of word places, phrases by places, contexts by ranges of places.
+
+Words are runs of letters. The index holds a row for each word of each article that some spelling has:
+its number in the article, its place, and what stands between it and its neighbours. Spellings of
+several words join the index on consecutive numbers. Bodies are read twice at most: to be
+indexed, and once an article for the characters around its hits.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.words import COMMON_WORDS, SHORT_WORDS
+from ..sources import files
 from .text import company_variants
 
 #: Words near a three-letter symbol that make it a stock.
@@ -18,11 +30,75 @@ CONTEXTS = (
 )
 
 
-def _hit_starts(text: Column, pattern: Column, length: Column) -> Column:
-    """Places (from 1) of the non-overlapping hits of ``pattern``, which all have ``length`` characters."""
-    sizes = F.transform(F.split(text, pattern, -1), lambda part: F.length(part))
-    before = lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x)
-    return F.when(F.size(sizes) > 1, F.transform(F.sequence(F.lit(1), F.size(sizes) - 1), lambda i: before(i) + (i - 1) * length + 1)).otherwise(F.array().cast("array<int>"))
+#: What stands for the symbol, as a word of its own, in a text that contexts are searched in.
+MARK = "\u0001"
+#: Longest text between two words that the index keeps; longer ones never match.
+GAP = 64
+_RUN = re.compile("[A-Za-z]+")
+
+
+def word_index(articles: DataFrame) -> DataFrame:
+    """``(article_id, ord, token, start, before, first, after, last)`` of every run of letters of ``articles(article_id, body)``.
+
+    ``start`` counts from 1; ``before`` and ``after`` are the other characters up to the next word, ``GAP`` and one at most.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for article, body in zip(batch["article_id"], batch["body"]):
+                spans = [m.span() for m in _RUN.finditer(body or "")]
+                if not spans:
+                    continue
+                ends, starts = [0] + [e for _, e in spans], [s for s, _ in spans] + [len(body)]
+                yield pd.DataFrame(
+                    {
+                        "article_id": article, "ord": range(len(spans)), "token": [body[s:e].lower() for s, e in spans], "start": [s + 1 for s, _ in spans],
+                        "before": [body[max(a, b - GAP - 1) : b] for a, b in zip(ends, starts[:-1])], "first": [i == 0 for i in range(len(spans))],
+                        "after": [body[a : min(b, a + GAP + 1)] for a, b in zip(ends[1:], starts[1:])], "last": [i == len(spans) - 1 for i in range(len(spans))],
+                    }
+                )
+
+    schema = T.StructType([articles.schema["article_id"]]).add("ord", "integer").add("token", "string").add("start", "integer")
+    for name, kind in (("before", "string"), ("first", "boolean"), ("after", "string"), ("last", "boolean")):
+        schema = schema.add(name, kind)
+    return articles.select("article_id", "body").mapInPandas(cut, schema)
+
+
+def _is_word(char: Column) -> Column:
+    """Whether a character is one of a word; none is not."""
+    return F.coalesce(F.rlike(char, F.lit(r"(?U)\w")), F.lit(False))
+
+
+def phrase_hits(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``(article_id, ticker, phrase, start)`` of the hits of lower-cased ``phrases(ticker, phrase, tight)`` in an index.
+
+    A tight phrase needs no letter beside it, another a word boundary at both ends. Phrases without
+    letters are never found. A phrase is looked up by the rarest of its words.
+    """
+    own = phrases.distinct().withColumns({"runs": F.regexp_extract_all("phrase", F.lit("[a-z]+"), F.lit(0)), "gaps": F.split("phrase", "[a-z]+", -1)}).where(F.size("runs") > 0)
+    counts = index.groupBy("token").agg(F.count("*").alias("many"))
+    parts = own.select("ticker", "phrase", F.posexplode("runs").alias("j", "token")).join(counts, "token", "left")
+    rare = F.min(F.struct(F.coalesce("many", F.lit(0)).alias("many"), "j", "token")).alias("rare")
+    anchors = parts.groupBy("ticker", "phrase").agg(rare).where("rare.many > 0").select("ticker", "phrase", "rare.j", "rare.token")
+    found = index.join(own.join(anchors, ["ticker", "phrase"]), "token").withColumn("base", F.col("ord") - F.col("j"))
+    first, last = F.struct("start", "before", "first").alias("head"), F.struct("after", "last").alias("tail")
+    cols = ["article_id", "ticker", "phrase", "tight", "gaps", "base"]
+    single = found.where(F.size("runs") == 1).select(*cols, first, last)
+    # other words at their own numbers, with the phrase's own text between them
+    asked = found.where(F.size("runs") > 1).select(*cols, F.size("runs").alias("m"), F.posexplode("runs").alias("i", "token"))
+    placed = asked.withColumn("ord", F.col("base") + F.col("i")).join(index, ["article_id", "ord", "token"])
+    placed = placed.where((F.col("i") == 0) | (F.col("before") == F.get("gaps", F.col("i"))))
+    joined = placed.groupBy(*cols, "m").agg(F.count("*").alias("n"), F.max(F.when(F.col("i") == 0, first)).alias("head"), F.max(F.when(F.col("i") == F.col("m") - 1, last)).alias("tail"))
+    hits = single.unionByName(joined.where("n = m").select(*cols, "head", "tail"))
+    # the phrase's own first and last characters, and the characters beside them
+    lead, rest = F.get("gaps", F.lit(0)), F.element_at("gaps", -1)
+    left = F.when(F.length("head.before") > F.length(lead), F.substring(F.col("head.before"), F.length("head.before") - F.length(lead), F.lit(1))).when(~F.col("head.first"), "a")
+    right = F.when(F.length("tail.after") > F.length(rest), F.substring(F.col("tail.after"), F.length(rest) + 1, F.lit(1))).when(~F.col("tail.last"), "a")
+    fits = F.endswith(F.col("head.before"), lead) & F.startswith(F.col("tail.after"), rest)
+    bare = ~F.coalesce(left.rlike("[A-Za-z]"), F.lit(False)) & ~F.coalesce(right.rlike("[A-Za-z]"), F.lit(False))
+    edges = (_is_word(left) != _is_word(F.substring("phrase", 1, 1))) & (_is_word(right) != _is_word(F.substring("phrase", -1, 1)))
+    kept = hits.where(fits & F.when(F.col("tight"), bare).otherwise(edges))
+    return kept.select("article_id", "ticker", "phrase", (F.col("head.start") - F.length(lead)).alias("start"))
 
 
 def _around(text: Column, at: Column, before: int, length: Column, after: int) -> Column:
@@ -31,66 +107,97 @@ def _around(text: Column, at: Column, before: int, length: Column, after: int) -
     return F.substring(text, start, at + length + after - start)
 
 
-def _is_stock(text: Column, variant: Column, at: Column) -> Column:
-    near, tight = _around(text, at, 50, F.length(variant), 50), _around(text, at, 10, F.length(variant), 2)
-    known = F.exists(F.array(*[F.lit(w) for w in STOCK_WORDS]), lambda w: F.contains(near, w))
-    dollar = F.contains(_around(text, at, 5, F.lit(0), 0), F.lit("$"))
-    named = F.rlike(tight, F.concat(F.lit(r"(ticker|symbol|code)[:\s]\Q"), variant, F.lit(r"\E")))
-    return known | dollar | named | F.contains(tight, F.concat(F.lit("("), variant, F.lit(")")))
+def with_surroundings(hits: DataFrame, articles: DataFrame, parts: dict[str, tuple[int, int | None]]) -> DataFrame:
+    """``hits(article_id, ticker, phrase, start)`` with the texts ``parts``, each so far before and behind the hit (None: not the hit either).
+
+    An article's hits come together, so its body is read once and never copied.
+    """
+    listed = hits.groupBy("article_id").agg(F.collect_list(F.struct("ticker", "phrase", "start")).alias("hits"))
+    cut = lambda h: F.struct(h["ticker"].alias("ticker"), h["phrase"].alias("phrase"), h["start"].alias("start"), *[_around(F.col("body"), h["start"], a, F.length(h["phrase"]) if b is not None else F.lit(0), b or 0).alias(k) for k, (a, b) in parts.items()])
+    return listed.join(articles.select("article_id", "body"), "article_id").select("article_id", F.inline(F.transform("hits", cut)))
+
+
+def is_stock() -> Column:
+    """Whether a three-letter symbol with ``near``, ``tight`` and ``ahead`` around it is meant as a stock."""
+    known = F.lit(False)
+    for word in STOCK_WORDS:
+        known = known | F.contains("near", F.lit(word))
+    tight = F.regexp_replace("tight", r"\s", " ")
+    for word in ("ticker", "symbol", "code"):
+        for sign in (":", " "):
+            known = known | F.contains(tight, F.concat(F.lit(f"{word}{sign}"), "phrase"))
+    return known | F.contains("ahead", F.lit("$")) | F.contains(tight, F.concat(F.lit("("), "phrase", F.lit(")")))
 
 
-def count_mentions(articles: DataFrame, companies: DataFrame) -> DataFrame:
+def count_mentions(articles: DataFrame, companies: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """``(article_id, ticker, mentions, mentioned_as)`` of ``articles(article_id, body)`` that name a company.
 
-    Variants and articles meet on the variant's longest run of letters, which every hit contains;
-    only these pairs are searched. A variant without letters is never found.
+    Hits of one spelling that overlap count once. ``index`` may be one of :func:`saved_index`.
     """
-    variants = company_variants(companies).where(F.length("variant") >= 2)
+    phrases = spellings(companies)
+    index = saved_index(articles, phrases) if index is None else index
+    hits = phrase_hits(index, phrases)
+    size = F.length("phrase")
+    symbol = (size <= 3) & ~F.contains("phrase", F.lit(" ")) & ~F.startswith("phrase", F.lit("$"))
+    checked = with_surroundings(hits.where(symbol), articles, {"near": (50, 50), "tight": (10, 2), "ahead": (5, None)}).where(is_stock())
+    hits = hits.where(~symbol).unionByName(checked.select(*hits.columns))
+    listed = hits.groupBy("article_id", "ticker", "phrase").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    step = lambda acc, at: F.when(at >= acc["free"], F.struct((acc["n"] + 1).alias("n"), (at + F.length("phrase")).alias("free"))).otherwise(acc)
+    apart = F.aggregate("starts", F.struct(F.lit(0).alias("n"), F.lit(0).alias("free")), step, lambda acc: acc["n"])
+    said = F.concat("phrase", F.lit(" ("), apart.cast("string"), F.lit("x)"))
+    found = listed.select("article_id", "ticker", apart.cast("long").alias("n"), said.alias("said"))
+    return found.groupBy("article_id", "ticker").agg(F.sum("n").alias("mentions"), F.array_sort(F.collect_set("said")).alias("mentioned_as"))
+
+
+def spellings(companies: DataFrame) -> DataFrame:
+    """``(ticker, phrase, tight)``: the spellings that are searched for; short common words are not."""
     own = F.col("variant")
     common = own.isin(*sorted(COMMON_WORDS | SHORT_WORDS))
-    variants = variants.where(((F.length(own) > 2) | F.startswith(own, F.lit("$"))) & ~((F.length(own) <= 3) & common))
-    runs = F.regexp_extract_all(own, F.lit("[a-z]+"), F.lit(0))
-    anchor = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))["run"]
-    variants = variants.withColumn("anchor", anchor).where("anchor is not null")
-    tokens = articles.select("article_id", F.explode(F.array_distinct(F.split(F.lower("body"), "[^a-z]+"))).alias("anchor"))
-    pairs = tokens.join(variants, "anchor").select("article_id", "ticker", "variant").distinct().join(articles.select("article_id", "body"), "article_id")
-    quoted = F.concat(F.lit(r"\Q"), own, F.lit(r"\E"))
-    short = (F.length(own) <= 3) & ~F.contains(own, F.lit(" "))
-    tight, whole = F.concat(F.lit("(?i)(?<![a-z])"), quoted, F.lit("(?![a-z])")), F.concat(F.lit(r"(?i)\b"), quoted, F.lit(r"\b"))
-    checked = F.size(F.filter(_hit_starts(F.col("body"), tight, F.length(own)), lambda at: _is_stock(F.col("body"), own, at)))
-    n = F.when(short & ~F.startswith(own, F.lit("$")), checked).when(short, F.regexp_count("body", tight)).otherwise(F.regexp_count("body", whole))
-    found = pairs.withColumn("n", n).where("n > 0")
-    said = F.concat(own, F.lit(" ("), F.col("n").cast("string"), F.lit("x)"))
-    return found.groupBy("article_id", "ticker").agg(F.sum("n").alias("mentions"), F.array_sort(F.collect_set(said)).alias("mentioned_as"))
-
-
-def is_company(body: Column, ticker: Column, name: Column) -> Column:
-    """Whether one hit of the symbol stands where a company would.
+    rows = company_variants(companies).where((F.length(own) >= 2) & ((F.length(own) > 2) | F.startswith(own, F.lit("$"))) & ~((F.length(own) <= 3) & common))
+    return rows.select("ticker", own.alias("phrase"), ((F.length(own) <= 3) & ~F.contains(own, F.lit(" "))).alias("tight"))
 
-    Symbols of up to four capitals need a business context or a word of the name within 100
-    characters; others need a hit that starts with a capital.
-    """
-    low, t = F.lower(body), F.lower(ticker)
-    starts = _hit_starts(low, F.concat(F.lit(r"\b\Q"), t, F.lit(r"\E\b")), F.length(t))
-    words = F.slice(F.filter(F.split(F.lower(name), r"\s+"), lambda w: F.length(w) > 3), 1, 2)
 
-    def business(at: Column) -> Column:
-        near = _around(low, at, 100, F.length(t), 100)
-        hits = [F.rlike(near, F.concat(F.lit("(?d)"), F.replace(F.lit(c), F.lit("T"), F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))))) for c in CONTEXTS]
-        found = F.exists(words, lambda w: F.contains(near, w))
-        for hit in hits:
-            found = found | hit
-        return found
+def symbols(companies: DataFrame) -> DataFrame:
+    """``(ticker, phrase, tight)``: tickers as words of their own."""
+    return companies.select("ticker", F.lower("ticker").alias("phrase"), F.lit(False).alias("tight"))
 
-    likely_word = (F.length(ticker) <= 4) & (F.upper(ticker) == ticker) & ~F.rlike(ticker, F.lit("[0-9]")) & F.rlike(ticker, F.lit("[A-Z]"))
-    capital = lambda at: F.rlike(F.substring(body, at, F.lit(1)), F.lit(r"\p{Lu}"))
-    return F.when(likely_word, F.exists(starts, business)).otherwise(F.exists(starts, capital))
 
+def saved_index(articles: DataFrame, *phrases: DataFrame) -> DataFrame:
+    """The index of ``articles``, of words that a phrase has, written once as it is read several times."""
+    words = None
+    for more in phrases:
+        own = more.select(F.explode(F.regexp_extract_all("phrase", F.lit("[a-z]+"), F.lit(0))).alias("token"))
+        words = own if words is None else words.unionByName(own)
+    return files.saved(word_index(articles).join(words.distinct(), "token", "left_semi"), "words")
 
-def validate_mentions(counted: DataFrame, articles: DataFrame, companies: DataFrame) -> DataFrame:
-    """Add ``valid`` to ``counted(article_id, ticker, ...)``."""
-    rows = counted.join(articles.select("article_id", "body"), "article_id").join(companies.select("ticker", "name"), "ticker")
-    return rows.withColumn("valid", is_company(F.col("body"), F.col("ticker"), F.col("name"))).drop("body", "name")
+
+def is_company() -> Column:
+    """Whether a hit with ``near`` and ``own`` around it stands where a company would.
+
+    Symbols of up to four capitals need a business context or a word of the name within 100
+    characters; others need a hit in capitals or with a first one.
+    """
+    low = F.lower("near")
+    words = F.slice(F.filter(F.split(F.lower("name"), r"\s+"), lambda w: F.length(w) > 3), 1, 2)
+    # one pattern a hit; the contexts themselves are the same for all
+    marked = F.regexp_replace(low, F.concat(F.lit(r"(?U)\b\Q"), F.lower("ticker"), F.lit(r"\E\b")), F.lit(MARK))
+    found = F.exists(words, lambda w: F.contains(low, w))
+    for context in CONTEXTS:
+        pattern = context.replace(r"\bT\b", MARK).replace(r"\b(T's|T's)\b", rf"{MARK}'s\b").replace(r"\$T\b", rf"\${MARK}")
+        found = found | F.rlike(low if pattern == context else marked, F.lit(f"(?d){pattern}"))
+    likely_word = (F.length("ticker") <= 4) & (F.upper("ticker") == F.col("ticker")) & ~F.rlike("ticker", F.lit("[0-9]")) & F.rlike("ticker", F.lit("[A-Z]"))
+    capital = F.rlike("own", F.lit(r"^\p{Lu}")) | ((F.upper("own") == F.col("own")) & (F.lower("own") != F.col("own")))
+    return F.when(likely_word, found).otherwise(capital)
+
+
+def validate_mentions(counted: DataFrame, articles: DataFrame, companies: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """Add ``valid`` to ``counted(article_id, ticker, ...)``: whether one hit of the symbol stands where a company would."""
+    index = saved_index(articles, symbols(companies)) if index is None else index
+    asked = counted.select("article_id", "ticker").distinct()
+    hits = phrase_hits(index, symbols(companies)).join(asked, ["article_id", "ticker"], "left_semi")
+    seen = with_surroundings(hits, articles, {"near": (100, 100), "own": (0, 0)}).join(companies.select("ticker", "name"), "ticker")
+    good = seen.where(is_company()).select("article_id", "ticker").distinct().withColumn("_good", F.lit(True))
+    return counted.join(good, ["article_id", "ticker"], "left").withColumn("valid", F.coalesce("_good", F.lit(False))).drop("_good")
 
 
 def first_articles(members: DataFrame, n: int) -> DataFrame:
@@ -103,7 +210,8 @@ def mention_score(members: DataFrame, articles: DataFrame, companies: DataFrame)
     """``(topic_id, ticker, n_mentions, mention)``: articles among a topic's first 15 with a valid mention; others have no row."""
     first = first_articles(members, 15)
     own = articles.join(first.select("article_id").distinct(), "article_id", "left_semi")
-    valid = validate_mentions(count_mentions(own, companies), own, companies).where("valid").select("article_id", "ticker")
+    index = saved_index(own, spellings(companies), symbols(companies))
+    valid = validate_mentions(count_mentions(own, companies, index), own, companies, index).where("valid").select("article_id", "ticker")
     counts = first.join(valid, "article_id").groupBy("topic_id", "ticker").agg(F.count("*").alias("n_mentions"))
     return counts.withColumn("mention", F.least(F.lit(1.0), F.col("n_mentions") / 10))
 

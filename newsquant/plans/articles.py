@@ -68,13 +68,13 @@ def _firms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English articles as the mention search reads them: the first 10,000 characters, other scripts blanked."""
-    return _articles(spark, sf_dir).select("article_id", F.substring(F.regexp_replace("fulltext", r"[^\x00-\x7F]", " "), 1, 10_000).alias("body"))
+    """English articles as the mention search reads them, other scripts blanked."""
+    return _articles(spark, sf_dir).select("article_id", F.regexp_replace("fulltext", r"[^\x00-\x7F]", " ").alias("body"))
 
 
 def _topic_bodies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Articles of each topic, their bodies, and the companies."""
-    bodies = _bodies(spark, sf_dir)
+    """Articles of each topic, the first 10,000 characters of their bodies, and the companies."""
+    bodies = _bodies(spark, sf_dir).withColumn("body", F.substring("body", 1, 10_000))
     members = _members(spark, sf_dir).select("topic_id", "article_id").join(bodies.select("article_id"), "article_id", "left_semi")
     return members, bodies, _companies(spark, sf_dir).select("ticker", "name")
 
@@ -221,13 +221,13 @@ lists as (select ticker, case when length(t) = 1 then [n] || (case when length(b
 variants as (select ticker, unnest(list_distinct(vs)) as variant from lists)"""
 
 
-def mentions_sql(articles: str, body: str) -> str:
-    """Common table expressions from ``art``, ``first`` and ``companies`` to ``counted``, ``valid``."""
+def mentions_sql(articles: str, body: str, most: int = 10_000) -> str:
+    """Common table expressions from ``art``, ``first`` and ``companies`` to ``counted``, ``valid``, over the first ``most`` characters."""
     words = " or ".join(f"contains(near, '{w}')" for w in mentions.STOCK_WORDS)
     contexts = " or ".join("regexp_matches(near, " + " || lower(ticker) || ".join("'" + x.replace("'", "''") + "'" for x in c.split("T")) + ")" for c in mentions.CONTEXTS)
     around = lambda before, after, n: f"substr(body, greatest(1, p - {before})::bigint, (p + {n} + {after} - greatest(1, p - {before}))::bigint)"
     return rf"""{variants_sql()},
-art as (select doc_id as article_id, substr(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g'), 1, 10000) as body from documents where lang = 'en'),
+art as (select doc_id as article_id, substr(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g'), 1, {most}) as body from documents where lang = 'en'),
 first as (select topic_id, article_id, row_number() over (partition by topic_id order by article_id) as seq from (select label as topic_id, vec_id as article_id from embeddings) semi join art using (article_id)),
 asked as (select article_id, {body} as body from {articles}),
 kept as (select * from variants where length(variant) >= 2 and (length(variant) > 2 or starts_with(variant, '$')) and not (length(variant) <= 3 and variant in ({_texts(COMMON_WORDS | SHORT_WORDS)}))),
@@ -240,9 +240,9 @@ counts_ as (select article_id, ticker, variant, count(*) as n from spots where {
   union all select article_id, ticker, variant, len(regexp_extract_all(lower(body), '\b' || regexp_escape(variant) || '\b')) from both_ where length(variant) > 3 or contains(variant, ' ')),
 counted as (select article_id, ticker, sum(n)::bigint as mentions, list_sort(list(variant || ' (' || n || 'x)')) as mentioned_as from counts_ where n > 0 group by 1, 2),
 places as (select *, (list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(ticker) + 1)::bigint as p from (select *, unnest(range(1, len(parts))) as i from (select article_id, ticker, name, body, string_split(lower(body), lower(ticker)) as parts from counted join asked using (article_id) join companies using (ticker)))),
-tickers as (select article_id, ticker, name, substr(body, p, 1) as initial, lower({around(100, 100, 'length(ticker)')}) as near from places where not regexp_matches(substr(body, p + length(ticker), 1), '\w') and (p = 1 or not regexp_matches(substr(body, p - 1, 1), '\w'))),
+tickers as (select article_id, ticker, name, substr(body, p, length(ticker)) as own, lower({around(100, 100, 'length(ticker)')}) as near from places where not regexp_matches(substr(body, p + length(ticker), 1), '\w') and (p = 1 or not regexp_matches(substr(body, p - 1, 1), '\w'))),
 valid as (select distinct article_id, ticker from tickers where case when length(ticker) <= 4 then ({contexts} or list_bool_or(list_transform(list_filter(string_split_regex(lower(name), '\s+'), lambda w: length(w) > 3)[1:2], lambda w: contains(near, w))))
-  else regexp_matches(initial, '[A-Z]') end)"""
+  else regexp_matches(own, '^[A-Z]') or (upper(own) = own and lower(own) <> own) end)"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,7 +29,8 @@ def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies, firms = articles._bodies(spark, sf_dir), articles._companies(spark, sf_dir)
-    return mentions.validate_mentions(mentions.count_mentions(bodies, firms), bodies, firms).where("valid").select("article_id", "ticker")
+    index = mentions.saved_index(bodies, mentions.spellings(firms), mentions.symbols(firms))
+    return mentions.validate_mentions(mentions.count_mentions(bodies, firms, index), bodies, firms, index).where("valid").select("article_id", "ticker")
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +240,7 @@ def oracle_sql() -> dict[str, str]:
     report = known["J14_attach_scores"].rpartition(" select ")[0].removeprefix("with ")
     firms = articles.companies_sql()
     list_ = articles._texts
-    every = f"{firms}, {articles.mentions_sql('art', 'body')}"
+    every = f"{firms}, {articles.mentions_sql('art', 'body', 1 << 30)}"
     near = f"{firms}, {articles.mentions_sql('(select article_id, body from art semi join (select article_id from first where seq <= 15) using (article_id))', 'body')}"
     low = f"{firms}, {articles.mentions_sql('(select article_id, body from art semi join (select article_id from first where seq <= 10) using (article_id))', 'lower(body)')}"
     ten = "variants10 as (select topic_id, ticker, list_sort(list(distinct said)) as mentioned_as from (select topic_id, ticker, unnest(mentioned_as) as said from first join counted using (article_id) where seq <= 10) group by 1, 2)"
