@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.words import FUND_MARKS
+from ..sources import files
 
 
 @dataclass(frozen=True)
@@ -71,6 +75,36 @@ def missing_pairs(pairs: DataFrame, said: DataFrame, logits: DataFrame) -> DataF
     return asked.join(logits, ["desc_md5", "hypothesis"], "left_anti")
 
 
+def read_logits(spark: SparkSession, path: str) -> DataFrame:
+    """``(part, desc_md5, hypothesis, logit)`` of a cache; a pair scored twice has its largest logit."""
+    try:
+        rows = spark.read.schema("desc_md5 string, hypothesis string, logit double, part string").parquet(path)
+    except AnalysisException:  # no run has written yet
+        rows = spark.createDataFrame([], "desc_md5 string, hypothesis string, logit double, part string")
+    return rows.groupBy("part", "desc_md5", "hypothesis").agg(F.max("logit").alias("logit"))
+
+
+def fill_logits(spark: SparkSession, path: str, asked: DataFrame, score: Callable[[pd.DataFrame], pd.Series]) -> int:
+    """Score the pairs of ``asked(desc_md5, hypothesis, ...)`` that the cache at ``path`` lacks, and append them; returns how many.
+
+    ``score`` takes batches of all columns of ``asked`` and gives a logit for each row. The cache is
+    dealt into folders by the key's first two digits, so that a lookup reads those of its keys only.
+    """
+    part = F.substring("desc_md5", 1, 2)
+    rows = asked.where("desc_md5 is not null and hypothesis is not null").dropDuplicates(["desc_md5", "hypothesis"]).withColumn("part", part)
+    missing = rows.join(read_logits(spark, path), ["part", "desc_md5", "hypothesis"], "left_anti").select(*asked.columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[["desc_md5", "hypothesis"]].assign(logit=score(batch).astype(float))
+
+    scored = files.saved(missing.mapInPandas(run, "desc_md5 string, hypothesis string, logit double"), "logits")
+    n = scored.count()
+    if n:
+        scored.withColumn("part", part).repartition("part").write.mode("append").partitionBy("part").parquet(path)
+    return n
+
+
 def early_exit(profile: DepthProfile) -> Column:
     """Whether a pair stops after the entailment signal."""
     return F.lit(profile.early_exit) & (F.col("nli") < 0.20) & (F.col("kw") < 0.10)

@@ -209,7 +209,7 @@ def first_articles(members: DataFrame, n: int) -> DataFrame:
 def mention_score(members: DataFrame, articles: DataFrame, companies: DataFrame) -> DataFrame:
     """``(topic_id, ticker, n_mentions, mention)``: articles among a topic's first 15 with a valid mention; others have no row."""
     first = first_articles(members, 15)
-    own = articles.join(first.select("article_id").distinct(), "article_id", "left_semi")
+    own = files.saved(articles.join(first.select("article_id").distinct(), "article_id", "left_semi"), "bodies")
     index = saved_index(own, spellings(companies), symbols(companies))
     valid = validate_mentions(count_mentions(own, companies, index), own, companies, index).where("valid").select("article_id", "ticker")
     counts = first.join(valid, "article_id").groupBy("topic_id", "ticker").agg(F.count("*").alias("n_mentions"))
@@ -219,6 +219,6 @@ def mention_score(members: DataFrame, articles: DataFrame, companies: DataFrame)
 def mention_variants(members: DataFrame, articles: DataFrame, companies: DataFrame) -> DataFrame:
     """``(topic_id, ticker, mentioned_as)``: spellings found in a topic's first 10 articles, lower-cased."""
     first = first_articles(members, 10)
-    own = articles.join(first.select("article_id").distinct(), "article_id", "left_semi").withColumn("body", F.lower("body"))
+    own = files.saved(articles.join(first.select("article_id").distinct(), "article_id", "left_semi").withColumn("body", F.lower("body")), "bodies")
     said = first.join(count_mentions(own, companies), "article_id").select("topic_id", "ticker", F.explode("mentioned_as").alias("said"))
     return said.groupBy("topic_id", "ticker").agg(F.array_sort(F.collect_set("said")).alias("mentioned_as"))

@@ -42,13 +42,19 @@ def topic_summary(report: DataFrame) -> DataFrame:
 
 
 def search_companies(companies: DataFrame, report: DataFrame, text: str, top: int = 15) -> DataFrame:
-    """Tickers and names that contain ``text``: exact, then prefix, then alphabetical; one row per ticker."""
+    """Tickers and names that contain ``text``: exact, then prefix, then alphabetical; one row per ticker.
+
+    Price and day change come from the ``report(ticker, name, current_price, change_1d)`` rows of a
+    ticker, the smallest where there are several; report rows whose ticker is no company's are found too.
+    """
     q = text.lower()
     hit = lambda df: df.where(F.contains(F.lower("ticker"), F.lit(q)) | F.contains(F.lower("name"), F.lit(q)))
+    priced = report.groupBy("ticker").agg(F.min(F.struct("name", "current_price", "change_1d")).alias("row"))
     first = hit(companies).groupBy("ticker").agg(F.min("name").alias("name"))
-    more = hit(report).groupBy("ticker").agg(F.min("name").alias("name")).join(first, "ticker", "left_anti")
+    more = hit(report).select("ticker").distinct().join(first, "ticker", "left_anti").select("ticker", F.lit(None).cast("string").alias("name"))
     place = F.when(F.lower("ticker") == q, 0).when(F.startswith(F.lower("ticker"), F.lit(q)), 1).otherwise(2)
-    return first.unionByName(more).withColumn("place", place).orderBy("place", "ticker").limit(top)
+    found = first.unionByName(more).withColumn("place", place).orderBy("place", "ticker").limit(top)
+    return found.join(priced, "ticker", "left").select("ticker", F.coalesce("name", "row.name").alias("name"), "place", "row.current_price", "row.change_1d").orderBy("place", "ticker")
 
 
 #: Words of a rating text and their colour, tried in this order.
@@ -66,11 +72,12 @@ def score_band(score: Column) -> Column:
 
 
 def report_catalog(files: DataFrame) -> DataFrame:
-    """``(path, length)`` of report files -> base, depth, timestamp; other names are left out, newest first."""
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    """``(path, length)`` of report files, or of their parts -> name, base, depth, timestamp, length; other names are left out, newest first."""
+    name = F.regexp_extract("path", r"([^/]+?)(?:/part-[^/]*)?$", 1)
     pattern = r"^(topic.*)_depth-(\d+)_(\d{2}-\d{2}-\d{4}_\d{2})\.csv$"
     rows = files.withColumn("name", name).where(F.col("name").rlike(pattern))
     part = lambda i: F.regexp_extract("name", pattern, i)
+    rows = rows.groupBy("name").agg(F.sum("length").alias("length"))
     return rows.select("name", part(1).alias("base"), part(2).cast("int").alias("depth"), F.to_timestamp(part(3), "MM-dd-yyyy_HH").alias("made_at"), "length").orderBy(F.desc("made_at"), "name")
 
 
@@ -86,9 +93,15 @@ def user_jobs(jobs: DataFrame, user: int) -> DataFrame:
 
 
 def latest_status(events: DataFrame) -> DataFrame:
-    """Last status per job of ``(job_id, status, ts)``; ``completed_at`` only for completed jobs."""
-    out = events.groupBy("job_id").agg(F.max(F.struct("ts", "status")).alias("last"), F.count("*").alias("changes"))
-    return out.select("job_id", F.col("last.status").alias("status"), F.col("last.ts").alias("updated_at"), F.when(F.col("last.status") == "completed", F.col("last.ts")).alias("completed_at"), "changes")
+    """Last status per job of ``(job_id, ts, status, result, error)``, streamed or not, with its last error.
+
+    ``completed_at`` and ``result`` are those of a job whose last status is completed. Of events at one
+    time the greatest status counts.
+    """
+    known = F.when(F.coalesce("error", F.lit("")) != "", F.struct("ts", "error"))
+    out = events.groupBy("job_id").agg(F.max(F.struct("ts", "status", "result")).alias("last"), F.max(known).alias("wrong"), F.count("*").alias("changes"))
+    done = lambda c: F.when(F.col("last.status") == "completed", F.col(f"last.{c}"))
+    return out.select("job_id", F.col("last.status").alias("status"), F.col("last.ts").alias("updated_at"), done("ts").alias("completed_at"), done("result").alias("result"), F.col("wrong.error").alias("last_error"), "changes")
 
 
 def job_stats(jobs: DataFrame) -> DataFrame:

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.words import BOILERPLATE, COMMON_WORDS, FUND_MARKS, GENERIC_TERMS, SHORT_WORDS, STOP_WORDS
-from ..operators import matching, mentions, reporting, text, topics
-from ..sources import fixtures, readers
+from ..operators import matching, mentions, reporting, selection, text, topics
+from ..sources import files, fixtures, readers
 from . import stocks
+from .shared import once
 
 Query = Callable[[SparkSession, str], DataFrame]
 PROFILE = matching.DepthProfile.of(1)
 SUFFIXES = ("Inc", "Corp.", "", "Etf", "Ltd")
-QUERIES = ((0, ("rewh", "thatin")), (1, ("ononst", "hehely", "ander")), (2, ("zzzz",)))
+QUERIES = ((0, ("rewh", "The of")), (1, ("ononst", "hehely", "in the", "and")), (2, ("zzzz",)))
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,7 @@ def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("article_id"), F.col("text").alias("fulltext"), F.col("source").alias("link"))
 
 
+@once
 def _raw_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every supplier as a company: its number's document gives symbol, name, description and keywords."""
     number = F.col("s_suppkey")
@@ -50,14 +52,17 @@ def _topic_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _members(spark, sf_dir).select("article_id", "topic_id").join(_articles(spark, sf_dir), "article_id")
 
 
+@once
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.topic_terms(_topic_articles(spark, sf_dir))
 
 
+@once
 def _centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.topic_centroids(_members(spark, sf_dir))
 
 
+@once
 def _firms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All companies with the vector of their number; ``own_text`` is what keyword and entailment signals read."""
     known = _raw_companies(spark, sf_dir).select(F.col("Ticker").alias("ticker"), F.col("n").alias("article_id"))
@@ -85,6 +90,11 @@ def _candidates(spark: SparkSession, sf_dir: str, least: float = PROFILE.min_sim
     return pairs.join(technical, "topic_id", "left").withColumn("kw", matching.share_contained("technical", F.col("own_text"))).withColumnRenamed("technical", "entities")
 
 
+@once
+def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.stage1_gate(_candidates(spark, sf_dir), PROFILE)
+
+
 def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.hypotheses(_terms(spark, sf_dir), PROFILE.hypotheses)
 
@@ -97,7 +107,7 @@ def _logits(pairs: DataFrame, said: DataFrame) -> DataFrame:
 
 
 def _entailed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, said = matching.stage1_gate(_candidates(spark, sf_dir), PROFILE), _said(spark, sf_dir)
+    pairs, said = _gated(spark, sf_dir), _said(spark, sf_dir)
     return matching.entailment(pairs, said, _logits(pairs, said))
 
 
@@ -129,7 +139,9 @@ def _report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = fixtures.table(spark, sf_dir, "events")
     status = F.when(F.col("event_type") == "signup", "pending").when(F.col("event_type") == "click", "running").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("pending")
-    return events.select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"))
+    rows = events.select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"), "event_id")
+    named = lambda s, what: F.when(F.col("status") == s, F.concat(F.lit(f"{what} "), F.col("event_id").cast("string")))
+    return rows.select("job_id", "ts", "status", named("completed", "report").alias("result"), named("failed", "fault").alias("error"))
 
 
 def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,19 +149,13 @@ def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of the last three quarters of the time in which one comes out every hour."""
     asked = spark.createDataFrame([(i, list(a)) for i, a in QUERIES], "query_id int, alternatives array<string>")
-    return select_articles(_articles(spark, sf_dir), asked).select("query_id", "article_id", "hits", "place")
-
-
-def select_articles(articles: DataFrame, asked: DataFrame, most: int = 100) -> DataFrame:
-    """Articles over 300 characters that name an alternative of a query, best ``most`` per query by hits."""
-    from pyspark.sql import Window
-
-    low = F.lower("fulltext")
-    rows = articles.where(F.length("fulltext") > 300).join(F.broadcast(asked), F.exists("alternatives", lambda a: F.contains(low, a)))
-    hits = F.aggregate("alternatives", F.lit(0).cast("long"), lambda s, a: s + ((F.length(low) - F.length(F.replace(low, a, F.lit("")))) / F.length(a)).cast("long"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("hits"), "article_id")
-    return rows.withColumn("hits", hits).withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
+    hour = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=F.col("article_id").cast("int"))
+    rows = files.saved(_bodies(spark, sf_dir).withColumn("date", hour), "dated")
+    last = rows.agg(F.max("article_id")).first()[0] or 0
+    at = lambda hours: F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=F.lit(hours))
+    return selection.select_articles(rows, asked, at(last // 4), at(last))
 
 
 def _vectors_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,8 +164,11 @@ def _vectors_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = fixtures.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("ticker"), F.col("c_name").alias("name"))
-    return reporting.search_companies(_companies(spark, sf_dir), report, "On", 15).select("ticker", "name", "place")
+    """Companies and customers; balances stand for prices, of companies too where a customer has their number."""
+    rows = fixtures.table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_acctbal").alias("current_price"), (F.col("c_nationkey") / 10).alias("change_1d"))
+    own = _raw_companies(spark, sf_dir).where("Ticker <> ''").select(F.col("Ticker").alias("ticker"), F.col("n").alias("c_custkey"))
+    named = rows.join(own, "c_custkey", "left").select(F.coalesce("ticker", F.col("c_custkey").cast("string")).alias("ticker"), F.col("c_name").alias("name"), "current_price", "change_1d")
+    return reporting.search_companies(_companies(spark, sf_dir), named, "On", 15)
 
 
 def queries() -> dict[str, Query]:
@@ -221,6 +230,13 @@ lists as (select ticker, case when length(t) = 1 then [n] || (case when length(b
 variants as (select ticker, unnest(list_distinct(vs)) as variant from lists)"""
 
 
+def status_sql() -> str:
+    return """with jobs as (select event_id, user_id as job_id, ts, case event_type when 'signup' then 'pending' when 'click' then 'running' when 'purchase' then 'completed' when 'error' then 'failed' else 'pending' end as status from events),
+last_ as (select job_id, ts, status, event_id, row_number() over (partition by job_id order by ts desc, status desc, case when status = 'completed' then 'report ' || event_id end desc nulls last) as n, count(*) over (partition by job_id) as changes from jobs),
+wrong as (select job_id, 'fault ' || event_id as last_error from (select *, row_number() over (partition by job_id order by ts desc, 'fault ' || event_id desc) as n from jobs where status = 'failed') where n = 1)
+select job_id, status, ts as updated_at, case when status = 'completed' then ts end as completed_at, case when status = 'completed' then 'report ' || event_id end as result, last_error, changes from last_ left join wrong using (job_id) where n = 1"""
+
+
 def mentions_sql(articles: str, body: str, most: int = 10_000) -> str:
     """Common table expressions from ``art``, ``first`` and ``companies`` to ``counted``, ``valid``, over the first ``most`` characters."""
     words = " or ".join(f"contains(near, '{w}')" for w in mentions.STOCK_WORDS)
@@ -279,11 +295,12 @@ edged as (select *, min(case when rank > 10 and relevance_score < edge - 0.15 th
 matched as (select * from edged where cut is null or rank < cut)"""
     report = f"{match}, {stocks._sql_metrics()}, {stocks._sql_scores()}, report as (select topic_id, m.ticker as company, symbol as ticker, relevance_score, round(swing_score, 6) as swing_score, swing_rating from matched m left join rated r on r.ticker = symbol)"
     jobs = "jobs as (select user_id as job_id, ts, case event_type when 'signup' then 'pending' when 'click' then 'running' when 'purchase' then 'completed' when 'error' then 'failed' else 'pending' end as status from events)"
-    hits = " union all ".join(f"select {i}::int as query_id, article_id, (" + " + ".join(f"(length(lower(fulltext)) - length(replace(lower(fulltext), '{a}', ''))) // {len(a)}" for a in alts) + ")::bigint as hits from articles where length(fulltext) > 300 and (" + " or ".join(f"contains(lower(fulltext), '{a}')" for a in alts) + ")" for i, alts in QUERIES)
+    hits = " union all ".join(f"select {i}::int as query_id, article_id, (" + " + ".join(f"len(regexp_extract_all(body, '\\b{a.lower()}\\b'))" for a in alts) + ")::bigint as hits from dated" for i, alts in QUERIES)
+    dated = r"dated as (select doc_id as article_id, lower(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g')) as body from documents where lang = 'en' and length(text) > 300 and timestamp '2024-01-01' + to_hours(doc_id) >= timestamp '2024-01-01' + to_hours((select max(doc_id) // 4 from documents where lang = 'en')))"
     swing = "".join(f" when contains(swing_rating, '{w}') then '{c}'" for w, c in reporting.SIGNALS)
     return {
         "S1_read_companies": f"with {companies} select ticker, name, description, keywords, lower(name) as name_lower, lower(ticker) as ticker_lower, combined_text from companies",
-        "S3_select_articles": f"with {articles} select * from (select *, row_number() over (partition by query_id order by hits desc, article_id)::int as place from ({hits})) where place <= 100",
+        "S3_select_articles": f"with {dated} select * from (select *, row_number() over (partition by query_id order by hits desc, article_id)::int as place from ({hits}) where hits > 0) where place <= 100",
         "S7_merge_tickers": "select p_brand as ticker from part union select n_name from nation",
         "T1_clean_text": f"with {articles} select article_id, array_to_string({_sql_tokens('fulltext')}, ' ') as cleaned from articles",
         "T4_boosted_document": f"with {articles}, b as (select article_id, fulltext || ' ' || repeat(substr(fulltext, 1, 12), 3) || ' ' || repeat(link, 2) as x from articles) select article_id, array_to_string({_sql_tokens('x')}, ' ') as boosted from b",
@@ -308,9 +325,10 @@ select doc, md5(section) as section_md5, length(section)::int as chars from j"""
         "J14_attach_scores": f"with {report} select * from report",
         "R4_slice_report": f"with {report} select * from report where topic_id = 1",
         "R5_topic_summary": f"with {report} select topic_id, count(*) as rows, count(distinct ticker) as companies from report group by 1",
-        "R6_search_companies": f"""with {companies}, hits as (select ticker, name from companies union select c_custkey::varchar, c_name from customer where c_custkey::varchar not in (select ticker from companies))
-select ticker, name, place from (select *, case when lower(ticker) = 'on' then 0 when starts_with(lower(ticker), 'on') then 1 else 2 end as place from hits where contains(lower(ticker), 'on') or contains(lower(name), 'on')) order by place, ticker limit 15""",
+        "R6_search_companies": f"""with {companies}, rep as (select coalesce(ticker, c_custkey::varchar) as ticker, c_name as name, c_acctbal as current_price, c_nationkey / 10 as change_1d from customer left join (select ticker, n from numbered where ticker <> '') on n = c_custkey),
+hits as (select ticker, name from companies where contains(lower(ticker), 'on') or contains(lower(name), 'on') union select ticker, name from rep where (contains(lower(ticker), 'on') or contains(lower(name), 'on')) and ticker not in (select ticker from companies where contains(lower(ticker), 'on') or contains(lower(name), 'on')))
+select h.ticker, h.name, case when lower(h.ticker) = 'on' then 0 when starts_with(lower(h.ticker), 'on') then 1 else 2 end as place, current_price, change_1d from hits h left join rep using (ticker) order by place, h.ticker limit 15""",
         "R8_signal_class": f"with {stocks._sql_metrics()}, {stocks._sql_scores()} select ticker, case{swing} else 'slate' end as signal, case when coalesce(round(swing_score, 6), 0) = 0 then 'slate' when round(swing_score, 6) >= 0.7 then 'emerald' when round(swing_score, 6) >= 0.5 then 'cyan' when round(swing_score, 6) >= 0.3 then 'amber' else 'red' end as band from rated",
         "R9_job_stats": f"with {jobs} select count(*) as total, count(*) filter (status = 'completed') as completed, count(*) filter (status = 'running') as running, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'pending') as pending from jobs",
-        "R10_latest_status": f"with {jobs}, l as (select job_id, max(row(ts, status)) as last, count(*) as changes from jobs group by 1) select job_id, last[2] as status, last[1] as updated_at, case when last[2] = 'completed' then last[1] end as completed_at, changes from l",
+        "R10_latest_status": status_sql(),
     }

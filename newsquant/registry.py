@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import articles, records, signals, stocks
+from .plans import articles, records, shared, signals, stocks
 
 PLANS = (stocks, articles, records, signals)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for plan in PLANS for name, query in plan.queries().items()}
+    return {name: shared.query(query) for plan in PLANS for name, query in plan.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:

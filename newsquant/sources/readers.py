@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +96,53 @@ def assemble_companies(raw: DataFrame, keywords: DataFrame) -> DataFrame:
     )
 
 
+def merge_companies(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Company records of two snapshots, one row per ticker: what the new one knows counts, else the old.
+
+    Keywords are those of the newest description: a new row without one keeps the old keywords, a
+    ticker of one snapshot only keeps its row. Tickers should be unique in each.
+    """
+    columns = ("Name", "Description", "Keywords", "Sector", "Industry")
+    known = lambda c: F.nullif(F.trim(c), F.lit(""))
+    a, b = (df.select(F.col("Ticker"), *[F.col(c).alias(f"{x}_{c}") for c in columns]) for df, x in ((old, "old"), (new, "new")))
+    rows = a.join(b, "Ticker", "full_outer")
+    pick = lambda c: F.coalesce(known(f"new_{c}"), F.col(f"old_{c}"), F.lit(""))
+    words = F.when(known("new_Description").isNotNull(), F.coalesce("new_Keywords", F.lit(""))).otherwise(F.coalesce("old_Keywords", "new_Keywords", F.lit("")))
+    return rows.select("Ticker", *[(words if c == "Keywords" else pick(c)).alias(c) for c in columns])
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions of a table of snapshots, oldest first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("v=")]
+    return sorted(int(p.getName()[2:]) for p in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest complete version that :func:`update_companies` wrote to ``path``."""
+    found = _versions(spark, path)
+    return spark.read.parquet(f"{path}/v={found[-1]}") if found else None
+
+
+def update_companies(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
+    """Merge company records into the snapshot at ``path`` and return the new one.
+
+    Each run writes a version of its own, which counts once it is complete; readers see the old rows until then.
+    """
+    old, number = read_snapshot(spark, path), (_versions(spark, path) or [0])[-1] + 1
+    merged = merge_companies(old if old is not None else new.limit(0), new)
+    merged.write.mode("overwrite").parquet(f"{path}/v={number}")
+    return read_snapshot(spark, path)
+
+
+def report_name(depth: int, made_at: datetime, user: str | None = None, base: str = "topic_companies_multitimeframe") -> str:
+    """Name of a report: user if there is one, what it holds, search depth, day and hour."""
+    return f"{f'{user}_' if user else ''}{base}_depth-{depth}_{made_at:%m-%d-%Y_%H}.csv"
+
+
 def write_report(report: DataFrame, path: str, fmt: str = "csv") -> None:
     """Write report rows as CSV or Parquet, topic by topic, best relevance first."""
     rows = report.repartitionByRange("Topic_ID").sortWithinPartitions("Topic_ID", F.desc("Relevance_Score"), "Ticker")
@@ -101,6 +150,18 @@ def write_report(report: DataFrame, path: str, fmt: str = "csv") -> None:
     writer.option("header", True).option("escape", '"').csv(path) if fmt == "csv" else writer.parquet(path)
 
 
+def write_named_report(report: DataFrame, folder: str, depth: int, made_at: datetime, user: str | None = None) -> str:
+    """Write report rows as CSV under their name in ``folder``; returns the path."""
+    path = f"{folder}/{report_name(depth, made_at, user)}"
+    write_report(report, path)
+    return path
+
+
+def list_files(spark: SparkSession, folder: str, names: str = "*.csv") -> DataFrame:
+    """``(path, length)`` of the files below ``folder``; their content is not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(folder).select("path", "length")
+
+
 def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a CSV report by its schema, without empty lines."""
     rows = spark.read.csv(path, header=True, schema=schema, escape='"', multiLine=True)
