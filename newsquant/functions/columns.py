@@ -34,5 +34,12 @@ def safe_number(x: Column, decimals: int) -> Column:
     return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), F.round(number, decimals))
 
 
+def safe_integer(x: Column) -> Column:
+    """``x`` cut to a whole number; null where it is no finite number or beyond 10**15 either way."""
+    number = x.try_cast("double")
+    whole = F.when(F.abs(number) < 1e16, number.cast("long"))  # null for no number and for infinities
+    return F.when(~F.isnan(number) & (F.abs(whole) <= 10**15), whole)
+
+
 def percent(now: Column, then: Column) -> Column:
     return F.try_divide((now - then), then) * 100

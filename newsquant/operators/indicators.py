@@ -112,6 +112,7 @@ def beta(bars: DataFrame, market: DataFrame) -> DataFrame:
     return out.where("n >= 30 and n_bars >= 30 and var > 0").select("ticker", (F.col("cov") / F.col("var")).alias("beta"))
 
 
-def stock_metrics(bars: DataFrame, fundamentals: DataFrame, day: DataFrame | None = None) -> DataFrame:
-    """Technical metrics with fundamentals, one row per ticker."""
-    return technical_metrics(bars, day).join(fundamentals, "ticker", "left")
+def stock_metrics(bars: DataFrame, fundamentals: DataFrame, day: DataFrame | None = None, market: DataFrame | None = None) -> DataFrame:
+    """Technical metrics with fundamentals, and with the beta to ``market`` if given, one row per ticker."""
+    out = technical_metrics(bars, day).join(fundamentals, "ticker", "left")
+    return out if market is None else out.join(beta(bars, market), "ticker", "left")

@@ -72,12 +72,17 @@ def score_band(score: Column) -> Column:
 
 
 def report_catalog(files: DataFrame) -> DataFrame:
-    """``(path, length)`` of report files, or of their parts -> name, base, depth, timestamp, length; other names are left out, newest first."""
-    name = F.regexp_extract("path", r"([^/]+?)(?:/part-[^/]*)?$", 1)
+    """``(path, length)`` of report files -> name, base, depth, timestamp, length; other names are left out, newest first.
+
+    Parts of a report that Spark wrote, ``<report>/part-...``, are one file.
+    """
+    parted = F.col("path").rlike(r"/part-[^/]*$")
+    whole = files.where(parted).groupBy(F.regexp_replace("path", r"/part-[^/]*$", "").alias("path")).agg(F.sum("length").alias("length"))
+    files = files.where(~parted).select("path", "length").unionByName(whole)
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
     pattern = r"^(topic.*)_depth-(\d+)_(\d{2}-\d{2}-\d{4}_\d{2})\.csv$"
     rows = files.withColumn("name", name).where(F.col("name").rlike(pattern))
     part = lambda i: F.regexp_extract("name", pattern, i)
-    rows = rows.groupBy("name").agg(F.sum("length").alias("length"))
     return rows.select("name", part(1).alias("base"), part(2).cast("int").alias("depth"), F.to_timestamp(part(3), "MM-dd-yyyy_HH").alias("made_at"), "length").orderBy(F.desc("made_at"), "name")
 
 

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from datetime import datetime, timedelta
+from hashlib import md5
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.words import DOMAIN_MARKS, FUND_MARKS, GENERIC_TERMS, PHRASE_EXACT, PHRASE_FIRST, PHRASE_LAST, PHRASE_PARTS, PHRASE_STOPS
 from ..operators import matching, mentions, pages, reporting, text, topics, vectors
 from ..sources import files, fixtures, readers
+from ..streaming import status
 from . import articles, stocks
 
 quote = "'{}'".format
@@ -106,7 +110,7 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     base = F.when(key % 3 == 0, "topic_companies_multitimeframe").when(key % 3 == 1, "user7_topic_companies").otherwise("topics")
     depth = F.when(key % 5 == 0, "").otherwise(F.concat(F.lit("_depth-"), (key % 4 + 1).cast("string")))
-    name = F.concat(F.lit("s3://reports/"), base, depth, F.lit("_"), F.date_format(F.col("o_orderdate").cast("date"), "MM-dd-yyyy"), F.lit("_"), F.lpad((key % 24).cast("string"), 2, "0"), F.lit(".csv"))
+    name = F.concat(F.lit("/reports/"), base, depth, F.lit("_"), F.date_format(F.col("o_orderdate").cast("date"), "MM-dd-yyyy"), F.lit("_"), F.lpad((key % 24).cast("string"), 2, "0"), F.lit(".csv"))
     return reporting.report_catalog(fixtures.table(spark, sf_dir, "orders").select(name.alias("path"), key.alias("length")))
 
 
@@ -157,6 +161,64 @@ def _text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.similarity_join(firms, centroids, 0.3).select("topic_id", "ticker", F.round("sim", 6).alias("sim"))
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job log written as files in no order of time and followed file by file, in two runs."""
+    log, source, checkpoint, target = articles._jobs(spark, sf_dir), *(files.scratch_path(spark, n) for n in ("log", "state", "status"))
+    for part in (0, 1):
+        log.where(F.pmod(F.xxhash64("job_id", "ts"), F.lit(2)) == part).repartition(4, "ts").write.mode("append").parquet(source)
+        status.follow_status(spark, source, target, checkpoint, files_at_once=2)
+    return status.read_status(spark, target)
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles._gated(spark, sf_dir).select("topic_id", "desc_md5").join(articles._said(spark, sf_dir), "topic_id").select("desc_md5", "hypothesis").distinct()
+
+
+def _missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, said = articles._gated(spark, sf_dir), articles._said(spark, sf_dir)
+    return matching.missing_pairs(pairs, said, articles._logits(pairs, said))
+
+
+def _digits_logit(rows: pd.DataFrame) -> pd.Series:
+    """Stands for a model: hash digits as logits, one batch at a time."""
+    return pd.Series([int(md5((d + h).encode()).hexdigest()[:6], 16) / 16777215.0 * 8 - 7 for d, h in zip(rows["desc_md5"], rows["hypothesis"])], index=rows.index)
+
+
+def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over one cache: what each asked the scorer, and the mean of what is known after it."""
+    asked, path, rows = files.saved(_asked(spark, sf_dir)), files.scratch_path(spark, "cache"), []
+    half = asked.where(F.startswith("desc_md5", F.lit("a")) | F.startswith("desc_md5", F.lit("3")))
+    for run, pairs in enumerate((half, asked, asked), 1):
+        n = matching.fill_logits(spark, path, pairs, _digits_logit)
+        known = matching.read_logits(spark, path).agg(F.count("*").alias("known"), F.round(F.avg("logit"), 6).alias("mean_logit"))
+        rows.append(known.select(F.lit(run).alias("run"), F.lit(n).cast("long").alias("asked"), "known", "mean_logit"))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots of the companies: the second lacks every seventh, and some names and descriptions."""
+    raw = _profiles(spark, sf_dir).withColumn("h", F.conv(F.substring(F.md5("ticker"), 1, 4), 16, 10).cast("long"))
+    words = text.company_keywords(articles._companies(spark, sf_dir))
+    old = readers.assemble_companies(raw, words)
+    new = readers.assemble_companies(raw, words.where("rank <= 3")).join(raw.select(F.col("ticker").alias("Ticker"), "h"), "Ticker").where("h % 7 > 0")
+    blank = lambda c, n: F.when(F.col("h") % n == 0, " ").otherwise(F.col(c)).alias(c)
+    new = new.select("Ticker", blank("Name", 3), blank("Description", 2), "Keywords", F.lit("new").alias("Sector"), "Industry")
+    path = files.scratch_path(spark, "companies")
+    readers.update_companies(spark, path, old)
+    return readers.update_companies(spark, path, new).select("Ticker", "Name", F.md5("Description").alias("description_md5"), "Keywords", "Sector", "Industry")
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of all symbols, written hour after hour from the last day of the bars, then listed from their files."""
+    rows = stocks._scored(spark, sf_dir)
+    rows = rows.select("*", F.lit(1).alias("topic_id"), F.lit("all").alias("topic_keywords"), F.col("ticker").alias("name"), F.col("swing_score").alias("relevance_score"), F.lit(0).alias("n_mentions"), F.array().cast("array<string>").alias("mentioned_as"))
+    report, folder = files.saved(reporting.report_rows(rows)), files.scratch_path(spark, "reports")
+    day = fixtures.bars(spark, sf_dir).agg(F.max("bar_date")).first()[0]
+    for hours, depth, user in ((5, 1, None), (30, 2, None), (7, 3, "user7"), (6, 4, None)):
+        readers.write_named_report(report, folder, depth, datetime.combine(day, datetime.min.time()) + timedelta(hours=hours), user)
+    return reporting.report_catalog(readers.list_files(spark, folder)).where("length > 0").drop("length")
+
+
 def queries() -> dict[str, Query]:
     return {
         "T6_extract_bodies": lambda s, d: pages.extract_bodies(fixtures.table(s, d, "pages")).select("page_id", F.md5("body").alias("body_md5"), F.length("body").alias("chars")),
@@ -186,8 +248,13 @@ def queries() -> dict[str, Query]:
         "S8_report_text": lambda s, d: reporting.report_text(_report30(s, d)),
         "S9_read_report": _written,
         "S10_report_catalog": _catalog,
+        "S10_written_reports": _listed,
         "S11_company_lookup": lambda s, d: readers.company_lookup(articles._companies(s, d)),
         "S12_assemble_companies": _assembled,
+        "S12_merge_snapshots": _merged,
+        "R10_status_stream": _streamed,
+        "J5_missing_pairs": _missing,
+        "J5_logit_cache": _cached,
         "R3_report": _report30,
         "R9_user_jobs": lambda s, d: reporting.user_jobs(fixtures.table(s, d, "events").select(F.col("event_id").alias("job_id"), "user_id", F.col("ts").cast("timestamp").alias("created_at")), 7),
     }
@@ -324,6 +391,16 @@ from terms t left join technical using (topic_id) left join heard using (topic_i
         "S9_read_report": f"with {rep} select * from full_",
         "S10_report_catalog": """with f as (select case o_orderkey % 3 when 0 then 'topic_companies_multitimeframe' when 1 then 'user7_topic_companies' else 'topics' end as base, (o_orderkey % 4 + 1)::int as depth, o_orderdate::date as d, o_orderkey % 24 as h, o_orderkey as length from orders where o_orderkey % 5 <> 0)
 select base || '_depth-' || depth || '_' || strftime(d, '%m-%d-%Y') || '_' || lpad(h::varchar, 2, '0') || '.csv' as name, base, depth, d::timestamp + to_hours(h::bigint) as made_at, length from f where starts_with(base, 'topic')""",
+        "S10_written_reports": """with d as (select max(l_shipdate::date) as d from lineitem), f as (select d::timestamp + to_hours(h) as made_at, depth from d, (values (5, 1), (30, 2), (6, 4)) v(h, depth))
+select 'topic_companies_multitimeframe_depth-' || depth || '_' || strftime(made_at, '%m-%d-%Y_%H') || '.csv' as name, 'topic_companies_multitimeframe' as base, depth::int as depth, made_at from f""",
+        "S12_merge_snapshots": f"""with {firms}, {phrases}, h as (select ticker, ('0x' || substr(md5(ticker), 1, 4))::bigint as h from companies), raw as (select numbered.ticker, n, name, text as description from numbered join companies using (ticker) join documents on doc_id = n where numbered.n % 5 <> 0 and trim(text) <> ''),
+words as (select ticker, string_agg(phrase, ', ' order by rank) as whole, string_agg(phrase, ', ' order by rank) filter (rank <= 3) as three from keyed group by 1)
+select raw.ticker as Ticker, raw.name as Name, md5(raw.description) as description_md5, coalesce(case when h % 7 = 0 or h % 2 = 0 then whole else three end, '') as Keywords, case when h % 7 = 0 then case when n % 2 = 0 then 'tools' else '' end else 'new' end as Sector, '' as Industry from raw join h using (ticker) left join words using (ticker)""",
+        "R10_status_stream": articles.status_sql(),
+        "J5_missing_pairs": f"with {match} select distinct desc_md5, hypothesis from gated join said using (topic_id) where (desc_md5, hypothesis) not in (select (desc_md5, hypothesis) from logits)",
+        "J5_logit_cache": f"""with {match}, pairs_ as (select distinct desc_md5, hypothesis, ('0x' || substr(md5(desc_md5 || hypothesis), 1, 6))::bigint / 16777215.0::double * 8 - 7 as logit from gated join said using (topic_id)), half as (select * from pairs_ where desc_md5[1] in ('a', '3'))
+select 1::int as run, count(*) as asked, count(*) as known, round(avg(logit), 6) as mean_logit from half
+union all select 2::int, count(*) - (select count(*) from half), count(*), round(avg(logit), 6) from pairs_ union all select 3::int, 0, count(*), round(avg(logit), 6) from pairs_""",
         "S11_company_lookup": f"with {firms} select ticker, name from companies",
         "S12_assemble_companies": f"""with {firms}, {phrases}, raw as (select ticker, n, name, text_ as description from (select ticker, n, name, (select text from documents where doc_id = numbered.n) as text_ from named join numbered using (ticker, n) where ticker <> '') where n % 5 <> 0 and trim(text_) <> '')
 select raw.ticker as Ticker, raw.name as Name, md5(raw.description) as description_md5, coalesce(k.keywords, '') as Keywords, case when raw.n % 2 = 0 then 'tools' else '' end as Sector, '' as Industry from raw left join (select ticker, string_agg(phrase, ', ' order by rank) as keywords from keyed group by 1) k using (ticker)""",

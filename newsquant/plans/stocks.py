@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import safe_integer
 from ..operators import indicators, reporting, scores
-from ..sources import fixtures, readers
+from ..sources import files, fixtures, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,12 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.stock_metrics(fixtures.bars(spark, sf_dir), readers.clean_fundamentals(fixtures.raw_fundamentals(spark, sf_dir)))
 
 
+def _whole_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = files.saved(fixtures.bars(spark, sf_dir), "bars")
+    own = indicators.stock_metrics(bars, readers.clean_fundamentals(fixtures.raw_fundamentals(spark, sf_dir)), None, fixtures.market(spark, sf_dir))
+    return _rounded(own, [*METRICS, "beta"])
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.score_all(_metrics(spark, sf_dir))
 
@@ -116,7 +123,7 @@ def queries() -> dict[str, Query]:
         "F7_rsi": _part(RSI),
         "F8_range_52w": _part(RANGE),
         "F9_beta": _beta,
-        "F10_stock_metrics": lambda s, d: _rounded(_metrics(s, d), METRICS),
+        "F10_stock_metrics": _whole_metrics,
         "C1_normalize": _clamp,
         "C2_day_score": _score("day"),
         "C3_swing_score": _score("swing"),
@@ -125,6 +132,7 @@ def queries() -> dict[str, Query]:
         "C6_longterm_fallback": _fallback,
         "C7_ratings": _ratings,
         "C8_safe_format": _format,
+        "C8_safe_integers": lambda s, d: fixtures.table(s, d, "part").select("p_partkey", safe_integer(F.col("p_retailprice") * 1e12 - 2e15).alias("whole"), safe_integer(F.col("p_name")).alias("none")),
         "R1_rank_by_style": _long_scores,
         "R2_top_overall": _top_overall,
         "R7_ticker_card": _card,
@@ -235,10 +243,12 @@ select ticker, round(covar_samp(ret, market_ret) / var_pop(market_ret), 6) as be
         "C1_normalize": "select p_partkey, round(greatest(0, least(1, (p_retailprice - 950) / 550)), 6) as up, round(1 - greatest(0, least(1, (p_retailprice - 950) / 550)), 6) as down, 0.5::double as flat from part",
         "C6_longterm_fallback": f"with {metrics}, {blank}, {_sql_scores('blank')} select ticker, round(longterm_score, 6) as score, longterm_rating as rating from rated",
         "C7_ratings": f"with {metrics}, {scored} select ticker, {styles} from rated",
+        "C8_safe_integers": "select p_partkey, case when abs(trunc(p_retailprice * 1e12::double - 2e15::double)) <= 1e15::double then trunc(p_retailprice * 1e12::double - 2e15::double)::bigint end as whole, null::bigint as none from part",
         "C8_safe_format": f"with {RAW} select ticker, round(try_cast(trailing_pe as double), 2) as trailing_pe, round(try_cast(peg as double), 2) as peg, round(try_cast(margin as double), 4) as margin, round(try_cast(return_on_equity as double), 4) as return_on_equity from raw",
         "R1_rank_by_style": f"""with {metrics}, {scored}, t as (select *, substr(ticker, 7, 1)::int as topic_id, round(pe_ratio / 60, 6) as relevance_score from rated), longs as ({longs})
 select topic_id, style, ticker, relevance_score, score, rating, rank, missing from (select *, row_number() over (partition by topic_id, style order by relevance_score desc nulls last, score desc, ticker)::int as rank from (select *, count(*) filter (score is null) over (partition by topic_id, style) as missing from longs) where score is not null) where rank <= 20""",
         "R2_top_overall": f"with {metrics}, {scored} select ticker, round(swing_score, 6) as swing_score, swing_rating from rated where swing_score is not null order by round(swing_score, 6) desc, ticker limit 10",
         "R7_ticker_card": f"with {metrics}, {scored} select ticker, {rounds(['current_price', 'change_1d', 'rsi_14', 'day_score', 'swing_score', 'position_score', 'longterm_score'])}, {styles} from rated where ticker = 'Brand#23'",
     }
+    out["F10_stock_metrics"] = f"with {metrics} select ticker, {rounds(METRICS)}, beta from metrics left join ({out['F9_beta']}) b using (ticker)"
     return out
