@@ -15,6 +15,8 @@ BOILERPLATE = frozenset(
 )
 #: Words too general to be a topic's technical term.
 GENERIC_TERMS = frozenset("system technology company data research service platform solution business market industry product customer management global world new report news today year".split())
+#: Nouns too general to be keywords.
+GENERIC_NOUNS = frozenset("business company market economy government state people industry".split())
 #: Two-letter words that are also tickers.
 SHORT_WORDS = frozenset("am an as at be by do go he hi if in is it me my no of on or so to up us we".split())
 #: Three-letter and longer words that are also tickers.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.words import BOILERPLATE, COMMON_WORDS, GENERIC_TERMS, PHRASE_EXACT, PHRASE_FIRST, PHRASE_LAST, PHRASE_PARTS, PHRASE_STOPS, SHORT_WORDS, STOP_WORDS, SUFFIXES
+from ..functions.words import BOILERPLATE, COMMON_WORDS, GENERIC_NOUNS, PHRASE_EXACT, PHRASE_FIRST, PHRASE_LAST, PHRASE_PARTS, PHRASE_STOPS, SHORT_WORDS, STOP_WORDS, SUFFIXES
 
 
 def clean_tokens(text: Column) -> Column:
@@ -99,10 +99,22 @@ def extract_section(elements: DataFrame, reach: int = 1000) -> DataFrame:
     return elements.join(bounds, "filing").where("pos >= start and pos < end").select("filing", "pos", "text")
 
 
-def extract_keywords(df: DataFrame, text: str = "fulltext") -> DataFrame:
-    """Add ``keywords``: the cleaned words of a text, repeats included, without generic terms."""
-    keep = F.filter(clean_tokens(F.col(text)), lambda w: ~w.isin(*sorted(GENERIC_TERMS)))
-    return df.withColumn("keywords", F.array_join(keep, " "))
+def extract_keywords(df: DataFrame, text: str = "fulltext", lexicon: DataFrame | None = None, kinds: tuple[str, ...] = ("NOUN", "PROPN"), cut: int = 50_000) -> DataFrame:
+    """Add ``keywords``: the cleaned words of a text's first ``cut`` characters, repeats included, without generic nouns.
+
+    With ``lexicon(token, pos, lemma)`` only words of ``kinds`` stay, as their lemmas; a word with several
+    entries gives its smallest lemma. Rows need not have a key.
+    """
+    tokens = clean_tokens(F.substring(text, 1, cut))
+    generic = sorted(GENERIC_NOUNS)
+    if lexicon is None:
+        return df.withColumn("keywords", F.array_join(F.filter(tokens, lambda w: ~w.isin(*generic)), " "))
+    known = lexicon.where(F.col("pos").isin(*kinds)).groupBy("token").agg(F.min(F.lower("lemma")).alias("_lemma")).where(~F.col("_lemma").isin(*generic))
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    places = rows.select("_row", F.posexplode(tokens).alias("_at", "token")).join(known, "token")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_lemma"))), lambda w: w["_lemma"]), " ")
+    words = places.groupBy("_row").agg(joined.alias("keywords"))
+    return rows.join(words, "_row", "left").withColumn("keywords", F.coalesce("keywords", F.lit(""))).drop("_row")
 
 
 def tag_entities(articles: DataFrame, gazetteer: DataFrame, labels: tuple[str, ...] = ("ORG", "GPE", "PRODUCT"), high: int = 3) -> DataFrame:

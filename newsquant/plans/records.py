@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.words import GENERIC_NOUNS
 from ..operators import matching, reporting, text
 from ..sources import fixtures
 from . import articles
@@ -42,6 +43,14 @@ def _gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("surface", F.when(F.length("surface") % 3 == 0, "ORG").when(F.length("surface") % 3 == 1, "DATE").otherwise("GPE").alias("label"))
 
 
+def _lexicon_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords by a lexicon of all documents' words: their length gives the kind, a last s is no part of the lemma."""
+    words = fixtures.table(spark, sf_dir, "documents").select(F.explode(text.clean_tokens(F.col("text"))).alias("token")).distinct()
+    kind = F.when(F.length("token") % 3 == 0, "NOUN").when(F.length("token") % 3 == 1, "VERB").otherwise("PROPN")
+    lexicon = words.select("token", kind.alias("pos"), F.regexp_replace("token", "s$", "").alias("lemma"))
+    return text.extract_keywords(articles._articles(spark, sf_dir), lexicon=lexicon).select("article_id", "keywords")
+
+
 def _entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.entity_score(articles._candidates(spark, sf_dir), "own_text").select("topic_id", "ticker", F.round("entity", 6).alias("entity"))
 
@@ -61,6 +70,7 @@ def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "T2_extract_keywords": lambda s, d: text.extract_keywords(articles._articles(s, d)).select("article_id", "keywords"),
+        "T2_lexicon_keywords": _lexicon_keywords,
         "T3_tag_entities": lambda s, d: text.tag_entities(articles._articles(s, d), _gazetteer(s, d)),
         "T13_latest_filing": lambda s, d: text.latest_filing(_filings(s, d)),
         "T16_enrich_descriptions": _enriched,
@@ -75,10 +85,13 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     base = "articles as (select doc_id as article_id, text as fulltext from documents where lang = 'en')"
     match = articles.oracle_sql()["J10_relevance"].rpartition(" select ")[0]
-    generic = articles._texts(articles.GENERIC_TERMS)
+    generic = articles._texts(GENERIC_NOUNS)
     squeezed = r"lower(trim(regexp_replace(coalesce(fulltext, ''), '\s+', ' ', 'g')))"
     return {
-        "T2_extract_keywords": f"with {base} select article_id, array_to_string(list_filter({articles._sql_tokens('fulltext')}, lambda w: w not in ({generic})), ' ') as keywords from articles",
+        "T2_extract_keywords": f"with {base} select article_id, array_to_string(list_filter({articles._sql_tokens('substr(fulltext, 1, 50000)')}, lambda w: w not in ({generic})), ' ') as keywords from articles",
+        "T2_lexicon_keywords": f"""with {base}, own as (select article_id, unnest(t) as token, generate_subscripts(t, 1) as i from (select article_id, {articles._sql_tokens('substr(fulltext, 1, 50000)')} as t from articles)),
+kept as (select article_id, string_agg(regexp_replace(token, 's$', ''), ' ' order by i) as keywords from own where length(token) % 3 <> 1 and regexp_replace(token, 's$', '') not in ({generic}) group by 1)
+select article_id, coalesce(keywords, '') as keywords from articles left join kept using (article_id)""",
         "T3_tag_entities": f"""with {base}, gaz as (select surface from (select distinct unnest({articles._sql_tokens('text')}) as surface from documents where lang <> 'en') where length(surface) % 3 <> 1),
 own as (select article_id, unnest({articles._sql_tokens('fulltext')}) as surface from articles)
 select article_id, array_to_string(list_sort(list(distinct surface)), ' ') as entities, count(*) as hits from own join gaz using (surface) group by 1""",

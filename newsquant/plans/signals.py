@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.words import DOMAIN_MARKS, FUND_MARKS, GENERIC_TERMS, PHRASE_EXACT, PHRASE_FIRST, PHRASE_LAST, PHRASE_PARTS, PHRASE_STOPS
+from ..functions.words import DOMAIN_MARKS, FUND_MARKS, GENERIC_NOUNS, PHRASE_EXACT, PHRASE_FIRST, PHRASE_LAST, PHRASE_PARTS, PHRASE_STOPS
 from ..operators import matching, mentions, pages, reporting, text, topics, vectors
 from ..sources import files, fixtures, readers
 from ..streaming import status
@@ -190,9 +190,10 @@ def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = asked.where(F.startswith("desc_md5", F.lit("a")) | F.startswith("desc_md5", F.lit("3")))
     for run, pairs in enumerate((half, asked, asked), 1):
         n = matching.fill_logits(spark, path, pairs, _digits_logit)
-        known = matching.read_logits(spark, path).agg(F.count("*").alias("known"), F.round(F.avg("logit"), 6).alias("mean_logit"))
-        rows.append(known.select(F.lit(run).alias("run"), F.lit(n).cast("long").alias("asked"), "known", "mean_logit"))
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+        # read at once: Spark takes two scans of one path for the same, whatever was appended between them
+        known = matching.read_logits(spark, path).agg(F.count("*"), F.round(F.avg("logit"), 6)).first()
+        rows.append((run, n, known[0], known[1]))
+    return spark.createDataFrame(rows, "run int, asked long, known long, mean_logit double")
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,7 +351,7 @@ full_ as (select m.topic_id as Topic_ID, topic_keywords as Topic_Keywords, m.tic
     texts = ", ".join(n if d is None else f"coalesce(printf('%.{d}f', {n}::double), '') as {n}" for n, _, d, _ in reporting.REPORT)
     funds = " or ".join(f"contains(lower(name), '{m}')" for m in FUND_MARKS)
     gates = " union all ".join(f"select {k}::int as depth, count(*) as pairs, count(distinct ticker) as companies, {p.hypotheses * 2}::int as sentences from deep where sim >= {p.min_similarity} and (kw >= {p.min_keyword} or sim >= 0.15)" for k in (1, 2, 3, 4) for p in (matching.DepthProfile.of(k),))
-    generic = list_(GENERIC_TERMS)
+    generic = list_(GENERIC_NOUNS)
     return {
         "T6_extract_bodies": bodies_sql(),
         "T8_mention_counts": f"with {every} select article_id, ticker, mentions, array_to_string(mentioned_as, '; ') as mentioned_as from counted",
@@ -377,7 +378,7 @@ select topic_id, ticker, round(list_dot_product(vec, c) / norm, 6) as sim from h
         "M5_term_scores": f"with {terms}, {words} select topic_id, term, score from term_scores",
         "M6_filter_terms": f"with {terms}, {words} select topic_id, rank, term from filtered",
         "M7_apply_terms": f"with {terms}, {words} select topic_id, rank, term, weight from filtered where topic_id % 2 = 0 union all select topic_id, rank, term, weight from terms where topic_id not in (select topic_id from filtered where topic_id % 2 = 0)",
-        "M9_domain_signals": f"""with {terms}, seen as (select label as topic_id, doc_id as article_id, array_to_string(list_filter({articles._sql_tokens('text')}, lambda w: w not in ({generic})), ' ') as keywords, lower(substr(text, 1, 200)) as entities, row_number() over (partition by label order by doc_id) as seq from embeddings join documents on doc_id = vec_id where lang = 'en'),
+        "M9_domain_signals": f"""with {terms}, seen as (select label as topic_id, doc_id as article_id, array_to_string(list_filter({articles._sql_tokens('substr(text, 1, 50000)')}, lambda w: w not in ({generic})), ' ') as keywords, lower(substr(text, 1, 200)) as entities, row_number() over (partition by label order by doc_id) as seq from embeddings join documents on doc_id = vec_id where lang = 'en'),
 heard as (select topic_id, list_sort(list_filter(list_distinct(flatten(list(string_split(entities, ' ')))), lambda w: length(w) > 2)) as entities, string_agg(keywords, ' ' order by seq) filter (seq <= 10) as said from seen where seq <= 15 group by 1)
 select t.topic_id, array_to_string(any_value(technical), '|') as technical, md5(array_to_string(any_value(entities), '|')) as entities_md5, md5(lower(string_agg(term, ' ' order by rank) || ' ' || any_value(said))) as text_md5, string_agg(term, '|' order by rank) as keywords
 from terms t left join technical using (topic_id) left join heard using (topic_id) group by 1""",
