@@ -66,21 +66,24 @@ def _repeat_words(words: Column) -> Column:
     return F.when(size < 3, F.lit(0)).otherwise(_let(F.sort_array(window), covered))
 
 
-def measures(text: str) -> dict[str, Column]:
-    """Column expressions of the counts of one text column, by name; ``_flat`` comes first, the others may use it."""
-    own = F.coalesce(F.col(text), F.lit(""))
-    flat = F.trim(F.regexp_replace(own, SPACE, " "))
-    words = F.when(F.col("_flat") == "", F.array().cast("array<string>")).otherwise(F.split("_flat", " "))
+def measures(text: str, inner: str) -> dict[str, Column]:
+    """Column expressions of the counts of one text column, by name; ``inner`` precedes names that are not results.
+
+    Of them ``flat`` comes first, the others may use it.
+    """
+    own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    flat, flat_name = F.trim(F.regexp_replace(own, SPACE, " ")), f"{inner}flat"
+    words = F.when(F.col(flat_name) == "", F.array().cast("array<string>")).otherwise(F.split(flat_name, " "))
     lines = F.filter(F.split(own, "\n"), lambda x: F.trim(F.regexp_replace(x, SPACE, " ")) != "")
     return {
-        "_flat": flat,
-        "_words": words,
+        flat_name: flat,
+        f"{inner}words": words,
         "n_symbols": F.length(F.regexp_replace(own, r"[^#*$%&|<>]+", "")).cast("long"),
-        "_pipes": F.length(F.regexp_replace(own, r"[^|]+", "")),
+        f"{inner}pipes": F.length(F.regexp_replace(own, r"[^|]+", "")),
         "n_dup_lines": _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-        "_lines": F.size(lines),
-        "_letters": F.length(F.regexp_replace(own, r"[^\p{L}]+", "")),
-        "_upper": F.length(F.regexp_replace(own, r"[^\p{Lu}]+", "")),
+        f"{inner}lines": F.size(lines),
+        f"{inner}letters": F.length(F.regexp_replace(own, r"[^\p{L}]+", "")),
+        f"{inner}upper": F.length(F.regexp_replace(own, r"[^\p{Lu}]+", "")),
     }
 
 
@@ -92,18 +95,22 @@ def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the counts and ratios that rules name."""
-    first = measures(text)
+    inner = "_"
+    while any(c.lower().startswith(inner) for c in df.columns):
+        inner += "_"
+    flat, words = f"{inner}flat", f"{inner}words"
+    first = measures(text, inner)
     # each step stands apart, so that texts are cut once, whatever filters come later
-    cut = _settled(_settled(df, {"_flat": first.pop("_flat")}), first)
+    cut = _settled(_settled(df, {flat: first.pop(flat)}), first)
     stop = sorted(set(STOP_WORDS))
-    n = F.size("_words")
+    n = F.size(words)
     cut = _settled(
         cut,
         {
             "n_words": n.cast("long"),
-            "word_chars": (F.length("_flat") - F.greatest(n - 1, F.lit(0))).cast("long"),
-            "n_repeat_words": _repeat_words(F.col("_words")).cast("long"),
-            "_stops": F.size(F.filter("_words", lambda w: w.isin(*stop))),
+            "word_chars": (F.length(flat) - F.greatest(n - 1, F.lit(0))).cast("long"),
+            "n_repeat_words": _repeat_words(F.col(words)).cast("long"),
+            f"{inner}stops": F.size(F.filter(words, lambda w: w.isin(*stop))),
         },
     )
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
@@ -112,13 +119,13 @@ def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
             "repeat_ratio": share("n_repeat_words", "n_words"),
             "mean_word_chars": share("word_chars", "n_words"),
             "symbol_ratio": share("n_symbols", "n_words"),
-            "pipe_ratio": share("_pipes", "n_words"),
-            "upper_ratio": share("_upper", "_letters"),
-            "stop_ratio": share("_stops", "n_words"),
-            "dup_line_ratio": share("n_dup_lines", "_lines"),
+            "pipe_ratio": share(f"{inner}pipes", "n_words"),
+            "upper_ratio": share(f"{inner}upper", f"{inner}letters"),
+            "stop_ratio": share(f"{inner}stops", "n_words"),
+            "dup_line_ratio": share("n_dup_lines", f"{inner}lines"),
         }
     )
-    return cut.drop("_flat", "_words", "_pipes", "_lines", "_letters", "_upper", "_stops")
+    return cut.drop(*[c for c in cut.columns if c.startswith(inner)])
 
 
 def _fails(rule: Rule) -> Column:

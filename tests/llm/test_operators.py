@@ -45,6 +45,14 @@ def test_quality_counts(docs, empty):
     assert quality.apply_rules(empty).count() == 0
 
 
+def test_quality_passes_clashing_names_through(spark):
+    names = ["doc_id", "text", "_flat", "_words", "__pipes", "_Lines", "n_words", "row"]
+    out = quality.apply_rules(spark.createDataFrame([(1, "one two", "f", 2, 3.0, "l", "replaced", "r")], names))
+    row = out.first()
+    assert [row[c] for c in ("doc_id", "text", "_flat", "_words", "__pipes", "_Lines", "n_words", "row")] == [1, "one two", "f", 2, 3.0, "l", 2, "r"]
+    assert not set(out.columns) - {*names, "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(f"{r}_ratio" for r in ("repeat", "symbol", "pipe", "upper", "stop", "dup_line")), "mean_word_chars", "base_failed", "failed", "kept"}
+
+
 def test_substrings_equal_brute_force(docs, empty):
     first = {}
     for i, t in enumerate(TEXTS):
