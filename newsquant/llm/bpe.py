@@ -40,13 +40,13 @@ _BLOCKS = "block long, doc long, places binary, share int, words binary"
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Numbers below 2^24 as three planes of bytes, which compress well."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+    """Numbers as four planes of bytes, which compress well."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, dtype=np.uint8).reshape(3, -1).astype(np.uint32)
-    return planes[0] | planes[1] << 8 | planes[2] << 16
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).astype(np.uint32)
+    return planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
 
 
 def _pack_lists(lists: list[bytes]) -> bytes:
