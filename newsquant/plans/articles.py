@@ -77,11 +77,16 @@ def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _articles(spark, sf_dir).select("article_id", F.regexp_replace("fulltext", r"[^\x00-\x7F]", " ").alias("body"))
 
 
+@once
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics and the articles that they have."""
+    return _members(spark, sf_dir).select("topic_id", "article_id").join(_articles(spark, sf_dir).select("article_id"), "article_id", "left_semi")
+
+
 def _topic_bodies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Articles of each topic, the first 10,000 characters of their bodies, and the companies."""
     bodies = _bodies(spark, sf_dir).withColumn("body", F.substring("body", 1, 10_000))
-    members = _members(spark, sf_dir).select("topic_id", "article_id").join(bodies.select("article_id"), "article_id", "left_semi")
-    return members, bodies, _companies(spark, sf_dir).select("ticker", "name")
+    return _placed(spark, sf_dir), bodies, _companies(spark, sf_dir).select("ticker", "name")
 
 
 def _candidates(spark: SparkSession, sf_dir: str, least: float = PROFILE.min_similarity) -> DataFrame:
