@@ -43,20 +43,21 @@ def word_index(articles: DataFrame) -> DataFrame:
     ``start`` counts from 1; ``before`` and ``after`` are the other characters up to the next word, ``GAP`` and one at most.
     """
 
+    names = ("article_id", "ord", "token", "start", "before", "first", "after", "last")
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            held: list[tuple] = []
             for article, body in zip(batch["article_id"], batch["body"]):
                 spans = [m.span() for m in _RUN.finditer(body or "")]
-                if not spans:
-                    continue
-                ends, starts = [0] + [e for _, e in spans], [s for s, _ in spans] + [len(body)]
-                yield pd.DataFrame(
-                    {
-                        "article_id": article, "ord": range(len(spans)), "token": [body[s:e].lower() for s, e in spans], "start": [s + 1 for s, _ in spans],
-                        "before": [body[max(a, b - GAP - 1) : b] for a, b in zip(ends, starts[:-1])], "first": [i == 0 for i in range(len(spans))],
-                        "after": [body[a : min(b, a + GAP + 1)] for a, b in zip(ends[1:], starts[1:])], "last": [i == len(spans) - 1 for i in range(len(spans))],
-                    }
-                )
+                ends, starts = [0] + [e for _, e in spans], [s for s, _ in spans] + [len(body or "")]
+                for i, (s, e) in enumerate(spans):
+                    held.append((article, i, body[s:e].lower(), s + 1, body[max(ends[i], s - GAP - 1) : s], i == 0, body[e : min(starts[i + 1], e + GAP + 1)], i == len(spans) - 1))
+                if len(held) > 100_000:
+                    yield pd.DataFrame(held, columns=names)
+                    held = []
+            if held:
+                yield pd.DataFrame(held, columns=names)
 
     schema = T.StructType([articles.schema["article_id"]]).add("ord", "integer").add("token", "string").add("start", "integer")
     for name, kind in (("before", "string"), ("first", "boolean"), ("after", "string"), ("last", "boolean")):
