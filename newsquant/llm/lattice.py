@@ -104,15 +104,18 @@ def _by_length(blobs: pd.Series) -> Iterator[np.ndarray]:
         yield np.flatnonzero(sizes == size)
 
 
-def _links(unit_a, unit_b, cells_a, cells_b, own_a, own_b, table, cell, threshold):
-    """Mask of pairs with cosine >= threshold that count in this cell, and those linked at all."""
+def _links(unit_a: np.ndarray, unit_b: np.ndarray, own_a: np.ndarray, own_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs with cosine >= threshold of which one owns the cell."""
     cosine = unit_a @ unit_b.T
     linked = cosine >= threshold
     near = np.abs(cosine - threshold) < 1e-9
     for i, j in np.argwhere(near):  # settle the border alike in every batch shape
         linked[i, j] = float(np.sum(unit_a[i] * unit_b[j])) >= threshold
-    linked &= own_a[:, None] | own_b[None, :]
-    i, j = np.nonzero(linked)
+    return np.nonzero(linked & (own_a[:, None] | own_b[None, :]))
+
+
+def _counted(cells_a: np.ndarray, cells_b: np.ndarray, i: np.ndarray, j: np.ndarray, table: int, cell: int) -> np.ndarray:
+    """Which of the pairs ``(i, j)`` count in this cell: the first one in which they meet."""
     counts = np.ones(len(i), dtype=bool)
     for a in range(0, len(i), 100_000):
         x, y = cells_a[i[a : a + 100_000]], cells_b[j[a : a + 100_000]]
@@ -122,7 +125,7 @@ def _links(unit_a, unit_b, cells_a, cells_b, own_a, own_b, table, cell, threshol
         first = (x_own | y_own).argmax(axis=1)
         at = np.where(same | x_own, x[:, :, 0], y[:, :, 0])[np.arange(len(x)), first]
         counts[a : a + 100_000] = (first == table) & (at == cell)
-    return i, j, counts
+    return counts
 
 
 def link_vectors(vectors: DataFrame, threshold: float = 0.9, how: LatticeHash = LatticeHash(), cell_rows: int = 1500) -> DataFrame:
@@ -169,13 +172,15 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, how: LatticeHash =
                 right = np.flatnonzero(block[a:b] == high)
                 if not (own[a:b][left].any() or own[a:b][right].any()):
                     continue
-                cells = how.cells(unit)
-                i, j, counted = _links(unit[left], unit[right], cells[left], cells[right], own[a:b][left], own[a:b][right], table, cell, threshold)
+                i, j = _links(unit[left], unit[right], own[a:b][left], own[a:b][right], threshold)
                 i, j = left[i], right[j]
-                fresh = i < j if low == high else np.ones(len(i), dtype=bool)
-                i, j, counted = i[fresh], j[fresh], counted[fresh]
+                if low == high:
+                    i, j = i[i < j], j[i < j]
                 if not len(i):
                     continue
+                linked, at = np.unique(np.concatenate((i, j)), return_inverse=True)
+                cells = how.cells(unit[linked])  # only of vectors that link here
+                counted = _counted(cells, cells, at[: len(i)], at[len(i) :], table, cell)
                 w = weights[a:b]
                 n = np.bincount(i[counted], w[j[counted]], minlength=b - a) + np.bincount(j[counted], w[i[counted]], minlength=b - a)
                 label = np.arange(b - a)
