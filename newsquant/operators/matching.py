@@ -84,13 +84,14 @@ def read_logits(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("part", "desc_md5", "hypothesis").agg(F.max("logit").alias("logit"))
 
 
-def fill_logits(spark: SparkSession, path: str, asked: DataFrame, score: Callable[[pd.DataFrame], pd.Series]) -> int:
+def fill_logits(spark: SparkSession, path: str, asked: DataFrame, score: Callable[[pd.DataFrame], pd.Series], digits: int = 2) -> int:
     """Score the pairs of ``asked(desc_md5, hypothesis, ...)`` that the cache at ``path`` lacks, and append them; returns how many.
 
     ``score`` takes batches of all columns of ``asked`` and gives a logit for each row. The cache is
-    dealt into folders by the key's first two digits, so that a lookup reads those of its keys only.
+    dealt into folders by the key's first ``digits``, so that a lookup reads those of its keys only; a cache
+    always has the same number of them.
     """
-    part = F.substring("desc_md5", 1, 2)
+    part = F.substring("desc_md5", 1, digits)
     rows = asked.where("desc_md5 is not null and hypothesis is not null").dropDuplicates(["desc_md5", "hypothesis"]).withColumn("part", part)
     missing = rows.join(read_logits(spark, path), ["part", "desc_md5", "hypothesis"], "left_anti").select(*asked.columns)
 

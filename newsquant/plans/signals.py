@@ -189,7 +189,7 @@ def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, path, rows = files.saved(_asked(spark, sf_dir)), files.scratch_path(spark, "cache"), []
     half = asked.where(F.startswith("desc_md5", F.lit("a")) | F.startswith("desc_md5", F.lit("3")))
     for run, pairs in enumerate((half, asked, asked), 1):
-        n = matching.fill_logits(spark, path, pairs, _digits_logit)
+        n = matching.fill_logits(spark, path, pairs, _digits_logit, 1)
         # read at once: Spark takes two scans of one path for the same, whatever was appended between them
         known = matching.read_logits(spark, path).agg(F.count("*"), F.round(F.avg("logit"), 6)).first()
         rows.append((run, n, known[0], known[1]))

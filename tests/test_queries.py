@@ -2,6 +2,7 @@
 
 import math
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -26,7 +27,7 @@ def plain(v):
     return f"{v:.9g}" if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, db, name):
     rows = registry.queries()[name](spark, SF)
     found = db.execute(registry.oracle_sql()[name])
@@ -36,6 +37,16 @@ def test_query_equals_sql(spark, db, name):
     assert sorted(([plain(r[c]) for c in columns] for r in rows.collect()), key=key) == sorted(([plain(v) for v in r] for r in found.fetchall()), key=key)
 
 
+def test_clusters_take_in_every_article(spark):
+    """The one query without SQL: k-means cannot be said in it."""
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"M2_cluster_topics"}
+    rows = registry.queries()["M2_cluster_topics"](spark, SF).collect()
+    sizes = Counter(r["topic_id"] for r in rows)
+    assert len({r["article_id"] for r in rows}) == len(rows) == spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    topics = sorted(t for t in sizes if t >= 0)
+    assert topics == list(range(len(topics))) and all(sizes[a] >= sizes[b] >= 8 for a, b in zip(topics, topics[1:]))
+
+
 def test_names_need_no_session():
     """The lists can be read in a process that never starts Spark."""
     import subprocess
