@@ -137,7 +137,7 @@ def count_mentions(articles: DataFrame, companies: DataFrame, index: DataFrame |
     """
     phrases = spellings(companies)
     index = saved_index(articles, phrases) if index is None else index
-    hits = phrase_hits(index, phrases)
+    hits = files.saved(phrase_hits(index, phrases), "hits")  # symbols and other spellings go different ways
     size = F.length("phrase")
     symbol = (size <= 3) & ~F.contains("phrase", F.lit(" ")) & ~F.startswith("phrase", F.lit("$"))
     checked = with_surroundings(hits.where(symbol), articles, {"near": (50, 50), "tight": (10, 2), "ahead": (5, None)}).where(is_stock())
