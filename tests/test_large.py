@@ -2,6 +2,7 @@
 
 from newsquant import registry
 from newsquant.functions.words import STOP_WORDS
+from newsquant.operators import mentions
 
 
 def test_keywords_of_a_text_cut_inside_a_word(spark, tmp_path):
@@ -10,3 +11,19 @@ def test_keywords_of_a_text_cut_inside_a_word(spark, tmp_path):
     spark.createDataFrame([(1, said, "en"), (2, "gardens", "en")], "doc_id long, text string, lang string").selectExpr("*", "'x' as source").write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r["article_id"]: r["keywords"] for r in registry.queries()["T2_lexicon_keywords"](spark, str(tmp_path)).collect()}
     assert rows[1].split(" ") == ["filler"] * 7142 + ["trafa"]
+
+
+def test_phrases_of_common_words_meet_only_as_neighbours(spark, monkeypatch):
+    kept = {}
+    saved = mentions.files.saved
+
+    def counted(df, name="kept"):
+        kept[name] = saved(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(mentions.files, "saved", counted)
+    bodies = [(i, "re x " * 50 + "wh x " * 50 + ("re wh wh re wh" if i == 7 else "")) for i in range(20)]
+    phrases = spark.createDataFrame([("A", "re wh", False), ("B", "wh re wh", False)], "ticker string, phrase string, tight boolean")
+    hits = mentions.phrase_hits(mentions.saved_index(spark.createDataFrame(bodies, "article_id long, body string"), phrases), phrases).collect()
+    assert sorted((h["article_id"], h["phrase"], h["start"]) for h in hits) == [(7, "re wh", 501), (7, "re wh", 510), (7, "wh re wh", 507)]
+    assert kept["words"].count() == 2005 and kept["pairs"].count() == 3
