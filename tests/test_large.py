@@ -2,7 +2,7 @@
 
 from newsquant import registry
 from newsquant.functions.words import STOP_WORDS
-from newsquant.operators import mentions
+from newsquant.operators import mentions, topics
 
 
 def test_keywords_of_a_text_cut_inside_a_word(spark, tmp_path):
@@ -27,3 +27,18 @@ def test_phrases_of_common_words_meet_only_as_neighbours(spark, monkeypatch):
     hits = mentions.phrase_hits(mentions.saved_index(spark.createDataFrame(bodies, "article_id long, body string"), phrases), phrases).collect()
     assert sorted((h["article_id"], h["phrase"], h["start"]) for h in hits) == [(7, "re wh", 501), (7, "re wh", 510), (7, "wh re wh", 507)]
     assert kept["words"].count() == 2005 and kept["pairs"].count() == 3
+
+
+def test_terms_are_dealt_before_they_are_counted(spark, monkeypatch):
+    plans = {}
+    saved = topics.files.saved
+
+    def kept(df, name="kept"):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return saved(df, name)
+
+    monkeypatch.setattr(topics.files, "saved", kept)
+    rows = spark.createDataFrame([(0, "alpha beta gamma alpha"), (1, "beta beta")], "topic_id int, fulltext string")
+    found = {(r["topic_id"], r["rank"]): r["term"] for r in topics.topic_terms(rows).collect()}
+    assert found[1, 1] == "beta" and len(found) == 10
+    assert plans["terms"].rindex("HashAggregate") < plans["terms"].index("Exchange hashpartitioning(topic_id")
