@@ -84,3 +84,8 @@ def test_words_are_cut_and_hashed_as_before(spark):
     weights = spark.createDataFrame([(3, 1.5), (99, 4.0), (5, 0.0)], "slot int, idf double")
     vecs = {r["k"]: r["vec"] for r in vectors.hashed_vectors(counts, weights, "k", 100).collect()}
     assert vecs["b"] == [0.0] * 100 and [(i, x) for i, x in enumerate(vecs["a"]) if x] == [(3, 0.6), (99, 0.8)]
+
+
+def test_vocabulary_is_counted_once(spark):
+    for name in ("M4_term_metrics", "M6_filter_terms"):
+        assert not any("documents.parquet" in f for f in registry.queries()[name](spark, "/root/testdata/sf0.001").inputFiles())
