@@ -89,3 +89,14 @@ def test_words_are_cut_and_hashed_as_before(spark):
 def test_vocabulary_is_counted_once(spark):
     for name in ("M4_term_metrics", "M6_filter_terms"):
         assert not any("documents.parquet" in f for f in registry.queries()[name](spark, "/root/testdata/sf0.001").inputFiles())
+
+
+def test_terms_are_scored_where_they_lie(spark, monkeypatch):
+    made = {}
+    saved = topics.files.saved
+    monkeypatch.setattr(topics.files, "saved", lambda df, name="kept": made.setdefault(name, saved(df, name)))
+    rows = spark.createDataFrame([(0, "alpha beta gamma alpha"), (1, "beta beta"), (-1, "beta")], "topic_id int, fulltext string")
+    best = topics.topic_terms(rows, n=1)
+    assert {(r["topic_id"], r["term"]): r["f"] for r in made["terms"].where("not contains(term, ' ')").collect()} == {(0, "alpha"): 2, (0, "beta"): 3, (0, "gamma"): 1, (1, "beta"): 3}
+    assert "Exchange hashpartitioning(term" not in best._jdf.queryExecution().executedPlan().toString()
+    assert {(r["topic_id"], r["term"]) for r in best.collect()} == {(0, "alpha"), (1, "beta")}
