@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsquant import registry
 from newsquant.functions.words import STOP_WORDS
 from newsquant.operators import mentions, text, topics, vectors
-from newsquant.plans import signals
+from newsquant.plans import articles, signals
 
 
 def test_keywords_of_a_text_cut_inside_a_word(spark, tmp_path):
@@ -100,3 +100,21 @@ def test_terms_are_scored_where_they_lie(spark, monkeypatch):
     assert {(r["topic_id"], r["term"]): r["f"] for r in made["terms"].where("not contains(term, ' ')").collect()} == {(0, "alpha"): 2, (0, "beta"): 3, (0, "gamma"): 1, (1, "beta"): 3}
     assert "Exchange hashpartitioning(term" not in best._jdf.queryExecution().executedPlan().toString()
     assert {(r["topic_id"], r["term"]) for r in best.collect()} == {(0, "alpha"), (1, "beta")}
+
+
+def test_texts_with_topics_are_dealt_to_all_tasks(spark, monkeypatch):
+    plans = []
+    saved = topics.files.saved
+    monkeypatch.setattr(topics.files, "saved", lambda df, name="kept": plans.append(df._jdf.queryExecution().executedPlan().toString()) or saved(df, name))
+    topics.topic_terms(spark.createDataFrame([(0, "alpha beta")], "topic_id int, fulltext string").coalesce(1)).collect()
+    assert "RoundRobinPartitioning(4)" in plans[0]
+
+
+def test_companies_of_texts_of_few_words(spark, tmp_path):
+    texts = ["a b c", " 1a b2c--d ", "a b c d", "a b c d e f g", "9 a b c ", "", None, "éa b c d", "Abc def GHI jkl mno!"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts, 1)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(1, len(texts) + 1).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = articles._raw_companies(spark, str(tmp_path))
+    assert {(r["Ticker"], r["n"], r["Keywords"]) for r in rows.collect()} == {("B", 2, "a, b"), ("DEF", 9, "abc, def")}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^a-z]+, 6" in plan
