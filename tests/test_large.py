@@ -1,7 +1,10 @@
 """Queries and operators on rows and groups that the small tables lack."""
 
+import re
 from collections import Counter
 from hashlib import md5
+from itertools import product
+from math import log1p
 
 from pyspark.sql import functions as F
 
@@ -110,6 +113,33 @@ def test_texts_with_topics_are_dealt_to_all_tasks(spark, monkeypatch):
     assert "RoundRobinPartitioning(4)" in plans[0]
 
 
+def test_terms_are_dealt_into_parts_of_bounded_text_and_only_few_are_sorted(spark, monkeypatch):
+    plans = []
+    saved = topics.files.saved
+    monkeypatch.setattr(topics, "PART_CHARS", 100)
+    monkeypatch.setattr(topics.files, "saved", lambda df, name="kept": plans.append(df._jdf.queryExecution().executedPlan().toString()) or saved(df, name))
+    names = ["z" + "".join(p) for p in product("abc", repeat=3)]
+    texts = [(i % 3, " ".join(names[(i * i * j + j) % (5 + i)] for j in range(20))) for i in range(20)] + [(3, "xaaz xabz xacz"), (3, "xabz xaaz"), (4, "xaaz"), (5, ""), (6, None), (-1, "xaaz xaaz")]
+    rows = spark.createDataFrame(texts, "topic_id int, fulltext string")
+    best = topics.topic_terms(rows, n=4)
+    parts = -(-sum(len(t or "") for k, t in texts if k >= 0) // 100)
+    assert parts > 4 and [*map(int, re.findall(r"hashpartitioning\([^)]*, (\d+)\)", plans[0]))] == [parts, parts]
+    assert any("least" in line for line in best._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in line)
+    tf = Counter()
+    for k, t in texts:
+        words = (t or "").split()
+        tf.update((k, " ".join(words[i : i + size])) for size in (1, 2, 3) for i in range(len(words) - size + 1) if k >= 0)
+    own, whole = Counter(), Counter()
+    for (k, term), n in tf.items():
+        own[k] += n
+        whole[term] += n
+    mean = sum(own.values()) / len(own)
+    want = [sorted((-round(n / own[k] * log1p(mean / whole[term]), 9), term) for (j, term), n in tf.items() if j == k)[:4] for k in sorted(own)]
+    found = best.orderBy("topic_id", "rank").collect()
+    assert [(r["topic_id"], r["rank"], r["term"]) for r in found] == [(k, i, t) for k, w in zip(sorted(own), want) for i, (_, t) in enumerate(w, 1)]
+    assert all(abs(r["weight"] + w) < 2e-9 for r, (w, _) in zip(found, (x for w in want for x in w)))
+
+
 def test_companies_of_texts_of_few_words(spark, tmp_path):
     texts = ["a b c", " 1a b2c--d ", "a b c d", "a b c d e f g", "9 a b c ", "", None, "éa b c d", "Abc def GHI jkl mno!"]
     spark.createDataFrame([(i, t) for i, t in enumerate(texts, 1)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
