@@ -47,10 +47,10 @@ def _let(value: Column, body) -> Column:
 
 
 def shingles(line: Column, chars: int) -> Column:
-    """Distinct hashes of all runs of ``chars`` characters."""
-    last = lambda raw: F.greatest(F.floor(F.length(raw) / 2).cast("int") - chars, F.lit(0))
-    cut = lambda raw: F.transform(F.sequence(F.lit(0), last(raw)), lambda i: F.xxhash64(F.substring(raw, i * 2 + 1, F.lit(2 * chars))))
-    return F.array_distinct(_let(F.encode(line, "UTF-16BE"), cut))
+    """Hashes of all runs of ``chars`` characters, repeats included."""
+    last = lambda raw: F.greatest(F.octet_length(raw) - (2 * chars - 1), F.lit(1))
+    cut = lambda raw: F.transform(F.sequence(F.lit(1), last(raw), F.lit(2)), lambda at: F.xxhash64(F.substring(raw, at, F.lit(2 * chars))))
+    return _let(F.encode(line, "UTF-16BE"), cut)
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -67,8 +67,8 @@ def signatures(lines: DataFrame, chars: int, n_bands: int, rows: int, deep: int)
     raw = lines.select("id", "n", F.encode("line", "UTF-16BE").alias("raw"), places.alias("places"))
     limit = (F.least(F.lit(1.0), F.lit(float(deep * bins)) / F.col("places")) * float(_RANGE)).cast("long")
     raw = raw.select("id", "n", "raw", limit.alias("limit"), "places")
-    at = raw.select("id", "n", "raw", "limit", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("i"))
-    h = at.select("id", "n", "limit", F.xxhash64(F.substring("raw", F.col("i") * 2 + 1, F.lit(2 * chars))).alias("h"))
+    at = raw.select("id", "n", "raw", "limit", F.explode(F.sequence(F.lit(1), F.col("places") * 2 - 1, F.lit(2))).alias("at"))
+    h = at.select("id", "n", "limit", F.xxhash64(F.substring("raw", F.col("at"), F.lit(2 * chars))).alias("h"))
     h = h.where(F.col("h").bitwiseAND(F.lit(_RANGE - 1)) < F.col("limit"))
     place = (F.shiftrightunsigned("h", 32) * bins / float(2**32)).cast("int")
     h = h.select("id", "n", place.alias("bin"), F.col("h").bitwiseAND(F.lit(_RANGE - 1)).cast("int").alias("v"))
@@ -80,10 +80,11 @@ def signatures(lines: DataFrame, chars: int, n_bands: int, rows: int, deep: int)
 
 
 def bucket_members(marked: DataFrame) -> DataFrame:
-    """``(bucket, id, n)`` of the buckets of ``marked(id, n, keys)`` with two lines or more."""
-    dealt = marked.select(F.explode("keys").alias("bucket"), "id", "n")
-    shared = dealt.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1").select("bucket")
-    return dealt.join(shared, "bucket").select("bucket", "id", "n")
+    """``(bucket, id, n, most)`` of the buckets of ``marked(id, n, keys)`` with two lines or more; ``most`` is a bucket's largest ``n``."""
+    # dealt once, for the count and for the join; few buckets are shared, so they are looked up instead of sorting all
+    dealt = marked.select(F.explode("keys").alias("bucket"), "id", "n").repartition("bucket")
+    shared = dealt.groupBy("bucket").agg(F.count("id").alias("many"), F.max("n").alias("most")).where("many > 1").select("bucket", "most")
+    return dealt.join(shared.hint("shuffle_hash"), "bucket").select("bucket", "id", "n", "most")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -92,19 +93,20 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("head").alias("a"), F.col("id").alias("b")).repartition(parts, "a", "b").distinct()
 
 
-def _with_sets(pairs: DataFrame, texts: DataFrame, chars: int, body) -> DataFrame:
-    """``(a, b)`` and the fields of ``body(x, y)`` over the shingle sets of both lines."""
+def compared(pairs: DataFrame, texts: DataFrame, chars: int) -> DataFrame:
+    """``(a, b, whole, less, more)`` of ``pairs(a, b)`` among ``texts(id, line)``: how many shingles ``a`` has, which of them ``b`` lacks and which ``b`` has beyond them."""
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("a_line")), "a")
     both = both.join(texts.select(F.col("id").alias("b"), F.col("line").alias("b_line")), "b")
     sets = F.struct(shingles(F.col("a_line"), chars).alias("x"), shingles(F.col("b_line"), chars).alias("y"))
+    body = lambda s: F.struct(F.size(F.array_distinct(s["x"])).alias("whole"), F.array_except(s["x"], s["y"]).alias("less"), F.array_except(s["y"], s["x"]).alias("more"))
     # a generator of one row, which the optimizer neither merges nor repeats
-    return both.select("a", "b", F.inline(F.array(_let(sets, lambda s: body(s["x"], s["y"])))))
+    return both.select("a", "b", F.inline(F.array(_let(sets, body))))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float, chars: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` among ``texts(id, line)`` whose shingle sets have at least ``threshold`` Jaccard similarity."""
-    counts = _with_sets(pairs, texts, chars, lambda x, y: F.struct(_common(x, y).alias("common"), (F.size(x) + F.size(y)).alias("sizes")))
-    return counts.where(_links(F.col("common"), F.col("sizes"), threshold)).select("a", "b")
+def verified(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Those of the :func:`compared` pairs whose shingle sets have at least ``threshold`` Jaccard similarity."""
+    common = F.col("whole") - F.size("less")
+    return pairs.where(_links(common, F.col("whole") + common + F.size("more"), threshold)).select("a", "b")
 
 
 def _links(common: Column, sizes: Column, threshold: float) -> Column:
@@ -125,16 +127,15 @@ def _only(a: str, b: str) -> Column:
     return sum(bits[1:], bits[0])
 
 
-def rest_links(members: DataFrame, heads: DataFrame, known: DataFrame, texts: DataFrame, scratch: Scratch, threshold: float, chars: int) -> DataFrame:
-    """Links ``(a, b)`` between lines of one bucket that are neither its head nor in one component yet."""
+def rest_links(members: DataFrame, heads: DataFrame, known: DataFrame, apart: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """Components ``(a, b)`` of linked lines of one bucket that are neither its head nor in one component yet; ``apart`` are its :func:`compared` pairs."""
     rows = members.join(heads, "bucket").where("id <> head")
     rows = rows.join(known, "id", "left").select("bucket", "head", "id", F.coalesce("component", "id").alias("own"))
     mixed = rows.groupBy("bucket").agg(F.min("own").alias("first"), F.max("own").alias("last")).where("first < last").select("bucket")
     rows = scratch.save(rows.join(mixed, "bucket", "left_semi"))
-    pairs = _pairs(rows)
-    apart = _with_sets(pairs, texts, chars, lambda x, y: F.struct(F.size(x).alias("whole"), F.array_except(x, y).alias("less"), F.array_except(y, x).alias("more")))
-    apart = apart.select(F.col("a").alias("head"), F.col("b").alias("id"), "whole", "less", "more", *_masks("less", "l"), *_masks("more", "m"))
-    apart = scratch.save(apart)
+    pairs = rows.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    apart = apart.join(pairs, ["a", "b"], "left_semi")
+    apart = scratch.save(apart.select(F.col("a").alias("head"), F.col("b").alias("id"), "whole", "less", "more", *_masks("less", "l"), *_masks("more", "m")))
     rows = rows.join(apart, ["head", "id"]).drop("head")
     left, right = (rows.select("bucket", *[F.col(c).alias(f"{x}_{c}") for c in rows.columns if c != "bucket"]) for x in "ab")
     n = {x: [F.size(f"{x}_less"), F.size(f"{x}_more")] for x in "ab"}
@@ -142,7 +143,7 @@ def rest_links(members: DataFrame, heads: DataFrame, known: DataFrame, texts: Da
     most = F.col("a_whole") - n["a"][0] - _only("b_l", "a_l") + n["a"][1] - _only("a_m", "b_m")
     exact = F.col("a_whole") - F.size(F.array_union("a_less", "b_less")) + _common(F.col("a_more"), F.col("b_more"))
     on = (left["bucket"] == right["bucket"]) & (F.col("a_id") < F.col("b_id")) & (F.col("a_own") != F.col("b_own")) & _links(most, sizes, threshold) & _links(exact, sizes, threshold)
-    return left.join(right, on).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    return left.join(right, on).select(F.col("a_own").alias("a"), F.col("b_own").alias("b")).distinct()
 
 
 def line_components(lines: DataFrame, scratch: Scratch, threshold: float = 0.8, chars: int = 9, n_bands: int = 8, rows: int = 4, deep: int = 3) -> DataFrame:
@@ -151,15 +152,19 @@ def line_components(lines: DataFrame, scratch: Scratch, threshold: float = 0.8,
     members = scratch.save(bucket_members(marked))
     scratch.free(marked)
     texts = scratch.save(lines.select("id", "line").join(members.select("id").distinct(), "id", "left_semi"))
-    heads = scratch.save(members.groupBy("bucket").agg(F.max(F.struct("n", "id"))["id"].alias("head")))
-    star = _pairs(members.join(heads, "bucket").where("id <> head"))
-    links = scratch.save(verified(star, texts, threshold, chars))
-    known = components(links, scratch)
-    more = scratch.save(rest_links(members, heads, known, texts, scratch, threshold, chars))
-    scratch.free(members, texts, heads)
-    # a component's lines hang on its smallest; the links between components are few
-    found = components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
-    scratch.free(links, more)
+    heads = scratch.save(members.where("n = most").groupBy("bucket").agg(F.max("id").alias("head")))
+    # the sets of a pair are made once, for both steps
+    apart = scratch.save(compared(_pairs(members.join(heads, "bucket").where("id <> head")), texts, chars))
+    scratch.free(texts)
+    known = components(verified(apart, threshold), scratch)
+    more = scratch.save(rest_links(members, heads, known, apart, scratch, threshold))
+    scratch.free(members, heads, apart)
+    # only components that link are labelled anew: all that more names and known lacks are lines of their own
+    merged = components(more, scratch)
+    low = merged.select(F.col("id").alias("component"), F.col("component").alias("low"))
+    found = known.join(low, "component", "left").select("id", F.coalesce("low", "component").alias("component"))
+    found = scratch.save(found.unionByName(merged.join(known, "id", "left_anti")))
+    scratch.free(more)
     scratch.release()
     return found
 
@@ -214,7 +219,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     gone = removed_lines(docs)
-    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     sizes = docs.select("doc_id", F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"))
     out = sizes.join(gone, sizes["doc_id"] == gone["doc"], "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))

@@ -216,6 +216,17 @@ def test_lines_of_chains_hang_together(spark):
     assert found <= want and len(found) >= 0.98 * len(want) > 200
 
 
+def test_lines_compare_a_pair_once_for_both_steps(spark, monkeypatch):
+    made = []
+    shingles = lines.shingles
+    monkeypatch.setattr(lines, "shingles", lambda line, chars: made.append(chars) or shingles(line, chars))
+    words = [f"w{i:03d}" for i in range(40)]
+    near = [" ".join(["edit", *words[1:]]), " ".join([*words[:39], "last"])]
+    texts = [" ".join(words), *near, "Ünï cødé", "漢字 short", "漢字 short", "x"]
+    assert _gone(spark, texts) == {i for i, low in enumerate(_line_labels(texts)) if low != i} == {1, 2, 5}
+    assert made == [9, 9]
+
+
 def test_lines_recall_at_the_threshold(spark):
     """Of pairs of which each shingle is shared with chance 0.8 or a little more, nearly all meet in a bucket."""
     rng = np.random.default_rng(6)
