@@ -148,3 +148,17 @@ def test_companies_of_texts_of_few_words(spark, tmp_path):
     assert {(r["Ticker"], r["n"], r["Keywords"]) for r in rows.collect()} == {("B", 2, "a, b"), ("DEF", 9, "abc, def")}
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "[^a-z]+, 6" in plan
+
+
+def late_term(spark, path):
+    """One company, a tenth alike to the one topic, whose term stands behind the first 400 characters of its text."""
+    texts = [(1, "alpha beta gamma delta " + "ab " * 300 + "zebrafish"), (2, "zebrafish")]
+    spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "'en' as lang", "'x' as source").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1,)], "s_suppkey long").write.parquet(f"{path}/supplier.parquet")
+    spark.createDataFrame([(1, -1, [0.1, 0.995]), (2, 0, [1.0, 0.0])], "vec_id long, label int, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
+    return str(path)
+
+
+def test_keywords_are_searched_in_whole_texts(spark, tmp_path):
+    rows = registry.queries()["J2_keyword_score"](spark, late_term(spark, tmp_path))
+    assert [tuple(r) for r in rows.collect()] == [(0, "BETA", 1.0)]
