@@ -162,3 +162,8 @@ def late_term(spark, path):
 def test_keywords_are_searched_in_whole_texts(spark, tmp_path):
     rows = registry.queries()["J2_keyword_score"](spark, late_term(spark, tmp_path))
     assert [tuple(r) for r in rows.collect()] == [(0, "BETA", 1.0)]
+
+
+def test_the_gate_takes_keywords_of_whole_texts(spark, tmp_path):
+    rows = registry.queries()["J3_stage1_gate"](spark, late_term(spark, tmp_path))
+    assert [(r["topic_id"], r["ticker"]) for r in rows.collect()] == [(0, "BETA")]
