@@ -167,3 +167,8 @@ def test_keywords_are_searched_in_whole_texts(spark, tmp_path):
 def test_the_gate_takes_keywords_of_whole_texts(spark, tmp_path):
     rows = registry.queries()["J3_stage1_gate"](spark, late_term(spark, tmp_path))
     assert [(r["topic_id"], r["ticker"]) for r in rows.collect()] == [(0, "BETA")]
+
+
+def test_depths_take_keywords_of_whole_texts(spark, tmp_path):
+    rows = registry.queries()["J15_depth_profiles"](spark, late_term(spark, tmp_path))
+    assert sorted((r["depth"], r["pairs"], r["companies"]) for r in rows.collect()) == [(k, 1, 1) for k in (1, 2, 3, 4)]
