@@ -93,3 +93,21 @@ def test_mentions_of_nothing(spark):
     companies = spark.createDataFrame(COMPANIES, "ticker string, name string")
     assert mentions.count_mentions(none, companies).collect() == []
     assert mentions.count_mentions(spark.createDataFrame([(1, "rewh")], "article_id long, body string"), companies.limit(0)).collect() == []
+
+
+def test_hits_of_an_article_are_checked_together(spark, monkeypatch):
+    """One row an article and one entry a company, whatever the number of hits; contexts count where they lie within reach."""
+    asked = []
+    pairs = mentions.company_pairs
+    monkeypatch.setattr(mentions, "company_pairs", lambda rows: asked.extend(rows.collect()) or pairs(rows))
+    far = "x " * 60
+    bodies = ["rewh " * 500, f"rewh {far}shares", "REWH\nshares", f"{far}rewh, statedisclosed", "İİ inc.rewh", "thth ThTh", "thth", f"shares {far}rewh {far}rewh's", f"rewh {'.' * 95}reported", f"rewh {'.' * 90}reported",
+              "Thatin and" + " " * 70 + "rewh", "$rewh", "$ rewh", f"ltd.a {far}{far}rewh"]
+    companies = spark.createDataFrame(COMPANIES + [("NIL", None)], "ticker string, name string")
+    articles = spark.createDataFrame(list(enumerate(bodies)) + [(99, "nil"), (100, "nil shares")], "article_id long, body string")
+    counted = spark.createDataFrame([(i, t) for i in (*range(len(bodies)), 99, 100) for t in ("REWH", "ThTh", "NIL")], "article_id long, ticker string")
+    found = {(r["article_id"], r["ticker"]) for r in mentions.validate_mentions(counted, articles, companies).where("valid").collect()}
+    names = {t: n for t, n in COMPANIES}
+    assert found == {(i, t) for i, b in enumerate(bodies) for t in ("REWH", "ThTh") if valid(b, t, names[t])} | {(100, "NIL")}
+    assert {(3, "REWH"), (4, "REWH"), (5, "ThTh"), (7, "REWH"), (9, "REWH"), (10, "REWH"), (11, "REWH")} <= found and not found & {(0, "REWH"), (1, "REWH"), (2, "REWH"), (6, "ThTh"), (8, "REWH"), (13, "REWH")}
+    assert len(asked) == len(bodies) + 2 and all(len(r["asked"]) == 1 for r in asked) and sum(len(a["starts"]) for r in asked for a in r["asked"]) > 500
